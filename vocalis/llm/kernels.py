@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+NULL_ID = -(1 << 63)
 #: Bytes that separate words: U+0020 and U+0009 to U+000D. They never occur inside a UTF-8 sequence.
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -84,12 +85,12 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     """Cuts Arrow batches with the columns (doc_id, text) into chunks of about ``limit`` bytes; a longer document is a chunk alone.
 
-    A null text is an empty one here. Null ids are the caller's to keep apart: they read as 0.
+    A null text is an empty one here, and a null id reads as NULL_ID, the smallest.
     """
     for batch in batches:
         text = batch.column("text").cast(pa.binary())
         raw = [t or b"" for t in text.to_pylist()]
-        ids = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)
+        ids = np.asarray(batch.column("doc_id").fill_null(NULL_ID)).astype(np.int64)
         first, size = 0, 0
         for i, t in enumerate(raw):
             if size and size + len(t) > limit:
@@ -111,3 +112,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     if have < width:
         m = np.minimum(m[: len(x) - width + 1], m[width - have :])
     return m
+
+
+def loads(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as one number: a view, without a copy."""
+    return np.lib.stride_tricks.as_strided(buf[:8].view("<u8") if len(buf) >= 8 else np.zeros(0, dtype="<u8"), shape=(max(0, len(buf) - 7),), strides=(1,))
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] to starts[i] + lengths[i] - 1 of each i, in a row."""
+    total = int(lengths.sum())
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocalis.llm import language, media, mixing
+from vocalis.llm import language, media, mixing, substrings, suffixes
 from vocalis.llm.frames import documents
 
 
@@ -14,6 +14,10 @@ def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
@@ -23,6 +27,10 @@ def op9_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language.predict(docs, language.fit(docs))
 
 
+def op10_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(documents(spark, sf_dir))
+
+
 OP2_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -55,7 +63,9 @@ FROM p LEFT JOIN k ON p.doc_id IS NOT DISTINCT FROM k.doc_id AND p.key = k.key A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weighted_fair_mix": op2_weighted_fair_mix,
+    "op3_super_kmer_dedup": op3_super_kmer_dedup,
     "op6_tiff_pages": op6_tiff_pages,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
+    "op10_suffix_family_dedup": op10_suffix_family_dedup,
 }
 ORACLES: dict[str, str] = {"op2_weighted_fair_mix": OP2_SQL}
