@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocalis.llm import language, media, mixing, substrings, suffixes
+from vocalis.llm import jaccard, language, media, mixing, substrings, suffixes
 from vocalis.llm.frames import documents
 
 
@@ -22,6 +22,10 @@ def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op8_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir))
+
+
 def op9_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.predict(docs, language.fit(docs))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weighted_fair_mix": op2_weighted_fair_mix,
     "op3_super_kmer_dedup": op3_super_kmer_dedup,
     "op6_tiff_pages": op6_tiff_pages,
+    "op8_signature_tree_join": op8_signature_tree_join,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_suffix_family_dedup": op10_suffix_family_dedup,
 }
