@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
             here = time_bin_of(finish(F.lit(copy)), half)
             inside_cut = here < cut_bin.bin
             if cut is not None:
-                inside_cut |= F.struct(finish(F.lit(copy)), "source_rank", F.lit(copy), "key", "doc_id", "size") <= F.struct(*[F.lit(v) if v is not None else F.lit(None).cast("long") for v in cut])
+                inside_cut |= F.struct(finish(F.lit(copy)), "source_rank", F.lit(copy), "key", "doc_id", "size") <= F.struct(*[F.lit(v).cast(copies.schema[c].dataType) for c, v in zip(place, cut, strict=True)])
             kept += F.when(F.coalesce(inside_cut, F.lit(False)), 1).otherwise(0)
     n = F.when(F.col("size") > 0, kept).otherwise(0)
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * n).cast("long").alias("taken"), n.cast("int").alias("copies"), finish(F.lit(0)).alias("first_finish"))
