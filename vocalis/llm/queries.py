@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocalis.llm import jaccard, language, media, mixing, substrings, suffixes
+from vocalis.llm import decontaminate, jaccard, language, media, mixing, substrings, suffixes
 from vocalis.llm.frames import documents
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +70,7 @@ FROM p LEFT JOIN k ON p.doc_id IS NOT DISTINCT FROM k.doc_id AND p.key = k.key A
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_decontamination": op1_simhash_decontamination,
     "op2_weighted_fair_mix": op2_weighted_fair_mix,
     "op3_super_kmer_dedup": op3_super_kmer_dedup,
     "op6_tiff_pages": op6_tiff_pages,
