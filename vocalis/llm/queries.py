@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocalis.llm import decontaminate, jaccard, language, media, mixing, substrings, suffixes
+from vocalis.llm import decontaminate, jaccard, language, licences, media, mixing, substrings, suffixes, tokens, toxicity
 from vocalis.llm.frames import documents
 
 
@@ -22,10 +22,23 @@ def op3_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_words(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir))
+
+
 def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op7_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op8_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(documents(spark, sf_dir))
 
@@ -73,9 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_decontamination": op1_simhash_decontamination,
     "op2_weighted_fair_mix": op2_weighted_fair_mix,
     "op3_super_kmer_dedup": op3_super_kmer_dedup,
+    "op4_classifier_chain": op4_classifier_chain,
+    "op5_trie_token_counts": op5_trie_token_counts,
     "op6_tiff_pages": op6_tiff_pages,
+    "op7_licence_classifier": op7_licence_classifier,
     "op8_signature_tree_join": op8_signature_tree_join,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_suffix_family_dedup": op10_suffix_family_dedup,
 }
-ORACLES: dict[str, str] = {"op2_weighted_fair_mix": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_weighted_fair_mix": OP2_SQL, "op7_licence_classifier": licences.oracle_sql()}
