@@ -17,12 +17,19 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder in spark.checkpoint.dir; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a folder of our own only where none is set."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    folder = sc._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vocalis-checkpoint-"))
+        folder = sc._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
