@@ -62,3 +62,27 @@ def review_queue(sentences: DataFrame, mean_below: int = 30, p05_below: int = 10
     chunk = F.floor(F.col("idx") / per_chunk).alias("chunk")
     g = sentences.groupBy("doc_id", chunk).agg(F.min("idx").alias("idx"), F.sum("conf").alias("s"), F.count("*").alias("n"), F.min("p05").alias("p"), F.count_if(low).alias("k")).where("k * 4 >= n")
     return rows.unionByName(g.select("doc_id", "idx", F.lit("chunk").alias("source"), F.lit("low_span").alias("reason"), (F.col("s") / (F.col("n") * 100)).alias("score"), (F.col("p") / 100).alias("p05")))
+
+
+def speaker_histogram(df: DataFrame, group: str) -> DataFrame:
+    """(doc_id, group, histogram, majority): rows per speaker as text, and the speaker of most rows, the first of equals."""
+    g = df.groupBy("doc_id", group, "speaker").agg(F.count("*").alias("k"), F.min("idx").alias("f"))
+    pairs = F.array_sort(F.collect_list(F.struct("speaker", "k")))
+    text = F.array_join(F.transform(pairs, lambda x: F.concat(x["speaker"], F.lit("="), x["k"].cast("string"))), ",")
+    return g.groupBy("doc_id", group).agg(text.alias("histogram"), F.max_by("speaker", F.struct("k", -F.col("f"))).alias("majority"))
+
+
+def chunk_metrics(df: DataFrame, low_below: int = 45) -> DataFrame:
+    """Token total, speaker switches, majority and histogram, token-weighted mean, p05 (index floor(n * 0.05)) and share of low rows, per chunk."""
+    marked = df.withColumn("__switch", F.when(previous("speaker", "idx", ("doc_id", "chunk")) != F.col("speaker"), 1).otherwise(0))
+    g = marked.groupBy("doc_id", "chunk").agg(F.sum("tokens").alias("tokens"), F.sum("__switch").alias("switches"), F.sum(F.col("tokens") * F.col("conf")).alias("ws"), F.array_sort(F.collect_list("conf")).alias("v"), F.count("*").alias("n"), F.count_if(F.col("conf") < low_below).alias("low"))
+    n = F.col("n")
+    out = g.join(speaker_histogram(df, "chunk"), ["doc_id", "chunk"])
+    return out.select("doc_id", "chunk", "tokens", "switches", "majority", "histogram", (F.col("ws") / (F.col("tokens") * 100)).alias("weighted_mean"), (nth(F.col("v"), floor_rank(n, 5)) / 100).alias("p05"), (F.col("low") / n).alias("low_ratio"))
+
+
+def sparkline(levels: DataFrame, blocks: str) -> DataFrame:
+    """(doc_id, sparkline): a block for each section's level, a dot for none."""
+    sign = F.when(F.col("level").isNull(), ".").otherwise(F.substr(F.lit(blocks), (F.col("level") + 1).cast("int"), F.lit(1)))
+    rows = levels.select("doc_id", "section", sign.alias("s"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "s"))), lambda x: x["s"]), "").alias("sparkline"))

@@ -67,7 +67,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, event_id, word, w0, w1 (ms), p (hundredths, at most 100)."""
     e = table(spark, sf_dir, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
     return e.select(F.col("user_id").alias("doc_id"), "event_id", F.col("event_type").alias("word"), ms.alias("w0"), (ms + 200).alias("w1"), F.least(F.lit(100), F.floor("value")).cast("long").alias("p"))
 
 
@@ -75,7 +75,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, doc, action, status, created_ms, duration_ms: a job log from the event table."""
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("value") < 20, "pending").when(F.col("value") < 60, "running").when(F.col("value") < 160, "succeeded").otherwise("failed")
-    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("doc"), F.col("event_type").alias("action"), status.alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_ms"), F.floor(F.col("value") * 10).cast("long").alias("duration_ms"))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("doc"), F.col("event_type").alias("action"), status.alias("status"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("created_ms"), F.floor(F.col("value") * 10).cast("long").alias("duration_ms"))
 
 
 # The same frames as DuckDB CTEs, for the oracles.
@@ -92,6 +92,6 @@ utt AS (SELECT doc_id, idx, speaker, text, words, t0, t0 + words * 400 AS t1 FRO
 TURNS = UTT + """, tu0 AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY doc_id ORDER BY idx) = speaker THEN 0 ELSE 1 END AS fresh FROM utt),
 tu1 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS turn FROM tu0),
 turns AS (SELECT doc_id, turn, min(speaker) AS speaker, min(t0) AS s0, max(t1) AS s1 FROM tu1 GROUP BY doc_id, turn HAVING turn % 5 <> 0)"""
-TWORDS = "tw AS (SELECT user_id AS doc_id, event_id, event_type AS word, epoch_ms(ts) AS w0, epoch_ms(ts) + 200 AS w1, least(100, floor(value))::BIGINT AS p FROM events)"
+TWORDS = "tw AS (SELECT user_id AS doc_id, event_id, event_type AS word, epoch_us(ts) // 1000 AS w0, epoch_us(ts) // 1000 + 200 AS w1, least(100, floor(value))::BIGINT AS p FROM events)"
 JOBS = """jobs AS (SELECT event_id AS id, user_id AS doc, event_type AS action, CASE WHEN value < 20 THEN 'pending' WHEN value < 60 THEN 'running' WHEN value < 160 THEN 'succeeded' ELSE 'failed' END AS status,
-epoch_ms(ts) AS created_ms, floor(value * 10)::BIGINT AS duration_ms FROM events)"""
+epoch_us(ts) // 1000 AS created_ms, floor(value * 10)::BIGINT AS duration_ms FROM events)"""
