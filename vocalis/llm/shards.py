@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vocalis.llm.frames import narrow, shuffle_partitions
 from vocalis.llm.kernels import NULL_ID, U64, Chunk, chunks, mix, ranges, sliding_min
@@ -28,6 +29,7 @@ from vocalis.llm.kernels import NULL_ID, U64, Chunk, chunks, mix, ranges, slidin
 HOT_BITS = 20
 _POSITION_BITS = U64(24)
 SEGMENT = 2 << 20
+LEVEL = 3
 #: Text that one task gathers before it sends, and text that a bucket should hold.
 FLUSH_BYTES, BUCKET_BYTES = 12 << 20, 4 << 20
 
@@ -46,10 +48,13 @@ def prime(n: int) -> int:
     return n
 
 
-def routing(docs: DataFrame, mmers: Callable[[Chunk], Iterable[np.ndarray]]) -> Routing:
-    """Counts the m-mers of all documents. Only sums of bins that are frequent in some task leave it."""
+def routing(docs: DataFrame, mmers: Callable[[Chunk], Iterable[np.ndarray]], share: float | None = None, slack: int = 8) -> Routing:
+    """Counts the m-mers of all documents. Only sums of bins that are frequent in some task leave it.
+
+    share: of all m-mers, from which a bin is hot; slack: how many times less is enough, as tasks where a bin is rare don't report it.
+    """
     parts = shuffle_partitions(docs.sparkSession)
-    share = max(8 / (1 << HOT_BITS), 1 / (200 * parts))
+    share = share or max(8 / (1 << HOT_BITS), 1 / (200 * parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, size = np.zeros(1 << HOT_BITS, dtype=np.int64), 0
@@ -62,7 +67,7 @@ def routing(docs: DataFrame, mmers: Callable[[Chunk], Iterable[np.ndarray]]) ->
 
     found = {r.bin: r.n for r in narrow(docs, "doc_id", "text").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     hot = np.zeros(1 << HOT_BITS, dtype=bool)
-    hot[[b for b, n in found.items() if b >= 0 and n >= share * found[-1] / 8]] = True
+    hot[[b for b, n in found.items() if b >= 0 and n >= share * found[-1] / slack]] = True
     size = found.get(-2, 0)
     return Routing(hot, max(parts, -(-size // BUCKET_BYTES)), prime(max(parts, -(-size // (2 * BUCKET_BYTES)))))
 
@@ -100,13 +105,14 @@ def super_kmers(hashes: np.ndarray, valid: np.ndarray, width: int, route: Routin
 
 
 def pack(arrays: list[np.ndarray], payload: bytes = b"") -> bytes:
-    """int64 columns of one length each, as differences, and a string; compressed."""
+    """int64 columns, as differences with their bytes in planes, and a string; compressed."""
     raw = [struct.pack("<H", len(arrays))]
     for a in arrays:
         d = np.diff(a, prepend=0) if len(a) else a
         wide = bool(len(d) and (d.min() < -(1 << 31) or d.max() >= 1 << 31))
-        raw += [struct.pack("<QB", len(d), wide), d.astype("<i8" if wide else "<i4").tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*raw, payload]))
+        kind = np.dtype("<i8" if wide else "<i4")
+        raw += [struct.pack("<QB", len(d), wide), d.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*raw, payload]))
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -115,7 +121,8 @@ def unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     for _ in range(n):
         size, wide = struct.unpack_from("<QB", raw, at)
         kind = np.dtype("<i8" if wide else "<i4")
-        arrays.append(np.cumsum(np.frombuffer(raw, kind, size, at + 9), dtype=np.int64))
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at + 9).reshape(kind.itemsize, size)
+        arrays.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=np.int64))
         at += 9 + size * kind.itemsize
     return arrays, raw[at:]
 
@@ -163,7 +170,7 @@ def send(parts: list[Pieces], same_document: bool, span: int) -> Iterator[pa.Rec
         gone, own = own[settled[own]], own[~settled[own]]
         text = p.buf[ranges(p.at[own], p.length[own])].tobytes() if len(own) else b""
         names.append(int(p.bucket[order[low]]))
-        blobs.append(pack([*(getattr(p, f)[own] for f in ("doc", "tag", "start", "count", "anchor", "length")), p.doc[gone], p.tag[gone], p.start[gone], p.start[gone] + p.count[gone] + span - 1], text))
+        blobs.append(pack([*(getattr(p, f)[own] for f in ("doc", "tag", "start", "count", "anchor")), p.length[own] - p.count[own], p.doc[gone], p.tag[gone], p.start[gone], p.start[gone] + p.count[gone] + span - 1], text))
         if sum(map(len, blobs[-64:])) > 4 << 20 or len(names) == 256:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
             names, blobs = [], []
@@ -176,6 +183,7 @@ def received(blobs: Iterable[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray,
     got = [unpack(b) for b in blobs]
     names = ("doc", "tag", "start", "count", "anchor", "length")
     columns = {f: np.concatenate([g[0][i] for g in got]) for i, f in enumerate(names)}
+    columns["length"] += columns["count"]
     buf = np.frombuffer(b"".join(g[1] for g in got) + b" " * 8, dtype=np.uint8)
     columns["at"] = np.cumsum(columns["length"]) - columns["length"]
     return columns, buf, [np.concatenate([g[0][i] for g in got]) for i in range(6, 10)]
@@ -230,7 +238,16 @@ def removed(docs: DataFrame, pieces: Callable[[Chunk, Routing], Pieces], judge:
 def apply_ranges(docs: DataFrame, found: DataFrame, groups: int, finish: Callable[[list[dict], pa.Table], pa.Table], schema, extra: tuple[str, ...] = ()) -> DataFrame:
     """Brings the ranges of each document to its whole text; ``finish`` gets a document's text and its merged ranges."""
     part = F.pmod(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.lit(groups)).cast("bigint")
-    left = narrow(docs, "doc_id", "text", *extra).withColumn("__part", part)
+    plain = narrow(docs, "doc_id", "text", *extra).withColumn("__part", part)
+    schema_sent = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in plain.schema.fields])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            text = pa.array([None if t is None else small.compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    left = plain.mapInArrow(squeeze, schema_sent)
 
     def run(texts: pa.Table, packed: pa.Table) -> pa.Table:
         got = [unpack(b)[0] for b in packed.column("blob").to_pylist()]
@@ -244,6 +261,9 @@ def apply_ranges(docs: DataFrame, found: DataFrame, groups: int, finish: Callabl
                 own[-1][1] = max(b, own[-1][1])
             else:
                 own.append([a, b])
+        large = zstandard.ZstdDecompressor()
+        raw = pa.array([None if t is None else large.decompress(t) for t in texts.column("text").to_pylist()], pa.binary())
+        texts = texts.set_column(texts.schema.get_field_index("text"), "text", raw)
         return finish(spans, texts.drop_columns(["__part"]))
 
     return left.groupBy("__part").cogroup(found.withColumnRenamed("part", "__part").groupBy("__part")).applyInArrow(run, schema)
