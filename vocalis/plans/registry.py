@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-for _module in ("sources", "projections", "joins", "aggregates", "windows"):
+for _module in ("sources", "projections", "joins", "aggregates", "windows", "texts", "search", "control", "composites"):
     importlib.import_module(f"vocalis.plans.{_module}")
