@@ -22,7 +22,7 @@ def words(spark, sizes):
     return spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "doc_id bigint, idx bigint, words bigint")
 
 
-@pytest.mark.parametrize(("sizes", "overlap", "want"), [([50, 10, 5], 0, [(0, 1, 1), (1, 2, 3)]), ([20, 30, 10], 10, [(0, 1, 2), (1, 2, 3)]), ([45], 5, [(0, 1, 1), (1, 1, 1)]), ([5], 5, [(0, 1, 1)])])
+@pytest.mark.parametrize(("sizes", "overlap", "want"), [([50, 10, 5], 0, [(0, 1, 1), (1, 2, 3)]), ([20, 30, 10], 10, [(0, 1, 2), (1, 2, 3), (2, 3, 3)]), ([45], 5, [(0, 1, 1), (1, 1, 1)]), ([5], 5, [(0, 1, 1)])])
 def test_budget_chunks(spark, sizes, overlap, want):
     got = folds.budget_chunks(words(spark, sizes), 40, overlap)
     assert [r[1:] for r in rows(got, "chunk")] == want
