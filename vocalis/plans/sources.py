@@ -217,7 +217,7 @@ def sink_low_conf_csv(spark, sf_dir):
     return quality.low_confidence_rows(segment_words(spark, sf_dir), 20)
 
 
-@query("proj_manifest", """SELECT source AS doc, to_json({documents: count(*), characters: sum(n_chars)::BIGINT, first: min(doc_id)}) AS manifest, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS provenance FROM documents GROUP BY source""")
+@query("proj_manifest", """SELECT source AS doc, to_json({documents: count(*), characters: sum(n_chars)::BIGINT, first: min(doc_id)})::VARCHAR AS manifest, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS provenance FROM documents GROUP BY source""")
 def proj_manifest(spark, sf_dir):
     g = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
