@@ -2,7 +2,7 @@
 
 1. A document is the set of its word n-grams; equal sets are one node.
 2. Routing without loss. Two sets within the threshold differ in at most H items, where H follows from their size classes. The
-   items are dealt by hash to H + 1 segments; at least one segment of such sets is equal. Sets that share no segment need no
+   items are dealt by hash to more than H segments; at least one segment of such sets is equal. Sets that share no segment need no
    comparison. Shared segments give candidate groups (connected components over nodes, not documents).
 3. Inside a group, signature trees: a node holds the OR of its sets' token bitmaps and its size range. A dual traversal from
    the root against itself drops a pair of nodes if sizes are too far apart, if the most overlap that the bitmaps allow is too
@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 from vocalis.llm.components import connected
 from vocalis.llm.frames import narrow, saved, shuffle_partitions
 from vocalis.llm.kernels import LOWER, NULL_ID, U64, Chunk, chunks, mix, prefix_hash, range_hash, word_hashes
-from vocalis.llm.shards import FLUSH_BYTES, pack, unpack
+from vocalis.llm.shards import FLUSH_BYTES, pack, routing, unpack
 
 #: A group is one task up to so many sets and items in all.
 GROUP_SETS, GROUP_ITEMS = 2000, 2_000_000
-LEAF, FANOUT, MOST_BITS = 32, 4, 1 << 16
+#: Items in a bin of the frequency table with four times the mean are hot.
+HOT_BITS = 22
+HOT_SHARE = 4 / (1 << HOT_BITS)
+LEAF, FANOUT, MOST_BITS = 8, 4, 1 << 16
 
 
 class Sets:
@@ -64,30 +67,55 @@ def size_classes(most: int, percent: int) -> list[int]:
     return bounds
 
 
-def segment_keys(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's segment keys, and the set of each key. A set takes part at its own class's level and at the next one."""
+def _level_keys(items: np.ndarray, owner: np.ndarray, level: np.ndarray, parts: np.ndarray, differ: np.ndarray, family: int, empty: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment keys of one level, their sets, and which sets have so many empty segments that those alone could be the equal ones.
+
+    items are sorted within their owner, so each segment is a range. Empty segments have no key, unless ``empty`` asks for those
+    of the sets that need them.
+    """
+    sums = np.concatenate(([U64(0)], np.cumsum(mix(items.copy()))))
+    base = np.cumsum(parts) - parts
+    first = np.searchsorted(owner, np.arange(len(parts)))
+    use = parts[owner] > 0
+    segment = ((items[use] >> U64(32)) * parts[owner[use]].astype(U64)) >> U64(32)
+    per = np.bincount(base[owner[use]] + segment.astype(np.int64), minlength=int(parts.sum()))
+    who = np.repeat(np.arange(len(parts)), parts)
+    within = np.cumsum(per) - per
+    start = first[who] + within - within[base[who]]
+    total = sums[start + per] - sums[start]
+    number = (np.arange(len(who)) - base[who]).astype(U64)
+    key = mix(total + level[who].astype(U64) * U64(0x9FB21C651E98DF25) + number * U64(0xA24BAED4963EE407) + U64(family * 0x8CB92BA72F3D8DD7 % (1 << 64)))
+    needy = np.bincount(who, weights=per == 0, minlength=len(parts)) >= parts - differ
+    needy &= parts > 0
+    keep = (per > 0) | (needy[who] if empty else False)
+    return key[keep], who[keep], needy
+
+
+def segment_keys(sets: Sets, percent: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's segment keys, and the set of each key. A set takes part at its own class's level and at the next one.
+
+    Sets that differ in at most H of all items differ in at most H of those that aren't ``hot``; so the segments hold only the
+    others, and passages that very many documents share bring nobody together. There are some more segments than H + 1, and the
+    equal ones of a pair are then more than a set's empty ones. Sets for which that doesn't hold meet by all their items, and as a
+    last resort by empty segments too.
+    """
     bounds = np.asarray(size_classes(int(sets.size.max(initial=0)), percent))
-    keys, owners = [], []
-    sums = np.concatenate(([U64(0)], np.cumsum(mix(sets.items.copy()))))
     own = np.searchsorted(bounds, sets.size, side="right") - 1
+    plain = ~hot[(sets.items >> U64(65 - len(hot).bit_length())).astype(np.int64)]
+    keys, owners = [], []
     for up in (0, 1):
         level = own + up  # its pairs: a class below against this level's class, or two of the class below
         below, here = bounds[np.maximum(level, 0)] - 1, bounds[np.minimum(level + 1, len(bounds) - 1)] - 1
         differ = (below + here) * (100 - percent) // (100 + percent)
-        parts = np.where((sets.size > 0) & (differ > 0), differ + 1, 0)  # where nothing may differ, equal sets are one node already
-        base = np.cumsum(parts) - parts
-        use = parts[sets.owner] > 0
-        owner = sets.owner[use]
-        segment = ((sets.items[use] >> U64(32)) * parts[owner].astype(U64)) >> U64(32)
-        # items are sorted, so each segment is a range of its set
-        per = np.bincount(base[owner] + segment.astype(np.int64), minlength=int(parts.sum()))
-        who = np.repeat(np.arange(len(parts)), parts)
-        within = np.cumsum(per) - per
-        start = sets.first[who] + within - within[base[who]]
-        total = sums[start + per] - sums[start]
-        number = (np.arange(len(who)) - base[who]).astype(U64)
-        keys.append(mix(total + level[who].astype(U64) * U64(0x9FB21C651E98DF25) + number * U64(0xA24BAED4963EE407)))
+        # where nothing may differ, equal sets are one node already
+        parts = np.where((sets.size > 0) & (differ > 0), differ + 2 + (differ + 15) // 16, 0)
+        key, who, needy = _level_keys(sets.items[plain], sets.owner[plain], level, parts, differ, 0, False)
+        keys.append(key)
         owners.append(who)
+        if needy.any():
+            key, who, _ = _level_keys(sets.items, sets.owner, level, np.where(needy, parts, 0), differ, 1, True)
+            keys.append(key)
+            owners.append(who)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -118,6 +146,7 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
 def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges (a, b) between names of sets that share a segment: from the least name of each segment to the others."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
+    route = routing(docs, lambda chunk: [Sets(chunk, n).items], HOT_SHARE, 2, HOT_BITS)
 
     def send(keys: list[np.ndarray], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, name, a, b = _stars(np.concatenate(keys), np.concatenate(names))
@@ -138,7 +167,7 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
         keys, names, size = [], [], 0
         for _, chunk in chunks(batches):
             s = Sets(chunk, n)
-            key, owner = segment_keys(s, percent)
+            key, owner = segment_keys(s, percent, route.hot)
             keys.append(key)
             names.append(s.name[0][owner])
             size += len(chunk.buf)
@@ -177,7 +206,7 @@ class Tree:
             maps.append(np.packbits(plane, axis=1).view(U64))
             distinct.append(plane.sum(axis=1))
         self.maps = np.concatenate(maps)
-        excess = self.size - np.concatenate(distinct)  # items that share a bit with another of their set
+        self.excess = excess = self.size - np.concatenate(distinct)  # items that share a bit with another of their set
         starts = np.arange(0, len(self.sets), LEAF)
         self.levels = [(np.bitwise_or.reduceat(self.maps, starts), np.minimum.reduceat(self.size, starts), np.maximum.reduceat(self.size, starts), np.maximum.reduceat(excess, starts))]
         while len(self.levels[-1][0]) > 1:
@@ -211,8 +240,8 @@ class Tree:
         for x in range(a.start, a.stop):
             shared = np.bitwise_count(self.maps[b] & self.maps[x]).sum(axis=1, dtype=np.int64)
             if not self.exact:
-                spare = np.minimum(self.size[x], self.size[b])
-                maybe = (100 + percent) * spare >= percent * both[x - a.start]
+                most = np.minimum(shared + np.minimum(self.excess[x], self.excess[b]), np.minimum(self.size[x], self.size[b]))
+                maybe = (100 + percent) * most >= percent * both[x - a.start]
                 shared = np.asarray([len(np.intersect1d(self.sets[x], self.sets[b.start + k], assume_unique=True)) if m and self.root[x] != self.root[b.start + k] else 0 for k, m in enumerate(maybe)])
             for y in np.flatnonzero((100 + percent) * shared >= percent * both[x - a.start]) + b.start:
                 self._join(x, int(y))

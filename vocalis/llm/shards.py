@@ -48,25 +48,25 @@ def prime(n: int) -> int:
     return n
 
 
-def routing(docs: DataFrame, mmers: Callable[[Chunk], Iterable[np.ndarray]], share: float | None = None, slack: int = 8) -> Routing:
+def routing(docs: DataFrame, mmers: Callable[[Chunk], Iterable[np.ndarray]], share: float | None = None, slack: int = 8, bits: int = HOT_BITS) -> Routing:
     """Counts the m-mers of all documents. Only sums of bins that are frequent in some task leave it.
 
     share: of all m-mers, from which a bin is hot; slack: how many times less is enough, as tasks where a bin is rare don't report it.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    share = share or max(8 / (1 << HOT_BITS), 1 / (200 * parts))
+    share = share or max(8 / (1 << bits), 1 / (200 * parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, size = np.zeros(1 << HOT_BITS, dtype=np.int64), 0
+        table, size = np.zeros(1 << bits, dtype=np.int64), 0
         for _, chunk in chunks(batches):
             size += len(chunk.buf)
             for h in mmers(chunk):
-                table += np.bincount((h >> U64(64 - HOT_BITS)).astype(np.int64), minlength=1 << HOT_BITS)
+                table += np.bincount((h >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
         bins = np.flatnonzero(table >= max(16, share * table.sum()))
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *bins.tolist()], pa.int64()), pa.array([size, int(table.sum()), *table[bins].tolist()], pa.int64())], ["bin", "n"])
 
     found = {r.bin: r.n for r in narrow(docs, "doc_id", "text").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
-    hot = np.zeros(1 << HOT_BITS, dtype=bool)
+    hot = np.zeros(1 << bits, dtype=bool)
     hot[[b for b, n in found.items() if b >= 0 and n >= share * found[-1] / slack]] = True
     size = found.get(-2, 0)
     return Routing(hot, max(parts, -(-size // BUCKET_BYTES)), prime(max(parts, -(-size // (2 * BUCKET_BYTES)))))
