@@ -23,7 +23,7 @@ from vocalis.llm.kernels import LOWER, Chunk, chunks
 UNDETERMINED = "und"
 DIMS = 4096
 #: Rejection: a score below this part of the least training score of texts of about that length.
-REJECT = 0.5
+REJECT = 0.25
 _LETTER = re.compile(r"[^\W\d_]")
 #: Letters and all bytes of longer UTF-8 sequences stay; everything else reads as a space.
 _FOLD = LOWER.copy()
