@@ -13,6 +13,7 @@ import pytest
 
 from vocalis.llm import decontaminate, jaccard, language, licences, media, mixing, queries, substrings, suffixes, tokens, toxicity
 from vocalis.llm.components import connected
+from vocalis.llm.kernels import Chunk
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, name string, `__x` int"
@@ -297,6 +298,33 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(docs, bench).count() >= 0
 
 
+def all_places(index: decontaminate.Index, item: int, text: str) -> float:
+    """The greatest similarity of an item with any place of its size, cut at the text's ends."""
+    w, size = decontaminate.words_of(text), len(index.words[item])
+    return max((decontaminate.similarity(index, item, w[max(0, k) : k + size]) for k in range(1 - size, len(w))), default=0.0)
+
+
+def found_in(index: decontaminate.Index, texts: list[str]) -> set[tuple[int, int]]:
+    chunk = Chunk(np.arange(len(texts)), [t.encode() for t in texts])
+    return {m[:2] for m in decontaminate._matches(chunk, index)}
+
+
+def test_decontamination_of_cut_copies():
+    r = random.Random(6)
+    items = [" ".join(f"q{r.randrange(400)}" for _ in range(n)) for n in (1, 3, 5, 8, 20, 30, 30, 50, 100)]
+    index = decontaminate.build(list(enumerate(items)))
+    texts = []
+    for t in items:
+        w = t.split()
+        for part in (0.95, 0.87, 0.8, 0.72, 0.68, 0.6):
+            n = max(1, round(len(w) * part))
+            texts += [" ".join(w[:n]), " ".join(w[-n:]), " ".join(r.choices(WORDS, k=40) + w[:n]), " ".join(w[-n:] + r.choices(WORDS, k=40))]
+    want = {(d, k) for d, t in enumerate(texts) for k in range(len(items)) if all_places(index, k, t) >= decontaminate.THRESHOLD - 1e-9}
+    assert found_in(index, texts) == want
+    w = items[5].split()
+    assert found_in(index, [" ".join(w[:26])]) == {(0, 5)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

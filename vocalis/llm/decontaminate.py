@@ -3,8 +3,11 @@
 A window of words and a benchmark item get 64-bit SimHash fingerprints of their pairs of neighbouring words. Items are put in size classes; a class
 has one window length and a stride, such that a copy of an item, wherever it starts, holds a whole window that begins at one of
 the item's first ``stride`` words. Those windows of the items are indexed by four blocks of 16 bits: fingerprints within RADIUS
-differ in at most RADIUS // 4 bits in some block, so that looking up each block's neighbours finds all of them. Each candidate
-is then verified exactly: weighted similarity of word shingles between the item and the best item-sized window around it.
+differ in at most RADIUS // 4 bits in some block, so that looking up each block's neighbours finds all of them.
+
+Fingerprints alone miss copies that are cut at a document's edge or edited beyond RADIUS. Postings of rare shingles complete them:
+a place with similarity THRESHOLD shares at least LEAST of the item's weight, so of any shingles with more than the rest of the
+weight it holds one. Every pair of a document and an item that either way finds is then compared exactly at all its places.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import combinations, pairwise
 from math import log
 
 import numpy as np
@@ -21,10 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.llm.frames import narrow
-from vocalis.llm.kernels import LOWER, NULL_ID, U64, Chunk, chunks, mix, prefix_hash, range_hash, word_hashes
+from vocalis.llm.kernels import LOWER, NULL_ID, U64, Chunk, chunks, mix, prefix_hash, range_hash, ranges, word_hashes
 
 RADIUS, BLOCKS = 11, 4
 SHINGLE, THRESHOLD = 5, 0.8
+#: With shared weight S, 2 S / (own + other) >= THRESHOLD and S <= other: S >= LEAST * own.
+LEAST = THRESHOLD / (2 - THRESHOLD)
+#: Weights are whole numbers in these units when places are compared, so that sums over ranges are exact.
+UNIT = 1 << 32
+#: Postings that are looked at together.
+POSTINGS_AT_ONCE = 1 << 22
 #: Items of one pass over the documents; more items are more passes. They, their index and nothing else are broadcast.
 ITEMS_PER_PASS, WORDS_PER_PASS = 20_000, 2_000_000
 
@@ -38,9 +47,9 @@ def shingles(words: list[bytes]) -> Counter:
     return Counter(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) if words else Counter()
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    n = len(words) - SHINGLE + 1
-    return range_hash(prefix_hash(words), np.arange(n), np.arange(n) + SHINGLE) if n > 0 else np.zeros(0, dtype=U64)
+def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    n = len(words) - width + 1
+    return range_hash(prefix_hash(words), np.arange(n), np.arange(n) + width) if n > 0 else np.zeros(0, dtype=U64)
 
 
 def stride_of(length: int) -> int:
@@ -114,6 +123,16 @@ class SizeClass:
     entry: list[np.ndarray]
 
 
+@dataclass
+class Bag:
+    """One item's shingles: distinct hashes in order, how often each occurs, the item's weight; words in a shingle."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    weight: int
+    width: int
+
+
 @dataclass
 class Index:
     ids: list[int]
@@ -123,6 +142,9 @@ class Index:
     sizes: np.ndarray
     shingles: np.ndarray  # sorted hashes of all items' shingles
     flags: np.ndarray  # which low 16 bits occur among them
+    units: np.ndarray  # the weights of ``shingles``
+    bags: list[Bag | None]
+    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by width: rare shingles' hashes, where each one's items begin, items
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         out = self.flags[(hashes & U64(0xFFFF)).astype(np.int64)]
@@ -131,11 +153,34 @@ class Index:
         out[maybe] = self.shingles[at] == hashes[maybe] if len(self.shingles) else False
         return out
 
+    def units_of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), round(log(1 + len(self.ids)) * UNIT), dtype=np.int64)
+        known = np.flatnonzero(self.known(hashes))
+        out[known] = self.units[np.searchsorted(self.shingles, hashes[known])]
+        return out
+
     def weight(self, shingle: bytes) -> float:
         """Shingles that many items share weigh less; one that no item has weighs as much as one of a single item."""
         return self.weights.get(shingle, log(1 + len(self.ids)))
 
 
+def _rare(bag: Bag, units: np.ndarray) -> np.ndarray:
+    """The fewest of an item's shingles, the heaviest first, such that a place without any of them is under THRESHOLD."""
+    order = np.argsort(-units, kind="stable")
+    upto = np.cumsum((bag.counts * units)[order])
+    return bag.hashes[order[: np.searchsorted(upto, (1 - LEAST) * bag.weight * (1 + 1e-9), side="right") + 1]]
+
+
+def _postings(rare: dict[int, list[tuple[int, np.ndarray]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    out = {}
+    for width, lists in rare.items():
+        hashes = np.concatenate([h for _, h in lists])
+        order = np.argsort(hashes, kind="stable")
+        names, begin = np.unique(hashes[order], return_index=True)
+        out[width] = (names, np.append(begin, len(hashes)), np.repeat([k for k, _ in lists], [len(h) for _, h in lists])[order])
+    return out
+
+
 def build(items: list[tuple[int, str]]) -> Index:
     words = [words_of(text) for _, text in items]
     spread = Counter(s for w in words for s in set(shingles(w)))
@@ -146,7 +191,7 @@ def build(items: list[tuple[int, str]]) -> Index:
         if w:
             groups.setdefault(max(c for c in lengths if c + stride_of(c) - 1 <= len(w)), []).append(k)
     masks = neighbours(64 // BLOCKS, RADIUS // BLOCKS)
-    classes, hashes = [], []
+    classes, hashes, own = [], [], {}
     for length, members in sorted(groups.items()):
         prints, item, offset = [], [], []
         for k in members:
@@ -155,6 +200,7 @@ def build(items: list[tuple[int, str]]) -> Index:
             at = np.arange(stride_of(length))
             h = word_hashes(chunk.buf, starts, ends)
             hashes.append(shingle_hashes(h))
+            own[k] = shingle_hashes(h, min(SHINGLE, len(h)))
             prints.append(Votes(h).fingerprints(at, length))
             item += [k] * len(at)
             offset += at.tolist()
@@ -170,7 +216,17 @@ def build(items: list[tuple[int, str]]) -> Index:
     flags = np.zeros(1 << 16, dtype=bool)
     known = np.unique(np.concatenate([*hashes, np.zeros(0, dtype=U64)]))
     flags[(known & U64(0xFFFF)).astype(np.int64)] = True
-    return Index([i for i, _ in items], words, weights, classes, np.asarray([len(w) for w in words]), known, flags)
+    name = {int(h): log(1 + len(items) / n) for h, n in Counter(h for k in own if len(words[k]) >= SHINGLE for h in np.unique(own[k]).tolist()).items()}
+    units = np.asarray([round(name[h] * UNIT) for h in known.tolist()], dtype=np.int64)
+    bags: list[Bag | None] = [None] * len(items)
+    rare: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for k, h in own.items():
+        distinct, counts = np.unique(h, return_counts=True)
+        width = min(SHINGLE, len(words[k]))
+        mine = units[np.searchsorted(known, distinct)] if width == SHINGLE else np.full(1, UNIT)
+        bags[k] = Bag(distinct, counts, int((counts * mine).sum()), width)
+        rare.setdefault(width, []).append((k, _rare(bags[k], mine)))
+    return Index([i for i, _ in items], words, weights, classes, np.asarray([len(w) for w in words]), known, flags, units, bags, _postings(rare))
 
 
 def candidates(c: SizeClass, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +262,65 @@ def similarity(index: Index, item: int, text: list[bytes]) -> float:
 MATCHES = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"
 
 
+def _posted(index: Index, width: int, hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, item, word) of each occurrence of an item's rare shingle inside a document."""
+    names, begin, items = index.postings[width]
+    at = np.flatnonzero(index.known(hashes)) if width == SHINGLE else np.arange(len(hashes))
+    at = at[doc[at] == doc[at + width - 1]]
+    k = np.minimum(np.searchsorted(names, hashes[at]), len(names) - 1)
+    found = names[k] == hashes[at]
+    at, k = at[found], k[found]
+    n = begin[k + 1] - begin[k]
+    part = np.cumsum(n) // POSTINGS_AT_ONCE
+    for low, high in pairwise(np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()):
+        word = np.repeat(at[low:high], n[low:high])
+        yield doc[word], items[ranges(begin[k[low:high]], n[low:high])], word
+
+
+def _places(index: Index, item: int, hashes: np.ndarray, upto: np.ndarray, bounds: tuple[int, int], near: tuple[int, int]) -> list[tuple[int, int]]:
+    """(first word, end) of the places of one item from the words ``near``, none over another, the most similar first.
+
+    A place is the item's number of words from anywhere, cut at the document's ``bounds``. All places are compared at once: the
+    c-th last occurrence of a shingle that the item has c times tells from which first word on one more of it counts.
+    """
+    bag, size = index.bags[item], int(index.sizes[item])
+    low, high = max(bounds[0], near[0] - size), min(bounds[1], near[1] + size)  # the words that a place can touch
+    first, span = low - size + 1, high - low + size - 1  # places begin at first..high - 1
+    n, inside = high - low - bag.width + 1, size - bag.width + 1
+    if n <= 0:
+        return []
+    have = hashes[low : low + n]
+    k = np.minimum(np.searchsorted(bag.hashes, have), len(bag.hashes) - 1)
+    at = np.flatnonzero(bag.hashes[k] == have)
+    if not len(at):
+        return []
+    place = np.arange(first, high)
+    begin, end = np.maximum(place, low), np.minimum(place + size, high)
+    whole = ((place >= low) | (low == bounds[0])) & ((place + size <= high) | (high == bounds[1]))  # only a document's edge cuts
+    order = at[np.argsort(k[at], kind="stable")]
+    kinds = k[order]
+    c = bag.counts[kinds]
+    before = np.arange(len(order)) - c
+    same = (before >= 0) & (kinds[before] == kinds)
+    since = np.maximum(np.where(same, order[before] + 1, -size), order - inside + 1) + low - first
+    units = upto[low + order + 1] - upto[low + order]
+    gain = np.zeros(span + 1, dtype=np.int64)
+    np.add.at(gain, since, units)
+    np.subtract.at(gain, order + low - first + 1, units)
+    shared = np.cumsum(gain[:-1])
+    left = np.minimum(begin, len(upto) - 1)
+    other = upto[np.maximum(left, end - bag.width + 1)] - upto[left]
+    likeness = 2 * shared / (bag.weight + other)
+    good = np.flatnonzero(whole & (likeness >= THRESHOLD - 1e-9))
+    taken, out = np.zeros(high - low, dtype=bool), []
+    for g in good[np.lexsort((begin[good], -likeness[good]))].tolist():
+        a, b = int(begin[g]), int(end[g])
+        if not taken[a - low : b - low].any():
+            taken[a - low : b - low] = True
+            out.append((a, b))
+    return out
+
+
 def _matches(chunk: Chunk, index: Index) -> list[tuple]:
     """(document's place in the chunk, item id, first word, words, similarity)"""
     buf = LOWER[chunk.buf]
@@ -214,12 +329,21 @@ def _matches(chunk: Chunk, index: Index) -> list[tuple]:
         return []
     hashes = word_hashes(buf, starts, ends)
     votes = Votes(hashes)
-    hits = np.concatenate(([0], np.cumsum(index.known(shingle_hashes(hashes)))))
+    of_width = {w: shingle_hashes(hashes, w) for w in {SHINGLE, *index.postings}}
+    hits = np.concatenate(([0], np.cumsum(index.known(of_width[SHINGLE]))))
     first = np.searchsorted(doc, np.arange(len(chunk.ids)))
     last = np.append(first[1:], len(doc))
-    best: dict[tuple[int, int, int], tuple[float, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
-    perfect: dict[tuple[int, int], set[int]] = {}
+    near: dict[tuple[int, int], list[int]] = {}  # by document and item: the words around which it may be
+
+    def add(d: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        pair, which = np.unique(d * len(index.ids) + item, return_inverse=True)
+        least, most = np.full(len(pair), len(doc)), np.zeros(len(pair), dtype=np.int64)
+        np.minimum.at(least, which, low)
+        np.maximum.at(most, which, high)
+        for p, a, b in zip(pair.tolist(), least.tolist(), most.tolist(), strict=True):
+            span = near.setdefault(divmod(p, len(index.ids)), [a, b])
+            span[0], span[1] = min(span[0], a), max(span[1], b)
+
     for c in index.classes:
         at = np.arange(0, max(0, len(doc) - c.length + 1))
         if c.stride > 1:
@@ -228,36 +352,21 @@ def _matches(chunk: Chunk, index: Index) -> list[tuple]:
         for low in range(0, len(at), 1 << 17):
             window, entry = candidates(c, votes.fingerprints(at[low : low + (1 << 17)], c.length))
             # a place without a shingle of any item can't be similar to one
-            guess = at[window + low] - c.offset[entry]
-            near = np.diff(hits[np.clip(np.stack((guess - c.stride, guess + c.stride + index.sizes[c.item[entry]])), 0, len(hits) - 1)], axis=0)[0] > 0
-            near |= index.sizes[c.item[entry]] < SHINGLE
-            window, entry = window[near], entry[near]
-            for w, e in zip((window + low).tolist(), entry.tolist(), strict=True):
-                item, d = int(c.item[e]), int(doc[at[w]])
-                size = len(index.words[item])
-                guess = int(at[w]) - int(c.offset[e])
-                exact = perfect.setdefault((d, item), set())
-                if (d, item, guess) in tried or any(abs(guess - x) <= c.stride for x in exact):
-                    continue
-                tried.add((d, item, guess))
-                low_end, high_end = int(first[d]), int(last[d])
-                for place in sorted(range(guess - c.stride, guess + c.stride + 1), key=lambda x, g=guess: abs(x - g)):
-                    begin, end = max(place, low_end), min(place + size, high_end)
-                    if begin >= end:
-                        continue
-                    text = [buf[starts[k] : ends[k]].tobytes() for k in range(begin, end)]
-                    s = similarity(index, item, text)
-                    if s >= THRESHOLD:
-                        best[d, item, begin] = (s, end - begin)
-                    if s >= 1:
-                        exact.add(begin)
-                        break
-    out, reach = [], {}
-    for (d, item, begin), (s, n) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1], -x[1][0], x[0][2])):
-        spans = reach.setdefault((d, item), [])
-        if all(begin + n <= a or begin >= b for a, b in spans):  # of overlapping places of one item the most similar stays
-            spans.append((begin, begin + n))
-            out.append((d, index.ids[item], begin - int(first[d]), n, s))
+            word, item = at[window + low], c.item[entry]
+            guess = word - c.offset[entry]
+            some = np.diff(hits[np.clip(np.stack((guess - c.stride, guess + c.stride + index.sizes[item])), 0, len(hits) - 1)], axis=0)[0] > 0
+            some |= index.sizes[item] < SHINGLE
+            add(doc[word[some]], item[some], guess[some] - c.stride, (guess + c.stride + index.sizes[item])[some])
+    for width in index.postings:
+        for d, item, word in _posted(index, width, of_width[width], doc):
+            add(d, item, word, word + width)
+    units = {w: np.concatenate(([0], np.cumsum(index.units_of(h) if w == SHINGLE else np.full(len(h), UNIT)))) for w, h in of_width.items()}
+    out = []
+    for (d, item), span in sorted(near.items()):
+        width = index.bags[item].width
+        for begin, end in _places(index, item, of_width[width], units[width], (int(first[d]), int(last[d])), (span[0], span[1])):
+            text = [buf[starts[k] : ends[k]].tobytes() for k in range(begin, end)]
+            out.append((d, index.ids[item], begin - int(first[d]), end - begin, similarity(index, item, text)))
     return out
 
 
@@ -280,8 +389,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are lower-cased in A-Z and split at white space; shingles have five words, and an item of fewer words is one shingle.
     Null, empty and wordless texts match nothing, nor do null or wordless items. Repeated documents repeat their rows; a
-    document that holds an item twice has a row for each place. Fingerprints beyond RADIUS = 11 of 64 bits are no candidates:
-    exact copies have distance 0, while heavily edited ones can be missed.
+    document that holds an item twice has a row for each place. A copy that the document's start or end cuts is compared as it
+    is. Of overlapping places of one item the most similar stays, of equal ones the first.
     """
     spark, parts = docs.sparkSession, []
     for block in item_blocks(benchmark):
