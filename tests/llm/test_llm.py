@@ -325,6 +325,22 @@ def test_decontamination_of_cut_copies():
     assert found_in(index, [" ".join(w[:26])]) == {(0, 5)}
 
 
+def test_decontamination_of_edited_copies():
+    r = random.Random(20)
+    items = [" ".join(f"q{r.randrange(2000)}" for _ in range(r.choice((20, 30, 50, 100)))) for _ in range(400)]
+    index = decontaminate.build(list(enumerate(items)))
+    texts = []
+    for t in items:
+        w = t.split()
+        for _ in range(r.randint(1, len(w) // 25 + 1)):
+            k, kind = r.randrange(len(w)), r.random()
+            w[k : k + (kind < 0.8)] = [] if 0.6 <= kind < 0.8 else ["changed"]
+        texts.append(" ".join(r.choices(WORDS, k=r.randint(0, 60)) + w + r.choices(WORDS, k=r.randint(0, 60))))
+    want = {(k, k) for k, t in enumerate(texts) if all_places(index, k, t) >= decontaminate.THRESHOLD - 1e-9}
+    assert len(want) > 200
+    assert found_in(index, texts) == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
