@@ -267,6 +267,19 @@ def test_licences(spark, docs, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_wrapped_licences(spark):
+    texts = {
+        1: ("GPL", "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main() { return 0; }"),
+        2: ("BSD", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\nimport os"),
+        3: ("LGPL", "Some words before.\nThis library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation"),
+        4: ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at the site."),
+        5: ("MIT", "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".split())),
+        6: ("", "He holds a fishing license\nfor the lake, under the terms of the\npublic office."),
+    }
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame([(k, t) for k, (_, t) in texts.items()], "doc_id bigint, text string")).collect()}
+    assert got == {k: f for k, (f, _) in texts.items()}
+
+
 def test_multi_index_finds_all_within_radius():
     r = np.random.default_rng(1)
     index = decontaminate.build([(k, " ".join(f"t{x}" for x in r.integers(0, 500, 30))) for k in range(40)])

@@ -4,6 +4,8 @@ The model is a multinomial logistic regression over the presence of word unigram
 below; one class stands for text without a licence. Weights are whole numbers (SCALE units), so that sums don't depend on
 order. A temperature, fitted on notices held out of training, calibrates the probabilities; a paragraph below MIN_PROBABILITY
 is unknown. A prediction counts only if a template of the predicted family shares enough of its bigrams with the paragraph.
+Notices that are wrapped over lines are found as passages: stretches of a text's words, whatever lines they are on, that hold
+enough bigrams of a template. A passage is classified like a line.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ SCALE = 1000
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.6
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 UNKNOWN = "unknown"
+#: The place of what isn't a line with a cue.
+PASSAGE = -1
 
 # Short notices of licence families, as they stand in public licence texts and headers.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -136,15 +140,34 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.where(_has_cue(F.col("line")))
 
 
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, line) of the passages with MIN_TEMPLATE of a template's bigrams, lines joined, comment marks dropped; place is PASSAGE.
+
+    A stretch of as many words as a template lies in one of the units of twice that length that begin at each multiple of it.
+    The passage reaches from a unit's first bigram of the template to its last.
+    """
+    text = narrow(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text")).where(_has_cue(F.col("text")))
+    words = text.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("words")).where(F.size("words") > 1)
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    sizes = {(f, i): len(re.findall(TOKEN, t.lower())) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)}
+    table = _table(docs.sparkSession, [(f, i, g, n, sizes[f, i]) for f, i, g, n in templates()], "family string, number int, gram string, size int, n_words int")
+    unit = F.floor(F.col("at") / F.col("n_words"))
+    hits = words.select("doc_id", "mark", F.posexplode(pairs).alias("at", "gram")).join(table, "gram").withColumn("unit", F.explode(F.array(unit, unit - 1)))
+    spans = hits.groupBy("doc_id", "mark", "family", "number", "size", "unit").agg(F.size(F.collect_set("gram")).alias("hits"), F.min("at").alias("first"), F.max("at").alias("last"))
+    spans = spans.where(F.round(F.col("hits") / F.col("size"), 3) >= MIN_TEMPLATE).select("doc_id", "mark", "first", "last").distinct().alias("s")
+    found = words.distinct().alias("w").join(spans, F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.mark") == F.col("s.mark")))
+    return found.select("w.doc_id", F.lit(PASSAGE).alias("place"), F.array_join(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 2), " ").alias("line"))
+
+
 def classify(docs: DataFrame) -> DataFrame:
-    """One row per paragraph with a cue: doc_id, place, family, margin, probability, template_share, confirmed.
+    """One row per line with a cue and per passage: doc_id, place, family, margin, probability, template_share, confirmed.
 
     margin is the score of the best family over UNKNOWN's, in SCALE units; family is UNKNOWN where the calibrated probability is
     under MIN_PROBABILITY. Ties go to the family that comes first by name. Rows that repeat a document give it once.
     """
     spark, model = docs.sparkSession, train()
     n = len(model.families)
-    lines = paragraphs(docs).distinct()
+    lines = paragraphs(docs).unionByName(passages(docs)).distinct()
     keys = ("doc_id", "place", "line")
     weights = _table(spark, [(g, w) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, weights array<bigint>")
     exploded = lines.withColumn("gram", F.explode(_grams(F.col("line"))))
@@ -165,17 +188,19 @@ def classify(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_cues, licences (confirmed families in order, joined by a comma), n_unconfirmed.
 
+    n_cues and n_unconfirmed count single lines with a cue; licences has the families of lines and of passages.
     Null and empty texts, and texts without a cue, have no licence and an empty string. Rows of one id are one document; the
     result has one row for each id. An empty table gives an empty result.
     """
-    found = classify(docs).groupBy("doc_id").agg(F.count("*").alias("n_cues"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"), F.count_if(~F.col("confirmed")).alias("n_unconfirmed"))
+    line = F.col("place") != PASSAGE
+    found = classify(docs).groupBy("doc_id").agg(F.count_if(line).alias("n_cues"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"), F.count_if(line & ~F.col("confirmed")).alias("n_unconfirmed"))
     every = narrow(docs, "doc_id").distinct().alias("d")
     out = every.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
     return out.select("d.doc_id", F.coalesce("n_cues", F.lit(0)).alias("n_cues"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_unconfirmed", F.lit(0)).alias("n_unconfirmed"))
 
 
 def oracle_sql() -> str:
-    """The same scan in DuckDB's SQL, with the trained weights as literal rows."""
+    """The scan of single lines in DuckDB's SQL, with the trained weights as literal rows; it finds no notice that is wrapped."""
     model = train()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     weights = ", ".join(f"({quote(g)}, {w}::BIGINT[])" for g, w in zip(model.grams, model.weights, strict=True))
