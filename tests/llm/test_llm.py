@@ -280,6 +280,25 @@ def test_wrapped_licences(spark):
     assert got == {k: f for k, (f, _) in texts.items()}
 
 
+def test_licences_without_a_cue(spark):
+    texts = {1: ("CC-BY-SA", "Text is available under CC BY-SA 4.0"), 2: ("CC0", "Intro.\nReleased under CC0 1.0\nMore."), 3: ("GPL", "distributed under the GPL version 2"), 4: ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public"), 5: ("", "Students at MIT met the press under the bridge")}
+    rows = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(k, t) for k, (_, t) in texts.items()], "doc_id bigint, text string")).collect()}
+    assert {k: r.licences for k, r in rows.items()} == {k: f for k, (f, _) in texts.items()}
+    assert not any(r.n_cues or r.n_unconfirmed for r in rows.values())
+
+
+def test_licence_words_lose_no_template():
+    r = random.Random(8)
+    wanted: dict = {}
+    for family, i, g, _ in licences.templates():
+        wanted.setdefault((family, i), []).append(g)
+    for pairs in wanted.values():
+        for _ in range(50):
+            some = r.sample(pairs, next(n for n in range(len(pairs) + 1) if round(n / len(pairs), 3) >= licences.MIN_TEMPLATE))
+            text = " | ".join(some)
+            assert any(all(any(w in text for w in words) for words in sets) for sets in licences.needed())
+
+
 def test_multi_index_finds_all_within_radius():
     r = np.random.default_rng(1)
     index = decontaminate.build([(k, " ".join(f"t{x}" for x in r.integers(0, 500, 30))) for k in range(40)])

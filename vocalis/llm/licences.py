@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +51,7 @@ OTHER: tuple[str, ...] = (
     "the source of the river is in the mountains", "she asked permission to copy the file", "redistribution of wealth was debated in parliament", "the conditions of the contract were met",
     "The copyright office opens at nine", "common land and creative work by the author", "attribution of the painting is disputed", "it is and the of to in with for on at by",
 )
-#: A paragraph with none of these is of the unknown class by definition: no notice above does without them.
+#: Lines with one of these are counted (n_cues); which lines and texts are scored doesn't depend on them alone, see _may_hold().
 CUES = ("licen", "copyright", "copying", "permission", "redistribut", "public domain", "spdx", "all rights reserved")
 
 
@@ -129,15 +129,47 @@ def _has_cue(line: Column) -> Column:
     return out
 
 
+@cache
+def needed() -> list[list[list[str]]]:
+    """By template: sets of words, of each of which a text has one if it has MIN_TEMPLATE of the template's bigrams.
+
+    The bigrams without any word of a set are fewer than MIN_TEMPLATE of all. Two sets a template are enough to pass little else.
+    """
+    out = []
+    other = [grams(t) for t in OTHER]
+    by_template: dict[tuple[str, int], list[str]] = {}
+    for family, i, g, _ in templates():
+        by_template.setdefault((family, i), []).append(g)
+    for pairs in by_template.values():
+        words = sorted({w for g in pairs for w in g.split(" ")}, key=lambda w: (sum(w in o for o in other), -len(w), w))
+        sets, now = [], []
+        for w in words:
+            now.append(w)
+            if round(sum(not set(g.split(" ")) & set(now) for g in pairs) / len(pairs), 3) < MIN_TEMPLATE:
+                sets.append(now)
+                now = []
+        if sets[:2] not in out:
+            out.append(sets[:2])
+    return out
+
+
+def _may_hold(text: Column) -> Column:
+    """Whether a text can have MIN_TEMPLATE of a template's bigrams; true for each that has."""
+    either = lambda cs: reduce(lambda a, b: a | b, cs)
+    both = lambda cs: reduce(lambda a, b: a & b, cs)
+    return F.exists(F.array(text), lambda t: either([both([either([t.contains(w) for w in words]) for words in sets]) for sets in needed()]))
+
+
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """The model's own rows, a few thousand at most, as a literal table for a broadcast join."""
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, line) of the lines with a cue, lower-cased, over whole texts."""
-    lines = narrow(docs, "doc_id", "text").where(_has_cue(F.lower("text"))).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line"))
-    return lines.where(_has_cue(F.col("line")))
+    """(doc_id, place, line) of the lines that have a cue or may hold a notice, lower-cased; place is PASSAGE without a cue."""
+    lines = narrow(docs, "doc_id", "text").where(_has_cue(F.lower("text")) | _may_hold(F.lower("text"))).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line"))
+    cue = _has_cue(F.col("line"))
+    return lines.where(cue | _may_hold(F.col("line"))).withColumn("place", F.when(cue, F.col("place")).otherwise(PASSAGE))
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -146,7 +178,7 @@ def passages(docs: DataFrame) -> DataFrame:
     A stretch of as many words as a template lies in one of the units of twice that length that begin at each multiple of it.
     The passage reaches from a unit's first bigram of the template to its last.
     """
-    text = narrow(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text")).where(_has_cue(F.col("text")))
+    text = narrow(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text")).where(_may_hold(F.col("text")))
     words = text.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("words")).where(F.size("words") > 1)
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
     sizes = {(f, i): len(re.findall(TOKEN, t.lower())) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)}
@@ -160,7 +192,7 @@ def passages(docs: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """One row per line with a cue and per passage: doc_id, place, family, margin, probability, template_share, confirmed.
+    """One row per line that has a cue or may hold a notice, and per passage: doc_id, place, family, margin, probability, template_share, confirmed.
 
     margin is the score of the best family over UNKNOWN's, in SCALE units; family is UNKNOWN where the calibrated probability is
     under MIN_PROBABILITY. Ties go to the family that comes first by name. Rows that repeat a document give it once.
@@ -189,7 +221,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_cues, licences (confirmed families in order, joined by a comma), n_unconfirmed.
 
     n_cues and n_unconfirmed count single lines with a cue; licences has the families of lines and of passages.
-    Null and empty texts, and texts without a cue, have no licence and an empty string. Rows of one id are one document; the
+    Null and empty texts, and texts without a notice, have no licence and an empty string. Rows of one id are one document; the
     result has one row for each id. An empty table gives an empty result.
     """
     line = F.col("place") != PASSAGE
@@ -200,7 +232,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The scan of single lines in DuckDB's SQL, with the trained weights as literal rows; it finds no notice that is wrapped."""
+    """The scan of single lines in DuckDB's SQL, with the trained weights as literal rows; it finds no notice that is wrapped or has no cue."""
     model = train()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     weights = ", ".join(f"({quote(g)}, {w}::BIGINT[])" for g, w in zip(model.grams, model.weights, strict=True))
