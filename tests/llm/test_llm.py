@@ -141,6 +141,15 @@ def test_jaccard_edges(docs, empty):
     assert kept.count() == kept.select("doc_id").distinct().count()
 
 
+def test_jaccard_keeps_the_texts_of_repeated_ids(spark):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(f"t{r.randrange(900)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (None, b), (None, c), (5, a + " more"), (5, d), (5, d), (6, d + " more"), (7, None), (7, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(map(str, ((x.doc_id, x.text) for x in jaccard.one_of_each(table).collect())))
+    assert kept == sorted(map(str, [(1, a), (None, b), (None, c), (5, d), (7, None), (7, "")]))
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

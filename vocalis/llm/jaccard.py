@@ -313,6 +313,19 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest id of their component; of rows that repeat an id, one stays."""
-    first = components(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that are the first of their component, by id; of rows that repeat an id and its text, one stays.
+
+    Where ids are null or repeat, each text of an id is a document of its own: by id (null first), then by the text's hash.
+    """
+    ids = narrow(docs, "doc_id").groupBy("doc_id").count()
+    if ids.where(F.col("doc_id").isNull() | (F.col("count") > 1)).isEmpty():
+        first = components(docs, n, percent).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first"))
+        return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__mark")]
+    rows = marked.select("doc_id", "__mark").distinct().repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows = saved(rows.withColumn("__row", F.monotonically_increasing_id())).toDF("__id", "__its", "__row")  # ranges in order: so are the numbers
+    numbered = saved(marked.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__its"))))
+    found = components(numbered.select(F.col("__row").alias("doc_id"), "text"), n, percent)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
+    return numbered.join(first, F.col("__row") == F.col("__first"), "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in docs.columns])
