@@ -231,6 +231,35 @@ def test_language(spark, docs, empty):
     assert language.predict(docs.limit(3), language.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_rejects_noise_and_other_scripts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(table)
+    r = random.Random(4)
+    noise = [" ".join("".join(r.choices("bcdfghjklmnpqrstvwxz", k=r.randint(3, 9))) for _ in range(n)) for n in (10, 50, 200)]
+    noise += ["Москва является столицей Российской Федерации и крупнейшим городом. " * 4, "这是一个测试文本，没有拉丁字母。" * 20]
+    noise += ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=400))]
+    no_letter = ["²²² ½", "123 ①", "Ⅳ Ⅷ", "!!! --- ...", "😀😀", "\u0301\u0300", "", " \n\t", None]
+    rows = list(enumerate(noise + no_letter))
+    got = {x.doc_id: x for x in language.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for k, _ in rows[len(noise) :]:
+        assert (got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0.0, True)
+    assert all(got[k].rejected and got[k].lang_pred in model.languages for k in range(len(noise)))
+    kept = language.predict(table.where("text is not null"), model)
+    assert kept.where("rejected and lang_pred <> 'und'").count() <= 0.002 * kept.count()
+
+
+def test_language_fit_samples_by_count(spark, monkeypatch):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    text = [" ".join(random.Random(k).choices(WORDS, k=3000)) for k in range(40)]
+    long = spark.createDataFrame([(k, t, "xx") for k, t in enumerate(text)], "doc_id bigint, text string, lang string")
+    assert language.fit(long, 10).languages == ["xx"]
+    sized = language.fit(table, 20)
+    assert sized.centroids.shape == (len(sized.languages) * 3, language.DIMS)
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.fit(table)
+
+
 def brute(word: str, v: tokens.Vocabulary) -> tuple[float, int]:
     """The best segmentation by trying all."""
     best = {0: [(0.0, 0)]}
@@ -268,6 +297,12 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, links).count() == 0
 
 
+def test_toxicity_keeps_contradictory_labels():
+    word = np.asarray([1, 2, 1, 2, 1, 2, 3], dtype=np.uint64)
+    doc = np.asarray([0, 0, 1, 1, 2, 2, 3])
+    assert toxicity.distinct(doc, word, np.asarray([[1], [0], [1], [1]])).tolist() == [True, True, False, True]
+
+
 def test_licences(spark, docs, empty):
     texts = {1: "Intro.\nReleased under the MIT License.", 2: "Licensed under CC BY-NC 4.0.", 3: "He holds a fishing license for the lake.", 4: None, 5: "", 6: "This work is licensed under the GNU General Public License, version 3.\nLicensed under the Apache License, Version 2.0."}
     got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}

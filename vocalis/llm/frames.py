@@ -18,15 +18,27 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a folder of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where none is set, a local session (driver and executors on one machine) gets a folder of its own; on a cluster that raises.
+    """
     sc = spark.sparkContext
     folder = sc._jsc.sc().getCheckpointDir()
     if not folder.isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vocalis-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vocalis-checkpoint-"))
         folder = sc._jsc.sc().getCheckpointDir()
     return folder.get()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared folder."""
     shared_folder(df.sparkSession)

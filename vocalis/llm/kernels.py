@@ -82,8 +82,8 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return range_hash(prefix_hash(buf), starts, ends)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
-    """Cuts Arrow batches with the columns (doc_id, text) into chunks of about ``limit`` bytes; a longer document is a chunk alone.
+def chunks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20, most: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+    """Cuts Arrow batches with the columns (doc_id, text) into chunks of about ``limit`` bytes and at most ``most`` rows; a longer document is a chunk alone.
 
     A null text is an empty one here, and a null id reads as NULL_ID, the smallest.
     """
@@ -93,7 +93,7 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[
         ids = np.asarray(batch.column("doc_id").fill_null(NULL_ID)).astype(np.int64)
         first, size = 0, 0
         for i, t in enumerate(raw):
-            if size and size + len(t) > limit:
+            if size and (size + len(t) > limit or i - first >= most):
                 yield batch.slice(first, i - first), Chunk(ids[first:i], raw[first:i])
                 first, size = i, 0
             size += len(t) + 1

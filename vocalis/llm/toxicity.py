@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -70,15 +71,15 @@ def select(doc: np.ndarray, word: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sort(found[good[np.argsort(-evidence[good], kind="stable")[:FEATURES]]])
 
 
-def distinct(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """Of documents whose six least word hashes are the same, the first: copies would count as evidence more than once."""
-    first = np.searchsorted(doc, np.arange(n + 1))
+def distinct(doc: np.ndarray, word: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of documents with the same words and the same labels, the first: copies would count as evidence more than once."""
+    first = np.searchsorted(doc, np.arange(len(labels) + 1))
     seen: set[tuple] = set()
-    keep = np.zeros(n, dtype=bool)
-    for k in range(n):
-        sketch = tuple(word[first[k] : min(first[k] + 6, first[k + 1])].tolist())
-        keep[k] = sketch not in seen
-        seen.add(sketch)
+    keep = np.zeros(len(labels), dtype=bool)
+    for k in range(len(labels)):
+        whole = (word[first[k] : first[k + 1]].tobytes(), tuple(labels[k].tolist()))
+        keep[k] = whole not in seen
+        seen.add(whole)
     return keep
 
 
@@ -145,22 +146,41 @@ def train(doc: np.ndarray, word: np.ndarray, labels: np.ndarray, fold: np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> list[Link]:
-    """Trains on about ``rows`` labelled documents (whole texts), those of least id hash. Null labels count as 0; unlabelled and null texts are not used."""
+    """Trains on about ``rows`` labelled documents (whole texts), those of least id hash.
+
+    Null labels count as 0; unlabelled and null texts are not used. The sampled ids are broadcast (about ``rows`` of them), so the
+    texts are read in the scan and only word hashes of the sample leave it.
+    """
     known = narrow(labels, "doc_id", "quality", "toxic").where(F.col("doc_id").isNotNull())
     flags = known.groupBy("doc_id").agg(*[F.max(F.coalesce(rule(), F.lit(False)).cast("int")).alias(name) for name, rule in CATEGORIES])
     n = max(1, flags.count())
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    sample = flags.where(draw < int((1 << 30) * min(1.0, rows / n))).join(narrow(docs, "doc_id", "text").where(F.col("text").isNotNull()), "doc_id")
-    found = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
+    names = [name for name, _ in CATEGORIES]
+    drawn = flags.where(draw < int((1 << 30) * min(1.0, rows / n))).collect()
+    nothing = [Link(np.zeros(0, dtype=U64), np.zeros(0), np.zeros(k), -30.0, 1.0) for k in range(len(CATEGORIES))]
+    if not drawn:
+        return nothing
+    spark = docs.sparkSession
+    ids = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in drawn], "__drawn bigint"))
+    sample = narrow(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(ids, F.col("doc_id") == F.col("__drawn"), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, chunk in chunks(batches):
+            doc, word = presence(chunk)
+            first = np.searchsorted(doc, np.arange(len(chunk.ids) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([word[a:b].tobytes() for a, b in pairwise(first.tolist())], pa.binary())], ["doc_id", "words"])
+
+    found = sorted(sample.mapInArrow(run, "doc_id bigint, words binary").collect(), key=lambda r: (r.doc_id, bytes(r.words)))
     if not found:
-        return [Link(np.zeros(0, dtype=U64), np.zeros(0), np.zeros(k), -30.0, 1.0) for k in range(len(CATEGORIES))]
-    chunk = Chunk(np.asarray([r.doc_id for r in found]), [r.text.encode() for r in found])
-    doc, word = presence(chunk)
-    keep = distinct(doc, word, len(found))
+        return nothing
+    flag = {r.doc_id: [r[name] for name in names] for r in drawn}
+    y = np.asarray([flag[r.doc_id] for r in found])
+    bags = [np.frombuffer(r.words, dtype=U64) for r in found]
+    doc, word = np.repeat(np.arange(len(bags)), [len(w) for w in bags]), np.concatenate(bags)
+    keep = distinct(doc, word, y)
     use = keep[doc]
     place = np.cumsum(keep) - 1
-    y = np.asarray([[r[name] for name, _ in CATEGORIES] for r in found])[keep]
-    return train(place[doc[use]], word[use], y, np.arange(len(y)) % FOLDS)
+    return train(place[doc[use]], word[use], y[keep], np.arange(int(keep.sum())) % FOLDS)
 
 
 SCHEMA = "doc_id bigint, toxic boolean, " + ", ".join(f"p_{name} double" for name, _ in CATEGORIES) + ", categories string"
