@@ -1,11 +1,15 @@
 """Licence scans: a trained paragraph classifier, with DataFrame operations only over the data.
 
-The model is a multinomial logistic regression over the presence of word unigrams and bigrams, trained here from the notices
-below; one class stands for text without a licence. Weights are whole numbers (SCALE units), so that sums don't depend on
-order. A temperature, fitted on notices held out of training, calibrates the probabilities; a paragraph below MIN_PROBABILITY
-is unknown. A prediction counts only if a template of the predicted family shares enough of its bigrams with the paragraph.
-Notices that are wrapped over lines are found as passages: stretches of a text's words, whatever lines they are on, that hold
-enough bigrams of a template. A passage is classified like a line.
+A paragraph is a block of lines between blank lines; its words run on over line ends, and comment marks are no words. The model
+has a logistic regression for each licence family over the presence of word unigrams and bigrams, with an L1 penalty that leaves
+few weights. It is trained on the notices of ``notices.py``, alone, in other text and in pairs, against text that grants nothing.
+Weights are whole numbers (SCALE units), so that sums don't depend on order. A temperature, fitted on notices held out of
+training, calibrates the probabilities; a paragraph is unknown where no family reaches MIN_PROBABILITY. A prediction counts only
+if a template of that family (a name, or a piece of a passage) has MIN_TEMPLATE of its bigrams in the paragraph.
+
+Every paragraph is classified. For most, one look suffices: words() are such that a paragraph without any of them can't reach
+MIN_PROBABILITY for a family, whatever else it holds, since the sum of all positive weights that are left stays under the
+intercept. The others' n-grams are joined with the weights; only hashes of places travel with them, never text.
 """
 
 from __future__ import annotations
@@ -19,242 +23,238 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocalis.llm.frames import narrow
+from vocalis.llm.notices import FUNCTION_WORDS, NAMES, OTHER, PASSAGES, SPDX, VERBS
 
 SCALE = 1000
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.6
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Between paragraphs: a line end, then a line without letters and digits.
+BLANK = r"\n[^a-z0-9\n]*\n"
+#: Words in a piece of a passage.
+PIECE = 12
 UNKNOWN = "unknown"
-#: The place of what isn't a line with a cue.
-PASSAGE = -1
-
-# Short notices of licence families, as they stand in public licence texts and headers.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL": ("licensed under the GNU Affero General Public License version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "released under the Apache License 2.0"),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "licensed under the BSD 3-Clause License", "distributed under the BSD license", "SPDX-License-Identifier: BSD-3-Clause"),
-    "CC-BY": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0", "released under the Creative Commons Attribution License"),
-    "CC-BY-NC": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0", "licensed under CC BY-NC-SA 4.0 for noncommercial use"),
-    "CC-BY-SA": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0", "text is available under the Creative Commons Attribution-ShareAlike License"),
-    "CC0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "dedicated to the public domain under CC0 1.0 Universal", "licensed under CC0 1.0"),
-    "GPL": ("This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-or-later", "licensed under the GPL version 2"),
-    "LGPL": ("licensed under the GNU Lesser General Public License version 3", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    "MIT": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "licensed under the MIT License", "SPDX-License-Identifier: MIT"),
-    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
-    "proprietary": ("All rights reserved. No part of this publication may be reproduced without prior written permission", "Copyright. All rights reserved", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited"),
-}
-# Text about licences that grants none, and text about other things.
-OTHER: tuple[str, ...] = (
-    "The driver showed a licence to the officer before the test", "A fishing license is required in this state", "The committee will issue a license to operate the station",
-    "Poetic licence lets an author change the order of events", "The new version of the software was released on Monday", "The general public was free to visit the museum",
-    "This work is under review by the board", "the public meeting was held under the terms of the agreement", "version 2.0 of the report is available on the site",
-    "Students at MIT met the press", "The Mozilla team and the Apache helicopter crew attended the show", "free copies of the documentation were handed out",
-    "the source of the river is in the mountains", "she asked permission to copy the file", "redistribution of wealth was debated in parliament", "the conditions of the contract were met",
-    "The copyright office opens at nine", "common land and creative work by the author", "attribution of the painting is disputed", "it is and the of to in with for on at by",
-)
-#: Lines with one of these are counted (n_cues); which lines and texts are scored doesn't depend on them alone, see _may_hold().
-CUES = ("licen", "copyright", "copying", "permission", "redistribut", "public domain", "spdx", "all rights reserved")
+
+
+def tokens(text: str) -> list[str]:
+    return re.findall(TOKEN, text.lower())
 
 
 def grams(text: str) -> set[str]:
-    words = re.findall(TOKEN, text.lower())
+    words = tokens(text)
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+def telling(gram: str) -> bool:
+    """Whether a word or pair has a word that isn't among the commonest of text without a notice."""
+    return not set(gram.split(" ")) <= _common()
+
+
+@cache
+def _common() -> set[str]:
+    often: dict[str, int] = {}
+    for t in OTHER:
+        for w in set(tokens(t)):
+            often[w] = often.get(w, 0) + 1
+    return {w for w, n in often.items() if n >= 5} | set(FUNCTION_WORDS)
+
+
+def examples() -> list[tuple[set[str], set[str]]]:
+    """(n-grams, families): each name after some of VERBS, identifiers, passages and their pieces; each of those within other text
+    and beside a notice of another family; and text without a notice, alone and in pairs."""
+    single = []
+    for k, family in enumerate(sorted(NAMES)):
+        for i, name in enumerate(NAMES[family]):
+            single += [(f"{VERBS[(k + i + 3 * j) % len(VERBS)]} {name}", family) for j in range(3)] + [(name, family)]
+        single += [(f"SPDX-License-Identifier: {x}", family) for x in SPDX.get(family, ())]
+        single += [(p, family) for p in PASSAGES[family]]
+    bags = [(grams(t), {f}) for t, f in single]
+    other = [grams(t) for t in OTHER]
+    bags += [(b | other[(7 * i) % len(other)], f) for i, (b, f) in enumerate(bags)]
+    n = len(single)
+    bags += [(bags[i][0] | bags[(i * 5 + n // 2) % n][0], bags[i][1] | bags[(i * 5 + n // 2) % n][1]) for i in range(0, n, 2)]
+    bags += [(o, set()) for o in other] + [(o | other[(i + s) % len(other)], set()) for s in (1, 5, 17) for i, o in enumerate(other)]
+    return [*bags, (set(), set())]
+
+
 @dataclass
 class Model:
-    families: list[str]  # the last is UNKNOWN
-    grams: list[str]
+    families: list[str]
+    grams: list[str]  # those with a weight
     weights: list[list[int]]  # by gram, then family
-    intercepts: list[int]
+    intercepts: list[int]  # negative
     temperature: float
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 400, rate: float = 0.5, ridge: float = 0.002) -> np.ndarray:
-    x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros((x.shape[1], classes))
-    target = np.eye(classes)[y]
-    weight = (1 / np.bincount(y, minlength=classes).clip(1))[y][:, None]
+def _fit(x: np.ndarray, y: np.ndarray, lasso: float = 3e-4, rounds: int = 120, start: np.ndarray | None = None) -> np.ndarray:
+    """Accelerated proximal gradient on the mean logistic loss, positives weighted up to a fifth of all; the intercept comes last and isn't penalised."""
+    x = np.column_stack((x, np.ones(len(x)))).astype(np.float32)
+    share = y.mean(axis=0, keepdims=True).clip(1e-6)
+    weight = (np.where(y > 0, np.maximum(1, 0.2 / share), 1) / len(x)).astype(np.float32)
+    step = 4 / float(np.linalg.norm(x, 2) ** 2 / len(x) * weight.max() * len(x))
+    w = v = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32) if start is None else start
+    t = 1.0
     for _ in range(rounds):
-        gradient = x.T @ (weight * (_softmax(x @ w) - target)) / classes
-        gradient[:-1] += ridge * w[:-1]
-        w -= rate * classes * gradient
+        after = v - step * (x.T @ (weight * (_sigmoid(x @ v) - y)))
+        after[:-1] = np.sign(after[:-1]) * np.maximum(np.abs(after[:-1]) - step * lasso, 0)
+        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        w, v = after, after + (before - 1) / t * (after - w)
     return w
 
 
 @cache
 def train() -> Model:
-    """Deterministic; the held-out notices for the temperature are every third one of each family."""
-    families = [*sorted(TEMPLATES), UNKNOWN]
-    rows = [(t, families.index(f), i) for f in sorted(TEMPLATES) for i, t in enumerate(TEMPLATES[f])] + [(t, len(families) - 1, i) for i, t in enumerate(OTHER)]
-    bags = [grams(t) for t, _, _ in rows]
-    names = sorted(set().union(*bags))
+    """Deterministic. The rows held out for the temperature are every fifth one."""
+    families = sorted(NAMES)
+    rows = examples()
+    names = sorted(g for g in set().union(*(grams(t) for family in NAMES for t in (*NAMES[family], *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(family, ())), *PASSAGES[family]))) if telling(g))
     at = {g: k for k, g in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for k, bag in enumerate(bags):
-        x[k, [at[g] for g in bag]] = 1
-    y = np.asarray([r[1] for r in rows])
-    held = np.asarray([r[2] % 3 == 2 for r in rows])
-    z = np.column_stack((x[held], np.ones(held.sum()))) @ _fit(x[~held], y[~held], len(families))
-    loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]]).mean()
-    temperature = min((0.25 * k for k in range(2, 17)), key=loss)
-    w = np.rint(_fit(x, y, len(families)) * SCALE).astype(int)
-    return Model(families, names, w[:-1].tolist(), w[-1].tolist(), temperature)
-
-
-def templates() -> list[tuple[str, int, str, int]]:
-    """(family, number, bigram, bigrams of that template)."""
-    out = []
-    for family, texts in sorted(TEMPLATES.items()):
-        for i, t in enumerate(texts):
-            pairs = sorted(g for g in grams(t) if " " in g) or sorted(grams(t))
-            out += [(family, i, g, len(pairs)) for g in pairs]
-    return out
-
+    x, y = np.zeros((len(rows), len(names)), dtype=np.float32), np.zeros((len(rows), len(families)), dtype=np.float32)
+    for k, (bag, own) in enumerate(rows):
+        x[k, [at[g] for g in bag if g in at]] = 1
+        y[k, [families.index(f) for f in own]] = 1
+    held = np.arange(len(rows)) % 5 == 4
+    w = _fit(x[~held], y[~held])
+    z = x[held] @ w[:-1] + w[-1]
+    loss = lambda t: -np.log(np.where(y[held] > 0, _sigmoid(z / t), 1 - _sigmoid(z / t)).clip(1e-9)).mean()
+    temperature = min((0.1 * k for k in range(1, 31)), key=loss)
+    whole = np.rint(_fit(x, y, rounds=60, start=w) * SCALE).astype(int)
+    used = np.flatnonzero((whole[:-1] != 0).any(axis=1))
+    return Model(families, [names[k] for k in used], whole[used].tolist(), np.minimum(whole[-1], -1).tolist(), temperature)
 
-def _grams(line: Column) -> Column:
-    words = F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))))
 
-
-def _has_cue(line: Column) -> Column:
-    out = F.lit(False)
-    for c in CUES:
-        out |= line.contains(c)
-    return out
+@cache
+def words() -> list[str]:
+    """Words of which a paragraph holds one if a family's score can reach 0 (MIN_PROBABILITY): rare and telling words first."""
+    model = train()
+    weights = np.asarray(model.weights)
+    parts = [set(g.split(" ")) for g in model.grams]
+    other = [grams(t) for t in OTHER]
+    often = {w: sum(w in o for o in other) for w in set().union(*parts)}
+    found: set[str] = set()
+    for f in range(len(model.families)):
+        left = {k: int(weights[k, f]) for k in np.flatnonzero(weights[:, f] > 0) if not parts[k] & found}
+        while sum(left.values()) >= -model.intercepts[f]:
+            total: dict[str, int] = {}
+            for k, v in left.items():
+                for w in parts[k]:
+                    total[w] = total.get(w, 0) + v
+            best = max(sorted(total), key=lambda w: total[w] / (1 + 4 * often[w] ** 2) / (1000 if w in _common() or len(w) < 3 and not w.isalpha() or len(w) < 2 else 1))
+            found.add(best)
+            left = {k: v for k, v in left.items() if best not in parts[k]}
+    return sorted(found)
 
 
 @cache
-def needed() -> list[list[list[str]]]:
-    """By template: sets of words, of each of which a text has one if it has MIN_TEMPLATE of the template's bigrams.
-
-    The bigrams without any word of a set are fewer than MIN_TEMPLATE of all. Two sets a template are enough to pass little else.
-    """
-    out = []
-    other = [grams(t) for t in OTHER]
-    by_template: dict[tuple[str, int], list[str]] = {}
-    for family, i, g, _ in templates():
-        by_template.setdefault((family, i), []).append(g)
-    for pairs in by_template.values():
-        words = sorted({w for g in pairs for w in g.split(" ")}, key=lambda w: (sum(w in o for o in other), -len(w), w))
-        sets, now = [], []
-        for w in words:
-            now.append(w)
-            if round(sum(not set(g.split(" ")) & set(now) for g in pairs) / len(pairs), 3) < MIN_TEMPLATE:
-                sets.append(now)
-                now = []
-        if sets[:2] not in out:
-            out.append(sets[:2])
+def templates() -> list[tuple[str, int, str, int]]:
+    """(family, number, bigram or the only word, how many that template has). Numbers are unique over all families."""
+    out, number = [], 0
+    for family in sorted(NAMES):
+        texts = [tokens(n) for n in NAMES[family]] + [tokens(f"SPDX-License-Identifier: {x}") for x in SPDX.get(family, ())]
+        for p in PASSAGES[family]:
+            t = tokens(p)
+            texts += [t[i : i + PIECE] for i in range(0, max(1, len(t) - PIECE // 2), PIECE)]
+        for t in texts:
+            pairs = sorted({f"{a} {b}" for a, b in zip(t, t[1:], strict=False)}) or t
+            out += [(family, number, g, len(pairs)) for g in pairs]
+            number += 1
     return out
 
 
-def _may_hold(text: Column) -> Column:
-    """Whether a text can have MIN_TEMPLATE of a template's bigrams; true for each that has."""
-    either = lambda cs: reduce(lambda a, b: a | b, cs)
-    both = lambda cs: reduce(lambda a, b: a & b, cs)
-    return F.exists(F.array(text), lambda t: either([both([either([t.contains(w) for w in words]) for words in sets]) for sets in needed()]))
+def pattern() -> str:
+    """One regular expression for words(), branched by first letter; it also finds those that a dot or hyphen joins to others."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words():
+        by_letter.setdefault(w[0], []).append(w[1:].replace(".", r"\."))
+    return "(?:^|[^a-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(by_letter.items())) + ")(?![a-z0-9])"
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """The model's own rows, a few thousand at most, as a literal table for a broadcast join."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def _grams(paragraph: Column) -> Column:
+    """Words and pairs of neighbours, each once. A word and the next one make a pair; the last word's pair has no second word."""
+    found = F.regexp_extract_all(paragraph, F.lit(TOKEN), F.lit(0))
+    pairs = F.zip_with(found, F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return F.array_distinct(F.concat(found, pairs))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, line) of the lines that have a cue or may hold a notice, lower-cased; place is PASSAGE without a cue."""
-    lines = narrow(docs, "doc_id", "text").where(_has_cue(F.lower("text")) | _may_hold(F.lower("text"))).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line"))
-    cue = _has_cue(F.col("line"))
-    return lines.where(cue | _may_hold(F.col("line"))).withColumn("place", F.when(cue, F.col("place")).otherwise(PASSAGE))
+    """(doc_id, row, place, paragraph) of the paragraphs that hold one of words(), in lower case; ``row`` tells rows of one id apart."""
+    text = narrow(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text")).where(F.col("text").rlike(pattern()))
+    blocks = text.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", BLANK)).alias("place", "paragraph"))
+    return blocks.where(F.col("paragraph").rlike(pattern()))
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, line) of the passages with MIN_TEMPLATE of a template's bigrams, lines joined, comment marks dropped; place is PASSAGE.
-
-    A stretch of as many words as a template lies in one of the units of twice that length that begin at each multiple of it.
-    The passage reaches from a unit's first bigram of the template to its last.
-    """
-    text = narrow(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text")).where(_may_hold(F.col("text")))
-    words = text.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("words")).where(F.size("words") > 1)
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    sizes = {(f, i): len(re.findall(TOKEN, t.lower())) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)}
-    table = _table(docs.sparkSession, [(f, i, g, n, sizes[f, i]) for f, i, g, n in templates()], "family string, number int, gram string, size int, n_words int")
-    unit = F.floor(F.col("at") / F.col("n_words"))
-    hits = words.select("doc_id", "mark", F.posexplode(pairs).alias("at", "gram")).join(table, "gram").withColumn("unit", F.explode(F.array(unit, unit - 1)))
-    spans = hits.groupBy("doc_id", "mark", "family", "number", "size", "unit").agg(F.size(F.collect_set("gram")).alias("hits"), F.min("at").alias("first"), F.max("at").alias("last"))
-    spans = spans.where(F.round(F.col("hits") / F.col("size"), 3) >= MIN_TEMPLATE).select("doc_id", "mark", "first", "last").distinct().alias("s")
-    found = words.distinct().alias("w").join(spans, F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.mark") == F.col("s.mark")))
-    return found.select("w.doc_id", F.lit(PASSAGE).alias("place"), F.array_join(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 2), " ").alias("line"))
+def _model_table(spark: SparkSession) -> DataFrame:
+    """The model's own rows, some thousand: by gram, its weights and the numbers of the templates that have it."""
+    model, of = train(), {}
+    for _, number, g, _ in templates():
+        of.setdefault(g, []).append(number)
+    known = dict(zip(model.grams, model.weights, strict=True))
+    rows = [(g, known.get(g, [0] * len(model.families)), of.get(g, [])) for g in sorted({*known, *of})]
+    return F.broadcast(spark.createDataFrame(rows, "gram string, weights array<bigint>, templates array<int>"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """One row per line that has a cue or may hold a notice, and per passage: doc_id, place, family, margin, probability, template_share, confirmed.
+    """One row per paragraph that holds one of words(): doc_id, row, place, p_unknown, predicted, confirmed (arrays of families).
 
-    margin is the score of the best family over UNKNOWN's, in SCALE units; family is UNKNOWN where the calibrated probability is
-    under MIN_PROBABILITY. Ties go to the family that comes first by name. Rows that repeat a document give it once.
+    p_unknown is the calibrated probability that no family is right. Paragraphs without such a word are unknown and have no row.
     """
-    spark, model = docs.sparkSession, train()
-    n = len(model.families)
-    lines = paragraphs(docs).unionByName(passages(docs)).distinct()
-    keys = ("doc_id", "place", "line")
-    weights = _table(spark, [(g, w) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, weights array<bigint>")
-    exploded = lines.withColumn("gram", F.explode(_grams(F.col("line"))))
-    sums = exploded.join(weights, "gram", "left").groupBy(*keys).agg(*[F.coalesce(F.sum(F.col("weights")[k]), F.lit(0)).alias(f"s{k}") for k in range(n)])
-    score = [F.col(f"s{k}") + model.intercepts[k] for k in range(n)]
-    best = F.greatest(*score[:-1])
-    name = F.coalesce(*[F.when(score[k] == best, F.lit(model.families[k])) for k in range(n - 1)])
-    total = sum((F.exp((s - best) / (SCALE * model.temperature)) for s in score), F.lit(0.0))
-    scored = sums.select(*keys, name.alias("guess"), (best - score[-1]).alias("margin"), F.round(1 / total, 3).alias("probability"))
-    pairs = _table(spark, templates(), "family string, number int, gram string, size int")
-    shares = exploded.join(pairs, "gram").groupBy(*keys, "family", "number", "size").agg(F.count("*").alias("hits")).groupBy(*keys, "family").agg(F.max(F.col("hits") / F.col("size")).alias("template_share"))
-    joined = scored.join(shares.withColumnRenamed("family", "guess"), [*keys, "guess"], "left")
-    known = (F.col("probability") >= MIN_PROBABILITY) & (F.col("margin") > 0)
-    share = F.round(F.coalesce("template_share", F.lit(0.0)), 3)
-    return joined.select("doc_id", "place", F.when(known, F.col("guess")).otherwise(UNKNOWN).alias("family"), "margin", "probability", share.alias("template_share"), (known & (share >= MIN_TEMPLATE)).alias("confirmed"))
+    model = train()
+    names = model.families
+    needs = {number: (number, family, int(np.ceil(MIN_TEMPLATE * size - 1e-9))) for family, number, _, size in templates()}
+    every = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(f).alias("family"), F.lit(k).alias("need")) for n, f, k in needs.values()])
+    spread = paragraphs(docs).select("doc_id", "row", "place", F.explode(_grams(F.col("paragraph"))).alias("gram"))
+    scores = [F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(len(names))]
+    sums = spread.join(_model_table(docs.sparkSession), "gram").groupBy("doc_id", "row", "place").agg(*scores, F.flatten(F.collect_list("templates")).alias("hits"))
+    z = [F.col(f"s{k}") + model.intercepts[k] for k in range(len(names))]
+    free = reduce(lambda a, b: a * b, [1 / (1 + F.exp(s / (SCALE * model.temperature))) for s in z])
+    predicted = F.array_compact(F.array(*[F.when(s >= 0, F.lit(f)) for s, f in zip(z, names, strict=True)]))
+    shown = F.filter(every, lambda t: F.array_contains("predicted", t["family"]) & (F.size(F.filter("hits", lambda h: h == t["number"])) >= t["need"]))
+    out = sums.select("doc_id", "row", "place", "hits", F.round(free, 3).alias("p_unknown"), predicted.alias("predicted"))
+    return out.select("doc_id", "row", "place", "p_unknown", "predicted", F.array_distinct(F.transform(shown, lambda t: t["family"])).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_cues, licences (confirmed families in order, joined by a comma), n_unconfirmed.
+    """One row per id: doc_id, n_predicted, licences (confirmed families in order, joined by a comma), n_unconfirmed.
 
-    n_cues and n_unconfirmed count single lines with a cue; licences has the families of lines and of passages.
-    Null and empty texts, and texts without a notice, have no licence and an empty string. Rows of one id are one document; the
-    result has one row for each id. An empty table gives an empty result.
+    n_predicted counts the paragraphs with a predicted family, n_unconfirmed those of them without a confirmed one. Null and empty
+    texts, and texts without a notice, have no licence and an empty string. Rows of one id are one document: families of all of
+    them, and the most paragraphs of one. An empty table gives an empty result.
     """
-    line = F.col("place") != PASSAGE
-    found = classify(docs).groupBy("doc_id").agg(F.count_if(line).alias("n_cues"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"), F.count_if(line & ~F.col("confirmed")).alias("n_unconfirmed"))
-    every = narrow(docs, "doc_id").distinct().alias("d")
-    out = every.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-    return out.select("d.doc_id", F.coalesce("n_cues", F.lit(0)).alias("n_cues"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_unconfirmed", F.lit(0)).alias("n_unconfirmed"))
+    by_row = classify(docs).groupBy("doc_id", "row").agg(
+        F.count_if(F.size("predicted") > 0).alias("n_predicted"),
+        F.flatten(F.collect_set("confirmed")).alias("families"),
+        F.count_if((F.size("predicted") > 0) & (F.size("confirmed") == 0)).alias("n_unconfirmed"),
+    )
+    nothing = narrow(docs, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("n_predicted"), F.array().cast("array<string>").alias("families"), F.lit(0).cast("bigint").alias("n_unconfirmed"))
+    every = by_row.select("doc_id", "n_predicted", "families", "n_unconfirmed").unionByName(nothing.distinct())
+    out = every.groupBy("doc_id").agg(F.max("n_predicted").alias("n_predicted"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("licences"), F.max("n_unconfirmed").alias("n_unconfirmed"))
+    return out.select("doc_id", "n_predicted", "licences", "n_unconfirmed")
 
 
 def oracle_sql() -> str:
-    """The scan of single lines in DuckDB's SQL, with the trained weights as literal rows; it finds no notice that is wrapped or has no cue."""
+    """The whole scan in DuckDB's SQL, with the trained weights and the templates as literal rows; it scores every paragraph."""
     model = train()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     weights = ", ".join(f"({quote(g)}, {w}::BIGINT[])" for g, w in zip(model.grams, model.weights, strict=True))
     pairs = ", ".join(f"({quote(f)}, {i}, {quote(g)}, {n})" for f, i, g, n in templates())
     k = range(len(model.families))
-    cue = lambda c: "(" + " OR ".join(f"contains({c}, {quote(x)})" for x in CUES) + ")"
-    score = [f"s{i} + ({model.intercepts[i]})" for i in k]
-    best = f"greatest({', '.join(score[:-1])})"
     return f"""
 WITH w(gram, weights) AS (VALUES {weights}), t(family, number, gram, size) AS (VALUES {pairs}),
-l0 AS (SELECT doc_id, string_split(lower(text), chr(10)) AS ls FROM documents WHERE {cue('lower(text)')}),
-l1 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS place FROM l0),
-l AS (SELECT DISTINCT doc_id, place, line FROM l1 WHERE {cue('line')}),
-a AS (SELECT *, regexp_extract_all(line, '{TOKEN}') AS ws FROM l),
-g AS (SELECT DISTINCT doc_id, place, line, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM a),
-s AS (SELECT doc_id, place, line, {', '.join(f'coalesce(sum(weights[{i + 1}]), 0)::BIGINT AS s{i}' for i in k)} FROM g LEFT JOIN w USING (gram) GROUP BY doc_id, place, line),
-b AS (SELECT doc_id, place, line, coalesce({', '.join(f'CASE WHEN {score[i]} = {best} THEN {quote(model.families[i])} END' for i in k[:-1])}) AS guess,
-  {best} - ({score[-1]}) AS margin, round(1 / ({' + '.join(f'exp(({x} - {best}) / {SCALE * model.temperature}::DOUBLE)' for x in score)}), 3) AS probability FROM s),
-h AS (SELECT doc_id, place, line, family, number, size, count(*) / size AS share FROM g JOIN t USING (gram) GROUP BY doc_id, place, line, family, number, size),
-m AS (SELECT doc_id, place, line, family AS guess, max(share) AS share FROM h GROUP BY doc_id, place, line, family),
-c AS (SELECT b.doc_id, guess, probability >= {MIN_PROBABILITY} AND margin > 0 AND round(coalesce(share, 0), 3) >= {MIN_TEMPLATE} AS confirmed FROM b LEFT JOIN m USING (doc_id, place, line, guess)),
-f AS (SELECT doc_id, count(*) AS n_cues, coalesce(array_to_string(list_sort(list_distinct(list(guess) FILTER (WHERE confirmed))), ','), '') AS licences, count(*) FILTER (WHERE NOT confirmed) AS n_unconfirmed FROM c GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_cues, 0) AS n_cues, coalesce(licences, '') AS licences, coalesce(n_unconfirmed, 0) AS n_unconfirmed
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
+d AS (SELECT doc_id, row_number() OVER () AS rn, string_split_regex(lower(text), '\\n[^a-z0-9\\n]*\\n') AS ps FROM documents),
+p AS (SELECT doc_id, rn, unnest(ps) AS paragraph, unnest(range(len(ps))) AS place FROM d),
+a AS (SELECT doc_id, rn, place, regexp_extract_all(paragraph, '{TOKEN}') AS ws FROM p),
+g AS (SELECT DISTINCT doc_id, rn, place, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM a),
+s AS (SELECT doc_id, rn, place, {', '.join(f'sum(weights[{i + 1}])::BIGINT + ({model.intercepts[i]}) AS s{i}' for i in k)} FROM g JOIN w USING (gram) GROUP BY doc_id, rn, place),
+f AS (SELECT doc_id, rn, place, unnest([{', '.join(quote(f) for f in model.families)}]) AS family, unnest([{', '.join(f's{i}' for i in k)}]) AS score FROM s),
+h AS (SELECT doc_id, rn, place, family, max(share) AS share FROM (SELECT doc_id, rn, place, family, number, count(*) / size AS share FROM g JOIN t USING (gram) GROUP BY doc_id, rn, place, family, number, size) GROUP BY doc_id, rn, place, family),
+c AS (SELECT f.doc_id, f.rn, f.place, f.family, coalesce(h.share, 0) >= {MIN_TEMPLATE} - 1e-9 AS confirmed FROM f LEFT JOIN h ON f.rn = h.rn AND f.place = h.place AND f.family = h.family WHERE f.score >= 0),
+q AS (SELECT doc_id, rn, place, bool_or(confirmed) AS confirmed FROM c GROUP BY doc_id, rn, place),
+n AS (SELECT doc_id, rn, count(*) AS n_predicted, count(*) FILTER (WHERE NOT confirmed) AS n_unconfirmed FROM q GROUP BY doc_id, rn),
+m AS (SELECT doc_id, max(n_predicted) AS n_predicted, max(n_unconfirmed) AS n_unconfirmed FROM n GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT family, ',' ORDER BY family) AS licences FROM c WHERE confirmed GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_predicted, 0)::BIGINT AS n_predicted, coalesce(licences, '') AS licences, coalesce(n_unconfirmed, 0)::BIGINT AS n_unconfirmed
+FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN m ON x.doc_id IS NOT DISTINCT FROM m.doc_id LEFT JOIN l ON x.doc_id IS NOT DISTINCT FROM l.doc_id
 """
