@@ -129,9 +129,36 @@ def test_jaccard(docs, n, percent):
 
 
 def test_jaccard_in_blocks(docs, monkeypatch):
-    plain = sorted(map(str, jaccard.components(docs).distinct().collect()))
-    monkeypatch.setattr(jaccard, "GROUP_SETS", 2)
-    assert sorted(map(str, jaccard.components(docs).distinct().collect())) == plain
+    plain = sorted(map(str, jaccard.components(docs, 5, 60).distinct().collect()))
+    monkeypatch.setattr(jaccard, "STAR", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    assert sorted(map(str, jaccard.components(docs, 5, 60).distinct().collect())) == plain
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_signature_tree(percent):
+    r = np.random.default_rng(percent)
+    sets = [np.unique(r.integers(0, 1 << 62, r.integers(1, 90)).astype(np.uint64)) for _ in range(60)]
+    for _ in range(200):
+        s = sets[r.integers(0, len(sets))]
+        keep = s[r.random(len(s)) < 0.97]
+        sets.append(np.unique(np.concatenate((keep, r.integers(0, 1 << 62, r.integers(0, 4)).astype(np.uint64), s[:1]))))
+    root = jaccard.Tree(sets).link(percent)
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                one, two = parent[i], parent[j]
+                parent = [min(one, two) if p in (one, two) else p for p in parent]
+    assert len({(a, b) for a, b in zip(root.tolist(), parent, strict=True)}) == len(set(parent)) == len(set(root.tolist()))
+
+
+def test_jaccard_of_a_long_chain(spark):
+    n = 10_000
+    rows = [(k, " ".join(f"c{k + i}" for i in range(40))) for k in range(0, n)]
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 90)
+    assert got.where("component_id <> 0").count() == 0
 
 
 def test_jaccard_edges(docs, empty):
@@ -174,6 +201,23 @@ def test_fair_mix(docs, empty, spark):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_mixed_documents(docs, empty, spark):
+    clash = docs.withColumn("taken", docs.doc_id).withColumn("size", docs.doc_id)
+    out = mixing.mixed_documents(clash)
+    assert out.columns == [*clash.columns, "mix_size", "source_size", "target", "mix_taken", "copies", "first_finish"]
+    key = lambda r: str((r.doc_id, r.text, r.source, r.name))
+    assert sorted(map(key, out.collect())) == sorted(map(key, docs.collect()))
+    by_id = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert {r.doc_id: r.mix_taken for r in out.where("doc_id < 60").collect()} == {k: v for k, v in by_id.items() if k is not None and k < 60}
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_mix_in_many_ranges(docs, monkeypatch):
+    plain = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 4)
+    assert sorted(map(str, mixing.mix(docs).collect())) == plain
+
+
 @pytest.mark.parametrize("name", sorted(["op2_weighted_fair_mix", "op7_licence_classifier"]))
 def test_sql(spark, name):
     con = duckdb.connect()

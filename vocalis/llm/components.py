@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 from vocalis.llm.frames import saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with more than this share of all edge ends is a hub; there can't be more hubs than its inverse.
+HUB_SHARE = 1 / 2000
+
+
+def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Each edge (u, v) with m, the least neighbour of u. Hubs' rows are few by arithmetic and broadcast, so their edges stay where they are."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    most = max(100, int(2 * n_edges * HUB_SHARE))
+    hubs = F.broadcast(least.where(F.col("degree") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, F.col("u") == F.col("hub"), "left")
+    rest = marked.where("hub is null").select("u", "v").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
+    return rest.select("u", "v", "m").unionByName(marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, n_edges).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+    rest = _with_least(edges, n_edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -33,4 +45,4 @@ def connected(edges: DataFrame) -> DataFrame:
         if (seen.n, seen.h) == mark or not seen.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (seen.n, seen.h)
-        now = saved(_small_star(_large_star(now)))
+        now = saved(_small_star(_large_star(now, seen.n), seen.n))

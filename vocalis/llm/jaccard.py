@@ -1,13 +1,17 @@
 """N-gram Jaccard join with signature trees.
 
-1. A document is the set of its word n-grams; equal sets are one node.
+1. A document is the set of its word n-grams; equal sets are one node, which stands at two levels: its own size class's and the next.
 2. Routing without loss. Two sets within the threshold differ in at most H items, where H follows from their size classes. The
-   items are dealt by hash to more than H segments; at least one segment of such sets is equal. Sets that share no segment need no
-   comparison. Shared segments give candidate groups (connected components over nodes, not documents).
-3. Inside a group, signature trees: a node holds the OR of its sets' token bitmaps and its size range. A dual traversal from
+   items are dealt by hash to more than H segments; at least one segment of such sets is equal, at one level. Sets that share no
+   segment need no comparison.
+3. First look. Each node goes to one star, that of the least node it shares a segment with, in blocks of STAR sets; the star's
+   centre goes along to each block. That links nearly all near copies, in work that grows with their number.
+4. Second look, at what that leaves. Groups are sets that shared segments connect within a level. Where a group holds more than one
+   component of links, its sets are compared in blocks, but never those of its largest component among themselves: they are
+   linked already. So a group of any number of near copies costs nothing more.
+5. Both looks use signature trees: a node holds the OR of its sets' token bitmaps and its size range. A dual traversal from
    the root against itself drops a pair of nodes if sizes are too far apart, if the most overlap that the bitmaps allow is too
-   little, or if all of its sets are linked already; pairs of leaves are counted exactly.
-4. Links join the nodes to components. A group beyond GROUP_SETS sets is dealt to blocks, and each pair of blocks is a task.
+   little, or if all of its sets are linked already; pairs of sets in leaves are counted exactly.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from pyspark.sql import functions as F
 from vocalis.llm.components import connected
 from vocalis.llm.frames import narrow, saved, shuffle_partitions
 from vocalis.llm.kernels import LOWER, NULL_ID, U64, Chunk, chunks, mix, prefix_hash, range_hash, word_hashes
-from vocalis.llm.shards import FLUSH_BYTES, pack, routing, unpack
+from vocalis.llm.shards import FLUSH_BYTES, pack, unpack
 
-#: A group is one task up to so many sets and items in all.
-GROUP_SETS, GROUP_ITEMS = 2000, 2_000_000
+#: Sets of a block of a star, sets of a block of a group, and items in either.
+STAR, BLOCK, BLOCK_ITEMS = 100, 400, 400_000
+#: Items a bucket of segments should stand for, and pairs of tree nodes that are looked at together.
+BUCKET_ITEMS, PAIRS = 2_000_000, 1 << 12
 #: Items in a bin of the frequency table with four times the mean are hot.
 HOT_BITS = 22
 HOT_SHARE = 4 / (1 << HOT_BITS)
@@ -91,8 +97,8 @@ def _level_keys(items: np.ndarray, owner: np.ndarray, level: np.ndarray, parts:
     return key[keep], who[keep], needy
 
 
-def segment_keys(sets: Sets, percent: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's segment keys, and the set of each key. A set takes part at its own class's level and at the next one.
+def segment_keys(sets: Sets, percent: int, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Segment keys, the set of each key, and the level at which each set takes part: its own class's level, and the next one.
 
     Sets that differ in at most H of all items differ in at most H of those that aren't ``hot``; so the segments hold only the
     others, and passages that very many documents share bring nobody together. There are some more segments than H + 1, and the
@@ -100,9 +106,8 @@ def segment_keys(sets: Sets, percent: int, hot: np.ndarray) -> tuple[np.ndarray,
     last resort by empty segments too.
     """
     bounds = np.asarray(size_classes(int(sets.size.max(initial=0)), percent))
-    own = np.searchsorted(bounds, sets.size, side="right") - 1
+    own = _level(sets.size, percent)
     plain = ~hot[(sets.items >> U64(65 - len(hot).bit_length())).astype(np.int64)]
-    keys, owners = [], []
     for up in (0, 1):
         level = own + up  # its pairs: a class below against this level's class, or two of the class below
         below, here = bounds[np.maximum(level, 0)] - 1, bounds[np.minimum(level + 1, len(bounds) - 1)] - 1
@@ -110,13 +115,10 @@ def segment_keys(sets: Sets, percent: int, hot: np.ndarray) -> tuple[np.ndarray,
         # where nothing may differ, equal sets are one node already
         parts = np.where((sets.size > 0) & (differ > 0), differ + 2 + (differ + 15) // 16, 0)
         key, who, needy = _level_keys(sets.items[plain], sets.owner[plain], level, parts, differ, 0, False)
-        keys.append(key)
-        owners.append(who)
+        yield key, who, level
         if needy.any():
             key, who, _ = _level_keys(sets.items, sets.owner, level, np.where(needy, parts, 0), differ, 1, True)
-            keys.append(key)
-            owners.append(who)
-    return np.concatenate(keys), np.concatenate(owners)
+            yield key, who, level
 
 
 def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,34 +134,74 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return key[at], node[at], edge[0], edge[1]
 
 
-def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """One row per document: doc_id (null: the smallest), its set's size and name (two 64-bit numbers)."""
+def _at_level(name: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The number of a set's node at a level."""
+    return mix(name.view(U64) + (level.astype(U64) + U64(1)) * U64(0xD1B54A32D192ED03)).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk in chunks(batches):
-            s = Sets(chunk, n)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids), pa.array(s.size.astype(np.int64)), pa.array(s.name[0]), pa.array(s.name[1])], ["doc_id", "n_shingles", "name", "name2"])
 
-    return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, name bigint, name2 bigint")
+def _level(size: np.ndarray, percent: int) -> np.ndarray:
+    return np.searchsorted(np.asarray(size_classes(int(size.max(initial=0)), percent)), size, side="right") - 1
+
+
+SURVEY = "doc_id bigint, n_shingles bigint, name bigint, name2 bigint, low bigint, high bigint, bin bigint, n bigint"
+
 
+def survey(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per document: doc_id (null: the smallest), its set's size and name (two 64-bit numbers), its nodes at two levels;
+    and rows (bin, n) with the counts of item hashes that are frequent in some task (bin -1: of all)."""
 
-def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between names of sets that share a segment: from the least name of each segment to the others."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
-    route = routing(docs, lambda chunk: [Sets(chunk, n).items], HOT_SHARE, 2, HOT_BITS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << HOT_BITS, dtype=np.int64)
+        names = SURVEY.replace(" bigint", "").split(", ")
+
+        def rows(columns: list[np.ndarray], rest: int, last: bool) -> pa.RecordBatch:
+            size = len(columns[0])
+            full = [pa.array(c, pa.int64()) for c in columns]
+            empty = [pa.nulls(size, pa.int64())] * rest
+            return pa.RecordBatch.from_arrays([*empty, *full] if last else [*full, *empty], names)
+
+        for _, chunk in chunks(batches):
+            s = Sets(chunk, n)
+            bins = (s.items >> U64(64 - HOT_BITS)).astype(np.int64)
+            if len(bins) * 8 < len(table):
+                np.add.at(table, bins, 1)
+            else:
+                table += np.bincount(bins, minlength=len(table))
+            level = _level(s.size, percent)
+            yield rows([chunk.ids, s.size.astype(np.int64), *s.name, _at_level(s.name[0], level), _at_level(s.name[0], level + 1)], 2, False)
+        bins = np.flatnonzero(table >= max(16, HOT_SHARE * table.sum()))
+        yield rows([np.concatenate(([-1], bins)), np.concatenate(([table.sum()], table[bins]))], 6, True)
+
+    return narrow(docs, "doc_id", "text").mapInArrow(run, SURVEY)
+
+
+def _hot(surveyed: DataFrame) -> tuple[np.ndarray, int]:
+    """Which bins of item hashes have four times the mean, as flags (a table of a fixed size), and the number of all items."""
+    found = surveyed.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    bins, n = (np.asarray(found.column(c), dtype=np.int64) for c in ("bin", "n"))
+    hot = np.zeros(1 << HOT_BITS, dtype=bool)
+    total = int(n[bins == -1].sum())
+    hot[bins[(bins >= 0) & (n >= HOT_SHARE * total / 2)]] = True
+    return hot, total
+
+
+def candidates(docs: DataFrame, n: int, percent: int, hot: np.ndarray, items: int) -> DataFrame:
+    """Edges (a, b) between nodes (sets at levels) that share a segment: from the least node of each segment to the others."""
+    buckets = max(4 * shuffle_partitions(docs.sparkSession), items // BUCKET_ITEMS)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # 2**HOT_BITS flags
 
     def send(keys: list[np.ndarray], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, name, a, b = _stars(np.concatenate(keys), np.concatenate(names))
         bucket = (key % U64(buckets)).astype(np.int64)
         aside = np.mod(a, buckets)
         order, order2 = np.argsort(bucket, kind="stable"), np.argsort(aside, kind="stable")
-        low, low2 = np.searchsorted(bucket[order], np.arange(buckets + 1)), np.searchsorted(aside[order2], np.arange(buckets + 1))
+        present = np.unique(np.concatenate((bucket, aside)))
+        low, low2 = (np.searchsorted(x[o], np.append(present, buckets)) for x, o in ((bucket, order), (aside, order2)))
         out = []
-        for k in range(buckets):
-            own, edge = order[low[k] : low[k + 1]], order2[low2[k] : low2[k + 1]]
-            if len(own) or len(edge):
-                table, index = np.unique(name[own], return_inverse=True)
-                out.append((k, pack([key[own].view(np.int64), index, table, a[edge], b[edge]])))
+        for i, k in enumerate(present.tolist()):
+            own, edge = order[low[i] : low[i + 1]], order2[low2[i] : low2[i + 1]]
+            table, index = np.unique(name[own], return_inverse=True)
+            out.append((k, pack([key[own].view(np.int64), index, table, a[edge], b[edge]])))
         for i in range(0, len(out), 512):
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out[i : i + 512]], pa.int64()), pa.array([o[1] for o in out[i : i + 512]], pa.binary())], ["bucket", "blob"])
 
@@ -167,9 +209,9 @@ def candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
         keys, names, size = [], [], 0
         for _, chunk in chunks(batches):
             s = Sets(chunk, n)
-            key, owner = segment_keys(s, percent, route.hot)
-            keys.append(key)
-            names.append(s.name[0][owner])
+            for key, owner, level in segment_keys(s, percent, shared.value):
+                keys.append(key)
+                names.append(_at_level(s.name[0], level)[owner])
             size += len(chunk.buf)
             if size >= FLUSH_BYTES:
                 yield from send(keys, names)
@@ -215,98 +257,162 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(more, starts)))
         self.root = np.arange(len(self.sets))  # of each set's links
 
-    def _join(self, x: int, y: int) -> None:
-        a, b = self.root[x], self.root[y]
-        if a != b:
-            self.root[self.root == max(a, b)] = min(a, b)
+    def _one_root(self, level: int) -> np.ndarray:
+        """Of each node of a level, the root that all of its sets have, or -1."""
+        starts = np.arange(0, len(self.sets), LEAF * FANOUT**level)
+        low = np.minimum.reduceat(self.root, starts)
+        return np.where(low == np.maximum.reduceat(self.root, starts), low, -1)
 
-    def _span(self, level: int, i: int) -> slice:
-        width = LEAF * FANOUT**level
-        return slice(i * width, min((i + 1) * width, len(self.sets)))
-
-    def _possible(self, level: int, i: int, j: int, percent: int) -> bool:
+    def _possible(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of a level's nodes can hold a link between sets of different roots."""
         maps, low, high, more = self.levels[level]
-        if high[i] * 100 < percent * low[j] or high[j] * 100 < percent * low[i]:
-            return False
-        a, b = self.root[self._span(level, i)], self.root[self._span(level, j)]
-        if (a == a[0]).all() and (b == a[0]).all():
-            return False
-        most = min(int(np.bitwise_count(maps[i] & maps[j]).sum()) + int(min(more[i], more[j])), int(min(high[i], high[j])))
-        return most * (100 + percent) >= percent * int(low[i] + low[j])
-
-    def _leaves(self, i: int, j: int, percent: int) -> None:
-        a, b = self._span(0, i), self._span(0, j)
-        both = self.size[a][:, None] + self.size[b][None, :]
-        for x in range(a.start, a.stop):
-            shared = np.bitwise_count(self.maps[b] & self.maps[x]).sum(axis=1, dtype=np.int64)
+        one = self._one_root(level)
+        keep = (high[i] * 100 >= percent * low[j]) & (high[j] * 100 >= percent * low[i]) & ~((one[i] == one[j]) & (one[i] >= 0))
+        at = np.flatnonzero(keep)
+        for k in range(0, len(at), PAIRS):
+            p = at[k : k + PAIRS]
+            a, b = i[p], j[p]
+            most = np.minimum(np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64) + np.minimum(more[a], more[b]), np.minimum(high[a], high[b]))
+            keep[p] = most * (100 + percent) >= percent * (low[a] + low[b])
+        return keep
+
+    def _unite(self, x: np.ndarray, y: np.ndarray) -> None:
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            one, two = self.root[a], self.root[b]
+            if one != two:
+                self.root[self.root == max(one, two)] = min(one, two)
+
+    def _pairs(self, x: np.ndarray, y: np.ndarray, percent: int) -> None:
+        """Links the pairs of sets that are within the threshold, but for pairs that are linked already."""
+        for k in range(0, len(x), PAIRS):
+            a, b = x[k : k + PAIRS], y[k : k + PAIRS]
+            use = (self.root[a] != self.root[b]) & (self.size[a] * 100 >= percent * self.size[b]) & (self.size[b] * 100 >= percent * self.size[a])
+            a, b = a[use], b[use]
+            shared = np.bitwise_count(self.maps[a] & self.maps[b]).sum(axis=1, dtype=np.int64)
+            both = percent * (self.size[a] + self.size[b])
             if not self.exact:
-                most = np.minimum(shared + np.minimum(self.excess[x], self.excess[b]), np.minimum(self.size[x], self.size[b]))
-                maybe = (100 + percent) * most >= percent * both[x - a.start]
-                shared = np.asarray([len(np.intersect1d(self.sets[x], self.sets[b.start + k], assume_unique=True)) if m and self.root[x] != self.root[b.start + k] else 0 for k, m in enumerate(maybe)])
-            for y in np.flatnonzero((100 + percent) * shared >= percent * both[x - a.start]) + b.start:
-                self._join(x, int(y))
-
-    def link(self, percent: int) -> np.ndarray:
-        """The component of each set, in the order given, named by one of its sets."""
-        stack = [(len(self.levels) - 1, 0, 0)]
-        while stack:
-            level, i, j = stack.pop()
-            if not self._possible(level, i, j, percent):
-                continue
-            if not level:
-                self._leaves(i, j, percent)
+                most = np.minimum(shared + np.minimum(self.excess[a], self.excess[b]), np.minimum(self.size[a], self.size[b]))
+                for q in np.flatnonzero((100 + percent) * most >= both).tolist():
+                    if self.root[a[q]] != self.root[b[q]] and (100 + percent) * len(np.intersect1d(self.sets[a[q]], self.sets[b[q]], assume_unique=True)) >= both[q]:
+                        self._unite(a[q : q + 1], b[q : q + 1])
                 continue
-            n = len(self.levels[level - 1][0])
-            below = [(level - 1, x, y) for x in range(i * FANOUT, min(n, (i + 1) * FANOUT)) for y in range(j * FANOUT, min(n, (j + 1) * FANOUT)) if x <= y]
-            stack += sorted(below, key=lambda p: p[1] - p[2])  # a node against itself comes first: links found there prune the rest
+            good = (100 + percent) * shared >= both
+            self._unite(a[good], b[good])
+
+    def link(self, percent: int, linked: np.ndarray | None = None) -> np.ndarray:
+        """The component of each set, in the order given, named by one of its sets; ``linked``: what is linked before, as labels."""
+        if linked is not None:
+            _, first, label = np.unique(linked[self.order], return_index=True, return_inverse=True)
+            self.root = first[label]
+        i = j = np.zeros(1, dtype=np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            keep = self._possible(level, i, j, percent)
+            i, j = i[keep], j[keep]
+            if level:  # each pair of nodes becomes the pairs of their children
+                n = len(self.levels[level - 1][0])
+                x = (i[:, None] * FANOUT + np.repeat(np.arange(FANOUT), FANOUT)).ravel()
+                y = (j[:, None] * FANOUT + np.tile(np.arange(FANOUT), FANOUT)).ravel()
+                there = (x <= y) & (y < n)
+                i, j = x[there], y[there]
+        order = np.argsort(j - i, kind="stable")  # a leaf against itself comes first: links found there prune the rest
+        i, j = i[order], j[order]
+        step = max(1, PAIRS // LEAF**2)
+        for k in range(0, len(i), step):
+            one = self._one_root(0)
+            a, b = i[k : k + step], j[k : k + step]
+            use = ~((one[a] == one[b]) & (one[a] >= 0))
+            x = (a[use][:, None] * LEAF + np.repeat(np.arange(LEAF), LEAF)).ravel()
+            y = (b[use][:, None] * LEAF + np.tile(np.arange(LEAF), LEAF)).ravel()
+            there = (x < y) & (y < len(self.sets))
+            self._pairs(x[there], y[there], percent)
         out = np.empty(len(self.sets), dtype=np.int64)
         out[self.order] = self.order[self.root]
         return out
 
 
-def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of n-word shingles; words are runs of other
-    bytes than space and U+0009 to U+000D, with A-Z in lower case. With fewer than n words the whole sequence is the one
-    shingle; a null or wordless text has no shingle and no link. component_id is the smallest doc_id reachable by links.
-    Rows of one id are one document for that; a null id counts as the smallest and stays null in the result. Items are
-    compared by 64-bit hashes. An empty table gives an empty result.
-    """
-    every = saved(nodes(docs, n))
-    classes = every.where("n_shingles > 0").groupBy("name", "name2").agg(F.min("doc_id").alias("representative"), F.max("n_shingles").alias("items"))
-    groups = connected(candidates(docs, n, percent))
-    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-    members = saved(classes.join(groups.withColumnRenamed("node", "name"), "name"))
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(GROUP_SETS)), F.ceil(F.sum("items") / F.lit(GROUP_ITEMS))).cast("int").alias("blocks"))
-    placed = members.join(blocks, "component").withColumn("block", F.pmod("name2", F.col("blocks").cast("bigint")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("representative", "name", "name2", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+def _compared(placed: DataFrame, docs: DataFrame, keys: tuple[str, ...], n: int, percent: int) -> DataFrame:
+    """Links (a, b) of representatives, by a signature tree for each group of ``keys``. placed: representative, name, name2, linked."""
     texts = narrow(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
 
     def trees(table: pa.Table) -> pa.Table:
-        sets, who, seen = [], [], set()
-        columns = [table.column(c).to_pylist() for c in ("representative", "name", "name2")]
+        sets, who, linked, seen, row = [], [], [], set(), 0
+        columns = [table.column(c).to_pylist() for c in ("representative", "name", "name2", "linked")]
         for batch in table.select(["representative", "text"]).rename_columns(["doc_id", "text"]).to_batches():
             for _, chunk in chunks([batch]):
                 s = Sets(chunk, n)
                 for k in range(len(chunk.ids)):
-                    row = len(who)
                     mine = (int(s.name[0][k]), int(s.name[1][k]))
                     if mine == (columns[1][row], columns[2][row]) and mine not in seen:  # rows of one id can have other texts
                         seen.add(mine)
                         sets.append(s.items[s.first[k] : s.first[k] + s.size[k]])
                         who.append(columns[0][row])
-                    else:
-                        who.append(None)
-        who = np.asarray([w for w in who if w is not None], dtype=np.int64)
-        root = Tree(sets).link(percent)
-        linked = root != np.arange(len(who))
-        return pa.table({"a": pa.array(who[linked]), "b": pa.array(who[root[linked]])})
-
-    compared = placed.join(texts, placed.representative == texts.doc_id).drop("doc_id").groupBy("component", "one", "two").applyInArrow(trees, "a bigint, b bigint")
-    found = connected(compared)
+                        linked.append(columns[3][row])
+                    row += 1
+        if len(sets) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        who = np.asarray(who, dtype=np.int64)
+        root = Tree(sets).link(percent, np.asarray(linked, dtype=np.int64))
+        found = root != np.arange(len(who))
+        return pa.table({"a": pa.array(who[found]), "b": pa.array(who[root[found]])})
+
+    joined = placed.join(texts, placed.representative == texts.doc_id).drop("doc_id")
+    return joined.groupBy(*keys).applyInArrow(trees, "a bigint, b bigint")
+
+
+def _blocks(sets: str, items: str, most: int):
+    return F.greatest(F.ceil(F.expr(sets) / F.lit(most)), F.ceil(F.expr(items) / F.lit(BLOCK_ITEMS))).cast("int")
+
+
+def _stars_of(standing: DataFrame, edges: DataFrame) -> DataFrame:
+    """First look: (star, block, representative, name, name2, linked). Each set goes to its least star, in some block; a centre goes to all."""
+    leader = edges.groupBy("b").agg(F.min("a").alias("a"))
+    own = standing.join(leader, standing.node == leader.b).groupBy("representative", "name", "name2", "items").agg(F.min("a").alias("star"))
+    sized = own.groupBy("star").agg(_blocks("count(*)", "sum(items)", STAR).alias("blocks"))
+    members = own.join(sized, "star").withColumn("block", F.pmod("name2", F.col("blocks").cast("bigint")).cast("int"))
+    centres = sized.join(standing, sized.star == standing.node).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ("star", "block", "representative", "name", "name2", F.col("representative").alias("linked"))
+    return members.select(*columns).unionByName(centres.select(*columns))
+
+
+def _groups_of(standing: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """Second look: (component, one, two, representative, name, name2, linked) of the groups with several components of links."""
+    groups = connected(edges)
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    known = links.select(F.col("node").alias("representative"), F.col("component").alias("link"))
+    members = standing.join(groups, "node").join(known, "representative", "left").select("component", "representative", "name", "name2", "items", F.coalesce("link", "representative").alias("linked"))
+    classes = saved(members.groupBy("component", "linked").agg(F.count("*").alias("sets"), F.sum("items").alias("items")))
+    # of each group: its largest component of links, and the blocks of that one and of the others
+    sized = classes.groupBy("component").agg(F.max(F.struct("sets", "items", "linked")).alias("main"), F.sum("sets").alias("sets"), F.sum("items").alias("items")).where("main.sets < sets")
+    sized = sized.select("component", F.col("main.linked").alias("main"), _blocks("main.sets", "main.items", BLOCK).alias("inside"), _blocks("sets - main.sets", "items - main.items", BLOCK).alias("outside"))
+    placed = members.join(sized, "component")
+    within = F.col("linked") == F.col("main")
+    block = F.when(within, F.col("outside") + F.pmod("name2", F.col("inside").cast("bigint"))).otherwise(F.pmod("name2", F.col("outside").cast("bigint"))).cast("int")
+    last = F.col("outside") - 1 + F.when(within, F.lit(0)).otherwise(F.col("inside"))
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return placed.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "representative", "name", "name2", "linked")
+
+
+def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of n-word shingles; words are runs of other
+    bytes than space and U+0009 to U+000D, with A-Z in lower case. With fewer than n words the whole sequence is the one
+    shingle; a null or wordless text has no shingle and no link. component_id is the smallest doc_id reachable by links.
+    Rows of one id are one document for that; a null id counts as the smallest and stays null in the result. Items are
+    compared by 64-bit hashes. An empty table gives an empty result.
+    """
+    surveyed = saved(survey(docs, n, percent))
+    hot, items = _hot(surveyed)
+    every = surveyed.where("bin is null").select("doc_id", "n_shingles", "name", "name2", "low", "high")
+    classes = every.where("n_shingles > 0").groupBy("name", "name2").agg(F.min("doc_id").alias("representative"), F.max("n_shingles").alias("items"), F.max("low").alias("low"), F.max("high").alias("high"))
+    edges = saved(candidates(docs, n, percent, hot, items))
+    touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    standing = saved(classes.select("representative", "name", "name2", "items", F.explode(F.array("low", "high")).alias("node")).join(touched, "node"))
+    first = connected(_compared(_stars_of(standing, edges), docs, ("star", "block"), n, percent))
+    second = _compared(_groups_of(standing, edges, first), docs, ("component", "one", "two"), n, percent)
+    found = connected(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     answer = classes.join(found, classes.representative == found.node, "left").select("name", "name2", F.coalesce("component", "representative").alias("component_id"))
-    out = every.where("n_shingles > 0").join(answer, ["name", "name2"]).select("doc_id", "n_shingles", "component_id")
+    out = every.where("n_shingles > 0").select("doc_id", "n_shingles", "name", "name2").join(answer, ["name", "name2"]).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return out.select(known("doc_id"), "n_shingles", known("component_id"))
