@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -242,6 +243,38 @@ def test_tiff_round_trip(compression, predictor, tile):
         assert (p.pixels == image).all()
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize(("bits", "predictor"), [(1, 1), (2, 1), (4, 1), (8, 2), (16, 1), (16, 2)])
+@pytest.mark.parametrize("apart", [False, True])
+def test_tiff_depths_and_planes(order, bits, predictor, apart):
+    r = np.random.default_rng(bits)
+    images = [r.integers(0, 1 << bits, (h, w, s)).astype(np.uint16 if bits == 16 else np.uint8) for h, w, s in ((33, 21, 3), (5, 9, 1))]
+    for tile in (None, 16):
+        got = list(media.pages(media.write(images, media.DEFLATE, predictor, 16, tile, order, bits, apart)))
+        assert all((p.pixels == image).all() and p.bits == bits for p, image in zip(got, images, strict=True))
+
+
+def test_broken_tiffs_give_errors(spark):
+    r = random.Random(7)
+    image = np.random.default_rng(1).integers(0, 256, (40, 30, 3), dtype=np.uint8)
+    files = []
+    for compression in (media.NONE, media.LZW, media.DEFLATE, media.PACKBITS):
+        good = media.write([image, image[:9]], compression, 2, 16)
+        for _ in range(60):
+            bad = bytearray(good)
+            for _ in range(r.randint(1, 6)):
+                bad[r.randrange(len(bad))] = r.randrange(256)
+            files.append(bytes(bad[: r.choice((len(bad), r.randrange(1, len(bad))))]))
+    plain = media.write([image], media.NONE, 1)
+    for tag, value in ((media.WIDTH, 0), (media.LENGTH, 0), (media.WIDTH, 131_072), (media.LENGTH, 4_194_304), (media.ROWS_PER_STRIP, 0), (media.SAMPLES, 0)):
+        at = plain.rfind(struct.pack("<HHI", tag, 3 if tag == media.SAMPLES else 4, 1))
+        files.append(plain[: at + 8] + value.to_bytes(4, "little") + plain[at + 12 :])
+    rows = media.read_pages(spark.createDataFrame([*enumerate(files), (9999, None)], "media_id bigint, data binary")).collect()
+    assert {x.media_id for x in rows} == {*range(len(files)), 9999}
+    assert all((x.error is None) == (x.pixels is not None) for x in rows)
+    assert {x.media_id for x in rows if x.error} >= {*range(len(files) - 6, len(files)), 9999}
+
+
 def test_lzw_is_long_enough_to_clear_its_table():
     data = np.random.default_rng(5).integers(0, 256, 20_000, dtype=np.uint8).tobytes()
     assert media.unpack_lzw(media.pack_lzw(data)) == data
