@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,22 @@ def vocabulary(pieces: list[tuple[str, float]]) -> Vocabulary:
     return Vocabulary(scores, max(map(len, known), default=0), min(known.values(), default=0.0) - 10)
 
 
+def by_rank(pieces: list[str]) -> Vocabulary:
+    """Pieces from the commonest to the rarest, with the log-probabilities of Zipf's law: 1 / rank, summing to 1.
+
+    A vocabulary made by merging stores ranks, not probabilities, and a sum of ranks would prefer many common pieces to one rare one.
+    """
+    whole = log(sum(1 / k for k in range(1, len(pieces) + 1))) if pieces else 0.0
+    return vocabulary([(p, -log(k) - whole) for k, p in enumerate(pieces, 1)])
+
+
 def load(path: str = MODEL) -> Vocabulary:
-    """The ordinary pieces of a SentencePiece model file and their scores, read on the driver."""
+    """The ordinary pieces of a SentencePiece model file, ranked by its scores; read on the driver."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    return vocabulary([(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))])
+    ordinary = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+    return by_rank([m.id_to_piece(i) for i in sorted(ordinary, key=lambda i: (-m.get_score(i), i))])
 
 
 def counts(words: list[str], v: Vocabulary) -> list[int]:
