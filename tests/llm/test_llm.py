@@ -357,6 +357,12 @@ def test_tokens(docs, empty):
         assert n in brute(tokens.MARK + w, v)[1]
     rows = {r.doc_id: r for r in tokens.count_tokens(docs).collect()}
     assert rows[900].n_tokens == 0
+    store, loaded = {}, tokens.load()
+    for d, t, *_ in corpus():
+        words = (t or "").split()
+        for w in set(words) - set(store):
+            store[w] = tokens.counts([w], loaded)[0]
+        assert (rows[d].n_pretokens, rows[d].n_tokens) == (len(words), sum(store[w] for w in words))
     assert all(r.n_tokens >= r.n_pretokens for r in rows.values())
     assert tokens.count_tokens(empty).count() == 0
 
@@ -511,6 +517,29 @@ def test_decontamination_of_edited_copies():
     assert found_in(index, texts) == want
 
 
+def test_decontamination_of_repeated_words():
+    index = decontaminate.build([(1, "yes"), (2, "no maybe")])
+    found = decontaminate._matches(Chunk(np.arange(2), [b"yes yes no yes", b"no maybe no maybe x no"]), index)
+    assert [m[:4] for m in found] == [(0, 1, 0, 1), (0, 1, 1, 1), (0, 1, 3, 1), (1, 2, 0, 2), (1, 2, 2, 2)]
+
+
+def test_decontamination_in_passes(spark, monkeypatch):
+    r = random.Random(9)
+    items = [(k, " ".join(f"q{r.randrange(300)}" for _ in range(r.randint(1, 60)))) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    table = spark.createDataFrame([(k, f"a b {t} c") for k, t in items], "doc_id bigint, text string")
+    assert len(list(decontaminate.item_blocks(bench))) == 1
+    plain = sorted(map(str, decontaminate.leaks(table, bench).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 8 << 20)
+    assert len(list(decontaminate.item_blocks(bench))) > 1
+    some = {(x.doc_id, x.item_id) for x in decontaminate.leaks(table, bench).collect()}
+    assert {(k, k) for k, _ in items} <= some
+    assert len(plain) >= len(items)
+    index = decontaminate.build([(k, " ".join(f"v{r.randrange(9000)}" for _ in range(100))) for k in range(300)])
+    used = sum(e.nbytes for c in index.classes for e in c.entry) + sum(f.nbytes for c in index.classes for f in c.first)
+    assert used < sum(decontaminate.index_bytes(100) for _ in range(300)) + decontaminate.CLASS_BYTES * len(index.classes)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

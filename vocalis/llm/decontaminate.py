@@ -3,7 +3,8 @@
 A window of words and a benchmark item get 64-bit SimHash fingerprints of their pairs of neighbouring words. Items are put in size classes; a class
 has one window length and a stride, such that a copy of an item, wherever it starts, holds a whole window that begins at one of
 the item's first ``stride`` words. Those windows of the items are indexed by four blocks of 16 bits: fingerprints within RADIUS
-differ in at most RADIUS // 4 bits in some block, so that looking up each block's neighbours finds all of them.
+differ in at most RADIUS // 4 bits in some block, so that looking up each block's neighbours finds all of them. Items go in
+blocks whose index has a bounded number of bytes, one pass over the documents each.
 
 Fingerprints alone miss copies that are cut at a document's edge or edited beyond RADIUS. Postings of rare shingles complete them:
 a place with similarity THRESHOLD shares at least LEAST of the item's weight, so of any shingles with more than the rest of the
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from vocalis.llm.frames import narrow
 from vocalis.llm.kernels import LOWER, NULL_ID, U64, Chunk, chunks, mix, prefix_hash, range_hash, ranges, word_hashes
 
-RADIUS, BLOCKS = 11, 4
+RADIUS, BLOCKS = 7, 4
 SHINGLE, THRESHOLD = 5, 0.8
 #: With shared weight S, 2 S / (own + other) >= THRESHOLD and S <= other: S >= LEAST * own.
 LEAST = THRESHOLD / (2 - THRESHOLD)
@@ -34,8 +35,10 @@ LEAST = THRESHOLD / (2 - THRESHOLD)
 UNIT = 1 << 32
 #: Postings that are looked at together.
 POSTINGS_AT_ONCE = 1 << 22
-#: Items of one pass over the documents; more items are more passes. They, their index and nothing else are broadcast.
-ITEMS_PER_PASS, WORDS_PER_PASS = 20_000, 2_000_000
+#: Bytes of the items' index in one pass over the documents; more items are more passes. It and nothing else is broadcast.
+INDEX_BYTES = 96 << 20
+#: A size class has so many bytes of offsets, an item's word so many in its shingles, postings and text.
+CLASS_BYTES, WORD_BYTES = BLOCKS * 8 * 0x10001, 300
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -370,16 +373,27 @@ def _matches(chunk: Chunk, index: Index) -> list[tuple]:
     return out
 
 
+def index_bytes(words: int) -> int:
+    """What an item of so many words adds to an index: windows in all neighbouring places of each block, and its words."""
+    windows = stride_of(words) if words else 0
+    return windows * (24 + BLOCKS * 4 * len(neighbours(64 // BLOCKS, RADIUS // BLOCKS))) + words * WORD_BYTES
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of a bounded number of items and words, in the order of ids."""
-    block, size = [], 0
-    for r in narrow(benchmark, "item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
-        n = len(r.text.split())
-        if block and (len(block) >= ITEMS_PER_PASS or size + n > WORDS_PER_PASS):
+    """The benchmark in blocks, sorted by number of words and id, whose indexes stay within INDEX_BYTES; a larger item is a block alone."""
+    counted = narrow(benchmark, "item_id", "text").where(F.col("text").isNotNull()).withColumn("words", F.size(F.split(F.trim("text"), r"\s+")))
+    block, size, lengths = [], 0, set()
+    for r in counted.orderBy("words", "item_id", "text").toLocalIterator():
+        words = len(words_of(r.text))
+        length = max(c for c in class_lengths(words + 1) if c <= max(1, words))
+        more = index_bytes(words) + (CLASS_BYTES if length not in lengths else 0)
+        if block and size + more > INDEX_BYTES:
             yield block
-            block, size = [], 0
+            block, size, lengths = [], 0, set()
+            more = index_bytes(words) + CLASS_BYTES
         block.append((r.item_id, r.text))
-        size += n
+        lengths.add(length)
+        size += more
     if block:
         yield block
 
