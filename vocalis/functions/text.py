@@ -14,6 +14,10 @@ FILLERS = ("euh", "heu", "bah", "ben", "hum")
 ORAL_MARKERS = ("du coup", "en fait", "voilà", "quoi")
 
 
+#: Edges of whole words, for letters of any script.
+BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def template(text: str, values: dict[str, Column]) -> Column:
     """Fills {name}; a name without a value stays as it is."""
     parts = [values[p[1:-1]] if re.fullmatch(r"\{\w+\}", p) and p[1:-1] in values else F.lit(p) for p in re.split(r"(\{\w+\})", text) if p]
@@ -44,7 +48,7 @@ def space_after_marks(text: Column) -> Column:
 
 
 def acronyms(text: Column, names: tuple[str, ...]) -> Column:
-    return chain(text, *[(rf"(?i)\b{n}\b", n) for n in names])
+    return chain(text, *[(rf"(?iu){BEFORE}{n}{AFTER}", n) for n in names])
 
 
 def words(text: Column) -> Column:
@@ -53,7 +57,7 @@ def words(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Capitalised words of three letters and more, distinct in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{BEFORE}\p{{Lu}}\p{{Ll}}{{2,}}{AFTER}"), F.lit(0)))
 
 
 def pattern_of(tokens: Column) -> Column:
@@ -68,7 +72,7 @@ def any_of(names: tuple[str, ...]) -> str:
 
 def strip_fillers(text: Column, names: tuple[str, ...] = FILLERS) -> tuple[Column, Column]:
     """The text without fillers, and how many there were."""
-    pattern = rf"(?i)\b(?:{any_of(names)})\b,? ?"
+    pattern = rf"(?iu){BEFORE}(?:{any_of(names)}){AFTER},? ?"
     return F.regexp_replace(text, pattern, ""), F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
@@ -81,16 +85,47 @@ def similarity_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9à-öø-ÿ\s]", ""))
 
 
+# How marks are repaired, in this order.
+MARKS = (
+    (r"\.\s*,\s*", ". "),
+    (r",\s*\.", "."),
+    (r",\s*(?=$|\n)", ""),
+    (r"([,.!?;:])\1+", "$1"),
+    (r"[ \t]+([,.!?;:])", " $1"),
+    (r"([,.!?;:])[ \t]{2,}", "$1 "),
+    (r"[ \t]{2,}", " "),
+)
+
+
 def fix_punctuation(text: Column) -> Column:
-    """Doubled marks stay once, one space before high marks, none before low ones, one after."""
-    return F.trim(chain(text, (r"([,;:!?])\1+", "$1"), (r"\s+([,.])", "$1"), (r"\s*([;:!?])", " $1"), (r"([,;])(?=[^\s\d])", "$1 "), (r"[ \t]{2,}", " ")))
+    """Dot and comma in a row become one, commas at line ends go, doubled marks stay once, blanks around marks are single."""
+    return F.trim(chain(text, *MARKS))
 
 
 def fix_punctuation_plain(text: Column) -> Column:
-    """The part of fix_punctuation that needs no back-reference inside a pattern."""
+    """Low marks close up, high marks have one blank before them."""
     return F.trim(chain(text, (r"\s+([,.])", "$1"), (r"\s*([;:!?])", " $1"), (r"[ \t]{2,}", " ")))
 
 
+def sentence_case(text: Column) -> Column:
+    """Lower case, but a capital at the start and after a closing mark, whatever signs stand between."""
+    parts = F.split(F.lower(text), r"(?<=[.!?\n])")
+
+    def capital(part: Column) -> Column:
+        lead = F.regexp_extract(part, r"^[^\p{L}\p{N}]*", 0)
+        at = F.length(lead) + 1
+        return F.concat(lead, F.upper(F.substr(part, at, F.lit(1))), F.substr(part, at + 1))
+
+    return F.array_join(F.transform(parts, capital), "")
+
+
+def sanitize(text: Column) -> Column:
+    """Without fillers, straight apostrophes, no space before low marks, first letter in upper case; for composed text."""
+    text, _ = strip_fillers(F.regexp_replace(text, "’", "'"))
+    text = F.trim(chain(text, (r"[ \t]+", " "), (r"\s+([,.])", "$1"), (r"^\s+|\s+$", ""), (r" -$", "")))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+
+
 def markdown_line(line: Column) -> tuple[Column, Column]:
     """A line's prefix (quote, heading, list or number) and the rest."""
     pattern = r"^\s*((?:>\s?|#{1,6} |[-*+] |\d+[.)] )?)(.*)$"

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import deque
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocalis.functions.text import FILLERS, any_of
+from vocalis.functions.text import FILLERS, MARKS, any_of
 
 
 def gestalt_ratio(a: str, b: str) -> float:
@@ -23,19 +25,19 @@ def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def mark_text(text: str, words: list[dict], below: float = 0.35, style: str = "**[{word}?]**") -> str:
-    """Marks the tokens whose word is of low probability. Both lists are walked forward only; a token that isn't the next word stays."""
+    """Marks the tokens whose word is of low probability.
+
+    Each token takes the next word of the same letters from those that no token before has passed; so both lists are walked once,
+    and a token that no later word matches uses the words up.
+    """
     plain = lambda s: re.sub(r"[^\w]", "", s.lower())
-    out, at = [], 0
+    rest = iter(words)
+    out = []
     for token in re.split(r"(\s+)", text):
-        key = plain(token)
-        if key:
-            for k in range(at, len(words)):
-                if plain(words[k]["word"] or "") == key:
-                    at = k + 1
-                    p = words[k]["probability"]
-                    if p is not None and p < below:
-                        token = style.replace("{word}", token)
-                    break
+        if key := plain(token):
+            match = next((w for w in rest if plain(w["word"] or "") == key), None)
+            if match is not None and match["probability"] is not None and match["probability"] < below:
+                token = style.replace("{word}", token)
         out.append(token)
     return "".join(out)
 
@@ -71,21 +73,26 @@ def embedding_text(text: str) -> str:
     return " ".join(seen.values())
 
 
+def _said_once(words: list[str], most: int) -> list[str]:
+    """At each place the longest group of 2 to ``most`` words that comes again at once loses its second copy, as often as it can."""
+    ahead, out = deque(words), []
+    while ahead:
+        near = [w.lower() for w in islice(ahead, 2 * most)]
+        n = next((k for k in range(min(most, len(near) // 2), 1, -1) if near[:k] == near[k : 2 * k]), 0)
+        if n:
+            ahead.rotate(-n)
+            for _ in range(n):
+                ahead.popleft()
+            ahead.rotate(n)
+        else:
+            out.append(ahead.popleft())
+    return out
+
+
 def local_repeats(text: str, most: int = 8) -> str:
-    """An n-gram said twice in a row stays once, the longest first, sentence by sentence."""
-    out = []
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        words = sentence.split()
-        key = [re.sub(r"\W", "", w.lower()) for w in words]
-        for n in range(min(most, len(words) // 2), 0, -1):
-            i = 0
-            while i + 2 * n <= len(words):
-                if key[i : i + n] == key[i + n : i + 2 * n] and any(key[i : i + n]):
-                    del words[i : i + n], key[i : i + n]
-                else:
-                    i += 1
-        out.append(" ".join(words))
-    return " ".join(out)
+    """Groups of words said twice in a row stay once, within each stretch between closing marks; marks are part of no stretch."""
+    parts = re.split(r"([.!?…]+)", text)
+    return "".join(p if k % 2 or not p.strip() else " ".join(_said_once(p.split(), most)) for k, p in enumerate(parts))
 
 
 def sanitize_text(text: str) -> str:
@@ -96,11 +103,25 @@ def sanitize_text(text: str) -> str:
     return text[:1].upper() + text[1:]
 
 
-def human_text(text: str) -> str:
-    """Repeats removed, marks repaired."""
-    text = local_repeats(text, 6)
-    text = re.sub(r"([,;:!?])\1+", r"\1", text)
-    return re.sub(r"\s+([,.])", r"\1", text).strip()
+# An entity that speech recognition writes as one word.
+ENTITIES = ((r"\bLIA\b", "l’IA"),)
+
+
+def repair_marks(text: str) -> str:
+    for pattern, replacement in MARKS:
+        text = re.sub(pattern, replacement.replace("$1", r"\1"), text)
+    return text.strip(" ")
+
+
+def human_text(text: str, most: int = 6, glossary: dict[str, str] | None = None) -> str:
+    """Marks repaired, then repeats removed, entities written out and the glossary's terms replaced as whole words."""
+    text = local_repeats(repair_marks(text.strip()), most)
+    for pattern, replacement in ENTITIES:
+        text = re.sub(pattern, replacement, text)
+    for term, replacement in (glossary or {}).items():
+        if term and replacement is not None:
+            text = re.sub(rf"(?i)\b{re.escape(term)}\b", lambda _, r=replacement: r, text)
+    return text
 
 
 def machine_form(text: str) -> str:

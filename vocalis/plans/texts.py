@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vocalis.functions import numeric, text, text_udf
 from vocalis.operators import rules
@@ -33,8 +34,39 @@ def nest(*steps: tuple[str, str], inner: str = "text") -> str:
     return inner
 
 
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def edged(inner: str) -> str:
+    """SQL that puts chr(1) before and chr(2) after each word: RE2 has no look-around, and its \\b knows ASCII only."""
+    return f"regexp_replace({inner}, '({WORD})', chr(1) || '\\1' || chr(2), 'g')"
+
+
+def plain(inner: str) -> str:
+    return f"translate({inner}, chr(1) || chr(2), '')"
+
+
+def replaced(inner: str, pattern: str, replacement: str) -> str:
+    """A replacement of whole words in edged SQL text; < and > in the pattern stand for the edges."""
+    return f"regexp_replace({inner}, '(?i)' || replace(replace('{pattern}', '<', chr(1)), '>', chr(2)), '{replacement}', 'g')"
+
+
+def repaired(inner: str) -> str:
+    """The repair of marks without look-ahead and back-references."""
+    steps = [(r"\.\s*,\s*", ". "), (r",\s*\.", "."), (r",\s*$", ""), (r",\s*\n", "\n"), *[(f"[{c}]{{2,}}", c) for c in ",.!?;:"], (r"[ \t]+([,.!?;:])", r" \1"), (r"([,.!?;:])[ \t]{2,}", r"\1 "), (r"[ \t]{2,}", " ")]
+    for pattern, replacement in steps:
+        inner = f"regexp_replace({inner}, '{pattern}', " + (f"'{replacement}'" if replacement != "\n" else "chr(10)") + ", 'g')"
+    return f"trim({inner})"
+
+
+def cased(inner: str) -> str:
+    parts = f"string_split(regexp_replace(lower({inner}), '([.!?\\n])', '\\1' || chr(1), 'g'), chr(1))"
+    lead = "regexp_extract(p, '^[^\\p{L}\\p{N}]*')"
+    return f"array_to_string(list_transform({parts}, lambda p: {lead} || upper(substr(p, length({lead}) + 1, 1)) || substr(p, length({lead}) + 2)), '')"
+
+
 simple("fn_normalize_spaces", "regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')", text.normalize_spaces)
-simple("fn_acronyms", nest((r"(?i)\bthe\b", "THE"), (r"(?i)\bund\b", "UND"), inner=nest((r"[^\x00-\x7F]", "?"))), lambda c: text.acronyms(F.regexp_replace(c, r"[^\x00-\x7F]", "?"), ("THE", "UND")))
+simple("fn_acronyms", plain(replaced(replaced(edged("text"), "<the>", chr(1) + "THE" + chr(2)), "<und>", chr(1) + "UND" + chr(2))), lambda c: text.acronyms(c, ("THE", "UND")))
 simple("fn_similarity_key", "trim(" + nest((r"[^a-z0-9à-öø-ÿ\s]", ""), inner="lower(text)") + ")", text.similarity_key)
 simple("fn_fix_punct_nobr", "trim(" + nest((r"\s+([,.])", r"\1"), (r"\s*([;:!?])", r" \1"), (r"[ \t]{2,}", " ")) + ")", text.fix_punctuation_plain)
 simple("fn_strip_markers", "trim(" + nest((r"\[\d{1,2}:\d{2}(?::\d{2})?\]", ""), (r"<[^>]*>", ""), (r"\[[^\]]*\]", ""), (r"\([^)]*\)", ""), (r"[ \t]+", " ")) + ")", text.strip_markers)
@@ -47,9 +79,9 @@ simple("fn_french_typo", nest((r"\.{3,}", "…"), (r'"([^"]*)"', "« \\1 »"),
 simple("fn_machine_text", "trim(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(text, '[ßœŒøØæÆ]', '?', 'g'))), '[^a-z0-9''\".,;:!?\\s-]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))", lambda c: text_udf.machine_text(F.regexp_replace(c, "[ßœŒøØæÆ]", "?")))
 
 
-@query("fn_space_after_punct", f"WITH {LINES} SELECT doc_id, pos, regexp_replace(line, '([.!?])([^\\s.!?])', '\\1 \\2', 'g') AS text FROM ln WHERE NOT regexp_matches(line, '[.!?][.!?]')")
+@query("fn_space_after_punct", f"WITH {LINES} SELECT doc_id, pos, replace(regexp_replace(regexp_replace(line, '([.!?])', '\\1' || chr(1), 'g'), chr(1) || '(\\s|$)', '\\1', 'g'), chr(1), ' ') AS text FROM ln")
 def fn_space_after_punct(spark, sf_dir):
-    return lines(spark, sf_dir).where(~F.col("line").rlike("[.!?][.!?]")).select("doc_id", "pos", text.space_after_marks(F.col("line")).alias("text"))
+    return lines(spark, sf_dir).select("doc_id", "pos", text.space_after_marks(F.col("line")).alias("text"))
 
 
 @query("fn_split_sentences", f"WITH {SEG}, q AS (SELECT doc_id, idx, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM seg) SELECT doc_id, idx, unnest(range(len(ss)))::BIGINT AS k, unnest(ss) AS sentence FROM q")
@@ -63,10 +95,13 @@ def fn_tokens(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("n"), F.array_join(F.slice(w, 1, 8), " ").alias("first"))
 
 
-@query("fn_entities", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}\\b')))::BIGINT AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}\\b'))), ' ') AS names FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+FOUND = f"list_distinct(regexp_extract_all({edged('text')}, chr(1) || '(\\p{{Lu}}\\p{{Ll}}{{2,}})' || chr(2), 1))"
+
+
+@query("fn_entities", f"SELECT doc_id, len({FOUND})::BIGINT AS n, array_to_string(list_sort({FOUND}), ' ') AS names FROM documents")
 def fn_entities(spark, sf_dir):
     e = text.entities(F.col("text"))
-    return docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.size(e).cast("long").alias("n"), F.array_join(F.array_sort(e), " ").alias("names"))
+    return docs(spark, sf_dir).select("doc_id", F.size(e).cast("long").alias("n"), F.array_join(F.array_sort(e), " ").alias("names"))
 
 
 @query("fn_build_pattern", "SELECT page_id, '\\b' || array_to_string(list_transform(string_split(regexp_replace(url, '[/?]+', ' ', 'g'), ' '), lambda t: regexp_replace(t, '([.^$*+?()\\[\\]{}|\\\\-])', '\\\\\\1', 'g')), '\\s+') || '\\b' AS pattern FROM pages")
@@ -74,19 +109,18 @@ def fn_build_pattern(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.pattern_of(F.split(F.regexp_replace("url", "[/?]+", " "), " ")).alias("pattern"))
 
 
-FILLER_SQL = "(?i)\\b(?:the|and|der|la)\\b,? ?"
-
+def stripped_sql(names: tuple[str, ...]) -> str:
+    pattern = "<(?:" + "|".join(n.replace(" ", "> <") for n in names) + ")>,? ?"
+    edges = f"replace(replace('{pattern}', '<', chr(1)), '>', chr(2))"
+    return f"SELECT doc_id, {plain(replaced(edged('text'), pattern, ''))} AS text, len(regexp_extract_all({edged('text')}, '(?i)' || {edges}))::BIGINT AS hits FROM documents"
 
-@query("fn_fillers", f"SELECT doc_id, regexp_replace(text, '{FILLER_SQL}', '', 'g') AS text, len(regexp_extract_all(text, '{FILLER_SQL}'))::BIGINT AS hits FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def fn_fillers(spark, sf_dir):
-    stripped, hits = text.strip_fillers(F.col("text"), ("the", "and", "der", "la"))
-    return docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", stripped.alias("text"), hits.alias("hits"))
 
+for _name, _names in {"fn_fillers": ("the", "and", "der", "la"), "fn_oral_markers": ("of the", "in the")}.items():
 
-@query("fn_oral_markers", "SELECT doc_id, regexp_replace(text, '(?i)\\b(?:of the|in the)\\b,? ?', '', 'g') AS text, len(regexp_extract_all(text, '(?i)\\b(?:of the|in the)\\b,? ?'))::BIGINT AS hits FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def fn_oral_markers(spark, sf_dir):
-    stripped, hits = text.strip_fillers(F.col("text"), ("of the", "in the"))
-    return docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", stripped.alias("text"), hits.alias("hits"))
+    @query(_name, stripped_sql(_names))
+    def fillers(spark, sf_dir, names=_names):
+        stripped, hits = text.strip_fillers(F.col("text"), names)
+        return docs(spark, sf_dir).select("doc_id", stripped.alias("text"), hits.alias("hits"))
 
 
 @query("fn_md_prefix", f"WITH {LINES} SELECT doc_id, pos, trim(regexp_extract(line, '^\\s*((?:>\\s?|#{{1,6}} |[-*+] |\\d+[.)] )?)(.*)$', 1)) AS prefix, regexp_extract(line, '^\\s*((?:>\\s?|#{{1,6}} |[-*+] |\\d+[.)] )?)(.*)$', 2) AS rest FROM ln")
@@ -122,12 +156,15 @@ def fn_regex_preview(spark, sf_dir):
     return p.select("doc_id", F.regexp_count("p", F.lit("(?i)th")).cast("long").alias("hits"), rules.apply(F.col("p"), [("th", "TH")]).alias("after"))
 
 
-@query("fn_levenshtein", "SELECT a.doc_id, levenshtein(substr(a.text, 1, 60), substr(b.text, 1, 60))::BIGINT AS distance, levenshtein(substr(a.text, 1, 60), substr(b.text, 1, 60)) / greatest(length(substr(a.text, 1, 60)), length(substr(b.text, 1, 60))) AS normalized FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE NOT regexp_matches(substr(a.text, 1, 60) || substr(b.text, 1, 60), '[^\\x00-\\x7F]')")
+# DuckDB compares bytes: letters beyond ASCII become control characters first, one for one.
+ONE_BYTE = "translate({0}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', " + " || ".join(f"chr({k})" for k in (*range(1, 9), *range(14, 27))) + ")"
+
+
+@query("fn_levenshtein", f"WITH {SEG}, x AS (SELECT doc_id, idx, text AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM seg), y AS (SELECT doc_id, idx, levenshtein({ONE_BYTE.format('a')}, {ONE_BYTE.format('b')}) AS d, greatest(length(a), length(b)) AS n FROM x WHERE b IS NOT NULL) SELECT doc_id, idx, d::BIGINT AS distance, d / n AS normalized FROM y")
 def fn_levenshtein(spark, sf_dir):
-    a = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 60).alias("a"))
-    b = docs(spark, sf_dir).select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, 60).alias("b"))
-    pairs = a.join(b, "doc_id").where(~F.concat("a", "b").rlike(r"[^\x00-\x7F]"))
-    return pairs.select("doc_id", F.levenshtein("a", "b").cast("long").alias("distance"), numeric.edit_ratio(F.col("a"), F.col("b")).alias("normalized"))
+    after = F.lead("text").over(W.partitionBy("doc_id").orderBy("idx"))
+    pairs = segments(spark, sf_dir).select("doc_id", "idx", F.col("text").alias("a"), after.alias("b")).where("b IS NOT NULL")
+    return pairs.select("doc_id", "idx", F.levenshtein("a", "b").cast("long").alias("distance"), numeric.edit_ratio(F.col("a"), F.col("b")).alias("normalized"))
 
 
 @query("fn_token_estimate", "SELECT doc_id, greatest(1, ceil((CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END) * 13 / 10))::BIGINT AS tokens FROM documents")
@@ -163,8 +200,19 @@ def fn_json_roundtrip(spark, sf_dir):
     return e.select("event_id", F.coalesce("p.k", F.lit(-1)).alias("k"), F.to_json("p").alias("encoded"))
 
 
+simple_turn = {
+    "fn_fix_punct": (repaired("text"), text.fix_punctuation),
+    "fn_sentence_case": (cased("text"), text.sentence_case),
+}
+for _name, (_sql, _function) in simple_turn.items():
+
+    @query(_name, f"WITH {SEG} SELECT doc_id, idx, {_sql} AS text FROM seg")
+    def turned(spark, sf_dir, function=_function):
+        return segments(spark, sf_dir).select("doc_id", "idx", function(F.col("text")).alias("text"))
+
+
 # Functions that SQL can't express.
-for _name, _function in {"fn_repeat_words": text.collapse_repeats, "fn_fix_punct": text.fix_punctuation, "fn_fix_mojibake": text_udf.fix_mojibake, "fn_embed_norm": text_udf.embed_norm, "fn_sentence_case": text_udf.sentence_case, "fn_sanitize": text_udf.sanitize, "fn_clean_human": text_udf.clean_human, "udf_sentence_case": text_udf.polished_case}.items():
+for _name, _function in {"fn_repeat_words": text.collapse_repeats, "fn_fix_mojibake": text_udf.fix_mojibake, "fn_embed_norm": text_udf.embed_norm, "fn_sanitize": text_udf.sanitize, "fn_clean_human": text_udf.clean_human, "udf_sentence_case": text_udf.polished_case}.items():
 
     @query(_name)
     def custom(spark, sf_dir, function=_function):
