@@ -1,42 +1,64 @@
-"""Connected components of an edge table by alternating star contractions (Kiveris et al., 2014)."""
+"""Connected components of an edge table by contraction inside buckets.
+
+In a round every node's edges meet in one bucket, where what is connected becomes a star around its least node. A node with very
+many edges (a hub) has them dealt to several buckets; each of those also gets the edge to the hub's least neighbour, so that all
+of them move on. Rounds go on until nothing changes; their number grows with the logarithm of the longest path.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocalis.llm.frames import saved
-
+from vocalis.llm.frames import saved, shuffle_partitions
 
 #: A node with more than this share of all edge ends is a hub; there can't be more hubs than its inverse.
-HUB_SHARE = 1 / 2000
+HUB_SHARE, LEAST_HUB = 1 / 2000, 150
+#: Edge ends of a bucket, on average.
+BUCKET_EDGES = 500_000
 
 
-def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Each edge (u, v) with m, the least neighbour of u. Hubs' rows are few by arithmetic and broadcast, so their edges stay where they are."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-    most = max(100, int(2 * n_edges * HUB_SHARE))
-    hubs = F.broadcast(least.where(F.col("degree") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
-    marked = edges.join(hubs, F.col("u") == F.col("hub"), "left")
-    rest = marked.where("hub is null").select("u", "v").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
-    return rest.select("u", "v", "m").unionByName(marked.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it is connected with), for all nodes but those least ones; nodes in order."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        one, two = label[a], label[b]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    leaf = label != np.arange(len(nodes))
+    return nodes[leaf], nodes[label[leaf]]
 
 
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, n_edges).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+def _stars(table: pa.Table) -> pa.Table:
+    u, v, m = (np.asarray(table.column(c)) for c in ("u", "v", "m"))
+    hub = np.unique(np.stack((u, m))[:, u != m], axis=1)
+    node, least = contract(np.concatenate((u, hub[0])), np.concatenate((v, hub[1])))
+    return pa.table({"u": pa.array(node), "v": pa.array(least)})
 
 
-def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
-    rest = _with_least(edges, n_edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct()
+def _round(edges: DataFrame, n: int) -> DataFrame:
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    most = max(LEAST_HUB, int(2 * n * HUB_SHARE))
+    hubs = both.groupBy(F.col("u").alias("hub")).agg(F.count("*").alias("ends"), F.min("v").alias("least")).where(F.col("ends") > most)
+    dealt = both.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")  # at most 1 / HUB_SHARE rows, by arithmetic
+    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("v"), F.ceil(F.col("ends") / most))).otherwise(-1)
+    buckets = max(shuffle_partitions(edges.sparkSession), 2 * n // BUCKET_EDGES)
+    dealt = dealt.select("u", "v", F.coalesce("least", "u").alias("m"), F.pmod(F.xxhash64("u", part), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInArrow(_stars, "u bigint, v bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """From the columns (a, b): one row (node, component) for each node that has an edge and isn't its component's least node.
 
-    ``component`` is the least node of the component. Rounds go on until the edges, each counted and hashed, stay the same; their
-    number grows with the logarithm of the longest path. Nothing but those two numbers reaches the driver.
+    ``component`` is the least node of the component. A round ends the work if its edges, each counted and hashed, are those of the
+    round before. Nothing but those two numbers reaches the driver.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
@@ -45,4 +67,4 @@ def connected(edges: DataFrame) -> DataFrame:
         if (seen.n, seen.h) == mark or not seen.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = (seen.n, seen.h)
-        now = saved(_small_star(_large_star(now, seen.n), seen.n))
+        now = saved(_round(now, seen.n).distinct())

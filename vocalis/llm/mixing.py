@@ -68,7 +68,7 @@ def place(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     columns = ["doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row")]
     base = narrow(docs, *dict.fromkeys(("doc_id", "text", "source", *carry))).select(*columns, *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("document")] if carry else []))
     base = saved(base)
-    bits = max(4, (base.count() // ROWS_PER_RANGE).bit_length())  # the keys are uniform: so many leading bits make even slices
+    bits = max(8, (base.count() // ROWS_PER_RANGE).bit_length())  # the keys are uniform: so many leading bits make even slices
     base = base.withColumn("slice", F.shiftright("key", max(0, 32 - bits)))
     by_slice = base.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     by_source = targets(by_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, max_repeats)
