@@ -182,11 +182,11 @@ def received(blobs: Iterable[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray,
     """The pieces of one bucket (columns, with ``at`` in the buffer), their buffer, and the ranges that were settled before."""
     got = [unpack(b) for b in blobs]
     names = ("doc", "tag", "start", "count", "anchor", "length")
-    columns = {f: np.concatenate([g[0][i] for g in got]) for i, f in enumerate(names)}
+    columns = {f: np.concatenate([g[0][i] for g in got]) if got else np.zeros(0, dtype=np.int64) for i, f in enumerate(names)}
     columns["length"] += columns["count"]
     buf = np.frombuffer(b"".join(g[1] for g in got) + b" " * 8, dtype=np.uint8)
     columns["at"] = np.cumsum(columns["length"]) - columns["length"]
-    return columns, buf, [np.concatenate([g[0][i] for g in got]) for i in range(6, 10)]
+    return columns, buf, [np.concatenate([g[0][i] for g in got]) if got else np.zeros(0, dtype=np.int64) for i in range(6, 10)]
 
 
 def window_ranges(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, span: int) -> list[np.ndarray]:
@@ -212,8 +212,8 @@ def by_group(columns: list[np.ndarray], groups: int) -> pa.Table:
     return pa.table({"part": pa.array(part[edges[:-1]], pa.int64()), "blob": pa.array([pack([c[a:b] for c in columns]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
 
-def removed(docs: DataFrame, pieces: Callable[[Chunk, Routing], Pieces], judge: Callable[..., list[np.ndarray]], same_document: bool, span: int, route: Routing) -> DataFrame:
-    """Ranges to remove, packed by document group."""
+def sent(docs: DataFrame, pieces: Callable[[Chunk, Routing], Pieces], same_document: bool, span: int, route: Routing) -> DataFrame:
+    """The pieces of all documents, packed by bucket: (bucket, blob)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -226,13 +226,18 @@ def removed(docs: DataFrame, pieces: Callable[[Chunk, Routing], Pieces], judge:
         if held:
             yield from send(held, same_document, span)
 
+    return narrow(docs, "doc_id", "text").mapInArrow(cut, "bucket bigint, blob binary")
+
+
+def removed(docs: DataFrame, pieces: Callable[[Chunk, Routing], Pieces], judge: Callable[..., list[np.ndarray]], same_document: bool, span: int, route: Routing) -> DataFrame:
+    """Ranges to remove, packed by document group."""
+
     def settle(table: pa.Table) -> pa.Table:
         columns, buf, before = received(table.column("blob").to_pylist())
         found = judge(columns, buf)
         return by_group([np.concatenate((a, b)) for a, b in zip(before, found, strict=True)], route.groups)
 
-    sent = narrow(docs, "doc_id", "text").mapInArrow(cut, "bucket bigint, blob binary")
-    return sent.groupBy("bucket").applyInArrow(settle, RANGES)
+    return sent(docs, pieces, same_document, span, route).groupBy("bucket").applyInArrow(settle, RANGES)
 
 
 def apply_ranges(docs: DataFrame, found: DataFrame, groups: int, finish: Callable[[list[dict], pa.Table], pa.Table], schema, extra: tuple[str, ...] = ()) -> DataFrame:
