@@ -11,8 +11,9 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vocalis.llm import decontaminate, jaccard, language, licences, media, mixing, queries, substrings, suffixes, tokens, toxicity
+from vocalis.llm import components, decontaminate, jaccard, language, licences, media, mixing, queries, substrings, suffixes, tokens, toxicity
 from vocalis.llm.components import connected
 from vocalis.llm.kernels import Chunk
 
@@ -92,16 +93,33 @@ def test_suffix_family(docs, empty):
 def test_levels_grow_geometrically():
     family = suffixes.Family()
     r = np.random.default_rng(0)
-    first = {}
+    first: dict = {}
     for batch in range(9):
-        keys = np.array([b"%050d" % x for x in r.integers(0, 300, 100)], dtype="S50")
-        docs = np.sort(r.integers(batch * 10, batch * 10 + 10, 100))
-        before = dict(first)
-        for k, d in zip(keys.tolist(), docs.tolist(), strict=True):
-            before[k] = min(d, before.get(k, d))
-        assert family.add(keys, docs).tolist() == [d > before[k] for k, d in zip(keys.tolist(), docs.tolist(), strict=True)]
-        first = before
+        buf = r.integers(97, 99, 60 + 40 * (batch % 3), dtype=np.uint8)
+        buf = np.concatenate((buf, buf[: 55 + batch]))
+        at = np.arange(len(buf) - 49)
+        docs = np.sort(r.integers(batch * 10, batch * 10 + 10, len(at)))
+        keys = [buf[k : k + 50].tobytes() for k in at.tolist()]
+        for k, d in zip(keys, docs.tolist(), strict=True):
+            first[k] = min(d, first.get(k, d))
+        assert family.add(buf, at, docs).tolist() == [d > first[k] for k, d in zip(keys, docs.tolist(), strict=True)]
         assert [x is not None for x in family.levels] == [bool((batch + 1) >> i & 1) for i in range(len(family.levels))]
+        for level in family.levels:
+            if level is not None:
+                again = suffixes.Level.unpacked(level.packed())
+                assert again.strings().tolist() == level.strings().tolist() == sorted(set(level.strings().tolist()))
+                assert [first[k] <= d for k, d in zip(level.strings().tolist(), level.docs.tolist(), strict=True)]
+
+
+def test_appends_are_one_run(docs, tmp_path):
+    whole = sorted(map(str, suffixes.repeated_bytes(docs.where("doc_id is not null")).collect()))
+    got = []
+    for low, high in ((0, 20), (20, 35), (35, 36), (36, 60), (60, 1000)):
+        got += suffixes.append(docs.where(f"doc_id >= {low} and doc_id < {high}"), str(tmp_path / "family"), 8).collect()
+    assert sorted(map(str, got)) == whole
+    assert sum(r.n_removed for r in got) > 0
+    levels = docs.sparkSession.read.parquet(str(tmp_path / "family" / "state" / "*")).orderBy("generation").collect()
+    assert [[f.level for f in r.folders] for r in levels] == [[0], [1], [0, 1], [2], [0, 2]]
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
@@ -178,10 +196,28 @@ def test_jaccard_keeps_the_texts_of_repeated_ids(spark):
     assert kept == sorted(map(str, [(1, a), (None, b), (None, c), (5, d), (7, None), (7, "")]))
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 100), (7, 7)]
-    got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {**{k: 0 for k in range(1, 31)}, 101: 100}
+    edges += [(1000 + k, 1000) for k in range(1, 400)] + [(1000, 950), (950, 940)] + [(3000, 3000 + k) for k in range(1, 300)] + [(3299, 2999)]
+    want = {**{k: 0 for k in range(1, 31)}, 101: 100, **{1000 + k: 940 for k in range(400)}, 950: 940, **{3000 + k: 2999 for k in range(300)}}
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    assert {r.node: r.component for r in connected(table).collect()} == want
+    monkeypatch.setattr(components, "LEAST_HUB", 5)
+    assert {r.node: r.component for r in connected(table).collect()} == want
+
+
+def test_components_of_random_graphs(spark, monkeypatch):
+    r = random.Random(3)
+    monkeypatch.setattr(components, "LEAST_HUB", 3)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(5, k) for k in range(300, 380)]
+    node, least = components.contract(np.asarray([a for a, _ in edges]), np.asarray([b for _, b in edges]))
+    got = {x.node: x.component for x in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == dict(zip(node.tolist(), least.tolist(), strict=True))
+    root = list(range(400))
+    for a, b in edges:
+        x, y = root[a], root[b]
+        root = [min(x, y) if z in (x, y) else z for z in root]
+    assert got == {k: root[k] for k in range(400) if root[k] != k}
 
 
 def test_fair_mix(docs, empty, spark):
@@ -540,6 +576,64 @@ def test_decontamination_in_passes(spark, monkeypatch):
     assert used < sum(decontaminate.index_bytes(100) for _ in range(300)) + decontaminate.CLASS_BYTES * len(index.classes)
 
 
+def brute_pipeline(spark, rows: list[dict], items: list[tuple[int, str]], model) -> list[tuple[int, str, int]]:
+    """(doc_id, text, taken) of the pipeline, one document at a time."""
+    score = {r.doc_id: r.rejected for r in language.predict(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id bigint, text string"), model).collect()}
+    rows = sorted((r for r in rows if not score[r["doc_id"]]), key=lambda r: r["doc_id"])
+    sets, kept = {}, []
+    for r in rows:
+        w = [x for x in re.split(rb"[\x20\x09-\x0D]+", r["text"].encode().lower()) if x]
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {d: min(x, y) if r in (x, y) else r for d, r in root.items()}
+    first: dict[bytes, int] = {}
+    for r in [r for r in rows if root[r["doc_id"]] == r["doc_id"]]:
+        raw = r["text"].encode()
+        gone = np.zeros(len(raw), dtype=bool)
+        for i in range(len(raw) - 49):
+            if first.setdefault(raw[i : i + 50], r["doc_id"]) < r["doc_id"]:
+                gone[i : i + 50] = True
+        left = bytes(np.frombuffer(raw, dtype=np.uint8)[~gone]).decode("utf-8", "ignore")
+        if not (gone.any() and gone.all()):
+            kept.append({**r, "text": left})
+    index = decontaminate.build(items)
+    words = [set(decontaminate.words_of(t)) for _, t in items]
+    maybe = lambda text: [k for k in range(len(items)) if len(words[k] & set(decontaminate.words_of(text))) >= 0.6 * len(words[k])]
+    kept = [r for r in kept if not any(all_places(index, k, r["text"]) >= decontaminate.THRESHOLD - 1e-9 for k in maybe(r["text"]))]
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in kept}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r["doc_id"], r["text"], r["source"]) for r in kept])
+    taken = {d: t for d, t in con.execute(f"SELECT doc_id, taken FROM ({queries.OP2_SQL})").fetchall()}
+    return sorted((r["doc_id"], r["text"], size[r["doc_id"]], taken[r["doc_id"]]) for r in kept)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null AND length(text) < 3000")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    planted = spark.createDataFrame([(9000 + k, "und so weiter " + t + " und mehr davon", "en", "src1", 1) for k, (_, t) in enumerate(items[:3])], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = table.unionByName(planted)
+    for name in ("language", "n_removed", "kept_sha256", "__left", "__first", "taken", "size"):
+        clash = clash.withColumn(name, F.lit("mine"))
+    clash.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[: len(clash.columns)] == clash.columns
+    got = sorted((r.doc_id, r.text, r.mix_size, r.mix_taken) for r in out.collect())
+    want = brute_pipeline(spark, [r.asDict() for r in docs.collect()], items, language.fit(docs))
+    assert got == want
+    assert not any(d >= 9000 for d, *_ in got)
+    assert {r.language for r in out.collect()} == {"mine"}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +41,36 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_open: list[list[str]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder."""
+    """Cuts the lineage through the shared folder. Inside scratch(), the checkpoint goes when that ends."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _open:
+        plan = out._jdf.queryExecution().logical()
+        _open[-1].append(plan.rdd().getCheckpointFile().get())
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the checkpoints that are made inside, at its end: for work whose result is written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for folder in _open.pop():
+            remove_folder(spark, folder)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

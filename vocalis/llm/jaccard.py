@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocalis.llm.components import connected
-from vocalis.llm.frames import narrow, saved, shuffle_partitions
+from vocalis.llm.frames import narrow, saved, shuffle_partitions, unused
 from vocalis.llm.kernels import LOWER, NULL_ID, U64, Chunk, chunks, mix, prefix_hash, range_hash, word_hashes
 from vocalis.llm.shards import FLUSH_BYTES, pack, unpack
 
@@ -424,14 +424,16 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Where ids are null or repeat, each text of an id is a document of its own: by id (null first), then by the text's hash.
     """
     ids = narrow(docs, "doc_id").groupBy("doc_id").count()
+    first_id, mark, row, its_id, its_mark = (unused(docs, f"__{c}") for c in ("first", "mark", "row", "id", "its"))
+    is_first = F.col("doc_id") == F.col("component_id")
     if ids.where(F.col("doc_id").isNull() | (F.col("count") > 1)).isEmpty():
-        first = components(docs, n, percent).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first"))
-        return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("__mark")]
-    rows = marked.select("doc_id", "__mark").distinct().repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    rows = saved(rows.withColumn("__row", F.monotonically_increasing_id())).toDF("__id", "__its", "__row")  # ranges in order: so are the numbers
-    numbered = saved(marked.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__its"))))
-    found = components(numbered.select(F.col("__row").alias("doc_id"), "text"), n, percent)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
-    return numbered.join(first, F.col("__row") == F.col("__first"), "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in docs.columns])
+        first = components(docs, n, percent).where(is_first).select(F.col("doc_id").alias(first_id))
+        return docs.join(first, F.col("doc_id") == F.col(first_id), "left_semi")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col(mark)]
+    rows = marked.select("doc_id", mark).distinct().repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows = saved(rows.withColumn(row, F.monotonically_increasing_id())).toDF(its_id, its_mark, row)  # ranges in order: so are the numbers
+    numbered = saved(marked.join(rows, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(mark) == F.col(its_mark))))
+    found = components(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent)
+    first = found.where(is_first).select(F.col("doc_id").alias(first_id)).distinct()
+    return numbered.join(first, F.col(row) == F.col(first_id), "left_semi").dropDuplicates([row]).select(*[f"`{c}`" for c in docs.columns])

@@ -180,21 +180,21 @@ def _score(chunk: Chunk, model: Model) -> tuple[list[str], np.ndarray, np.ndarra
     return pred, np.where(letters, best, 0).astype(float), ~letters | (best <= 0) | (best < model.floor[length_class(tf)])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds the struct column ``language`` (lang_pred, score, rejected) to doc_id and text of every document.
+def identify(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
+    """Adds the struct column ``name`` (lang_pred, score, rejected) to doc_id and text of every document.
 
     Null, empty and letterless texts are ``und`` with score 0 and rejected. A rejected text with letters keeps its nearest
     language. Equal texts get equal predictions; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most clusters x languages rows of DIMS numbers
-    schema = T.StructType([*docs.schema.fields, T.StructField("language", SCHEMA)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, SCHEMA)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             view = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])
             found = [_score(chunk, shared.value) for _, chunk in chunks([view], most=ROWS)]
             pred = pa.StructArray.from_arrays([pa.array([p for f in found for p in f[0]], pa.string()), pa.array(np.concatenate([f[1] for f in found] or [[]]), pa.float64()), pa.array(np.concatenate([f[2] for f in found] or [[]]).astype(bool), pa.bool_())], ["lang_pred", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pred], [*batch.schema.names, "language"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pred], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
