@@ -6,9 +6,9 @@
    segment need no comparison.
 3. First look. Each node goes to one star, that of the least node it shares a segment with, in blocks of STAR sets; the star's
    centre goes along to each block. That links nearly all near copies, in work that grows with their number.
-4. Second look, at what that leaves. Groups are sets that shared segments connect within a level. Where a group holds more than one
-   component of links, its sets are compared in blocks, but never those of its largest component among themselves: they are
-   linked already. So a group of any number of near copies costs nothing more.
+4. Second look, at what that leaves: shared segments between sets of different components of links. They connect components of
+   links, within a level, to groups, whose sets are compared in blocks, but never those of a group's largest component among
+   themselves: they are linked already. So any number of near copies costs nothing more.
 5. Both looks use signature trees: a node holds the OR of its sets' token bitmaps and its size range. A dual traversal from
    the root against itself drops a pair of nodes if sizes are too far apart, if the most overlap that the bitmaps allow is too
    little, or if all of its sets are linked already; pairs of sets in leaves are counted exactly.
@@ -143,7 +143,7 @@ def _level(size: np.ndarray, percent: int) -> np.ndarray:
     return np.searchsorted(np.asarray(size_classes(int(size.max(initial=0)), percent)), size, side="right") - 1
 
 
-SURVEY = "doc_id bigint, n_shingles bigint, name bigint, name2 bigint, low bigint, high bigint, bin bigint, n bigint"
+SURVEY = "doc_id bigint, n_shingles bigint, name bigint, name2 bigint, low bigint, high bigint, level bigint, bin bigint, n bigint"
 
 
 def survey(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -168,9 +168,9 @@ def survey(docs: DataFrame, n: int, percent: int) -> DataFrame:
             else:
                 table += np.bincount(bins, minlength=len(table))
             level = _level(s.size, percent)
-            yield rows([chunk.ids, s.size.astype(np.int64), *s.name, _at_level(s.name[0], level), _at_level(s.name[0], level + 1)], 2, False)
+            yield rows([chunk.ids, s.size.astype(np.int64), *s.name, _at_level(s.name[0], level), _at_level(s.name[0], level + 1), level.astype(np.int64)], 2, False)
         bins = np.flatnonzero(table >= max(16, HOT_SHARE * table.sum()))
-        yield rows([np.concatenate(([-1], bins)), np.concatenate(([table.sum()], table[bins]))], 6, True)
+        yield rows([np.concatenate(([-1], bins)), np.concatenate(([table.sum()], table[bins]))], 7, True)
 
     return narrow(docs, "doc_id", "text").mapInArrow(run, SURVEY)
 
@@ -375,11 +375,18 @@ def _stars_of(standing: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _groups_of(standing: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Second look: (component, one, two, representative, name, name2, linked) of the groups with several components of links."""
-    groups = connected(edges)
-    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    """Second look: (component, one, two, representative, name, name2, linked) of the groups with several components of links.
+
+    The edges are first contracted by the links, and those inside a component of links go; so a group is made of such components.
+    """
     known = links.select(F.col("node").alias("representative"), F.col("component").alias("link"))
-    members = standing.join(groups, "node").join(known, "representative", "left").select("component", "representative", "name", "name2", "items", F.coalesce("link", "representative").alias("linked"))
+    labelled = standing.join(known, "representative", "left").withColumn("linked", F.coalesce("link", "representative")).drop("link")
+    labelled = saved(labelled.withColumn("at", F.xxhash64("linked", "level")))  # a component of links at a level
+    one, two = (labelled.select(F.col("node").alias(c), F.col("at").alias(f"{c}_at")) for c in ("a", "b"))
+    apart = edges.join(one, "a").join(two, "b").where("a_at <> b_at").select(F.col("a_at").alias("a"), F.col("b_at").alias("b"))
+    groups = connected(apart)
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    members = labelled.join(groups.withColumnRenamed("node", "at"), "at").select("component", "representative", "name", "name2", "items", "linked")
     classes = saved(members.groupBy("component", "linked").agg(F.count("*").alias("sets"), F.sum("items").alias("items")))
     # of each group: its largest component of links, and the blocks of that one and of the others
     sized = classes.groupBy("component").agg(F.max(F.struct("sets", "items", "linked")).alias("main"), F.sum("sets").alias("sets"), F.sum("items").alias("items")).where("main.sets < sets")
@@ -403,11 +410,11 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     surveyed = saved(survey(docs, n, percent))
     hot, items = _hot(surveyed)
-    every = surveyed.where("bin is null").select("doc_id", "n_shingles", "name", "name2", "low", "high")
-    classes = every.where("n_shingles > 0").groupBy("name", "name2").agg(F.min("doc_id").alias("representative"), F.max("n_shingles").alias("items"), F.max("low").alias("low"), F.max("high").alias("high"))
+    every = surveyed.where("bin is null").select("doc_id", "n_shingles", "name", "name2", "low", "high", "level")
+    classes = every.where("n_shingles > 0").groupBy("name", "name2").agg(F.min("doc_id").alias("representative"), F.max("n_shingles").alias("items"), F.max("low").alias("low"), F.max("high").alias("high"), F.max("level").alias("level"))
     edges = saved(candidates(docs, n, percent, hot, items))
     touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    standing = saved(classes.select("representative", "name", "name2", "items", F.explode(F.array("low", "high")).alias("node")).join(touched, "node"))
+    standing = saved(classes.select("representative", "name", "name2", "items", F.explode(F.array(F.struct(F.col("low").alias("node"), "level"), F.struct(F.col("high").alias("node"), (F.col("level") + 1).alias("level")))).alias("at")).select("representative", "name", "name2", "items", "at.node", "at.level").join(touched, "node"))
     first = connected(_compared(_stars_of(standing, edges), docs, ("star", "block"), n, percent))
     second = _compared(_groups_of(standing, edges, first), docs, ("component", "one", "two"), n, percent)
     found = connected(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
