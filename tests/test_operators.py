@@ -9,7 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from vocalis.functions import text_udf
-from vocalis.operators import folds, index, intervals, quality, rules, sequences
+from vocalis.operators import folds, fuzzy, index, intervals, quality, rules, sequences
 from vocalis.sources import readers, sinks
 from vocalis.streaming import tail
 
@@ -45,6 +45,46 @@ def test_overlap_join_gives_each_pair_once(spark):
     assert rows(intervals.overlap(a, b, ("a0", "a1"), ("b0", "b1")), "b0") == [(1, 0, 300_000, 10, 200_000)]
 
 
+def test_long_spans_and_many_rows_join_by_buckets(spark):
+    far = 10**12
+    a = spark.createDataFrame([(1, 0, far), (1, far, far + 1), (1, 5, 5)], "doc_id bigint, a0 bigint, a1 bigint")
+    b = spark.createDataFrame([(1, far - 1, far + 5), (1, 3, 9), (2, 0, far)], "doc_id bigint, b0 bigint, b1 bigint")
+    assert rows(intervals.overlap(a, b, ("a0", "a1"), ("b0", "b1")).select("a0", "b0"), "a0", "b0") == [(0, 3), (0, far - 1), (5, 3), (far, far - 1)]
+    points = spark.range(0, 20_000).selectExpr("1 AS doc_id", "id AS idx", "id * 400 AS t")
+    spans = spark.range(0, 200).selectExpr("1 AS doc_id", "id AS turn", "id * 40000 AS s0", "id * 40000 + 39999 AS s1", "concat('s', id) AS speaker")
+    got = intervals.at_point(points, spans, points.t, ("s0", "s1"), "turn", "speaker", ("doc_id", "idx"))
+    assert got.where("speaker <> concat('s', idx div 100)").count() == 0
+    holes = intervals.at_point(points.where("idx < 300"), spans.where("turn <> 1"), points.t, ("s0", "s1"), "turn", "speaker", ("doc_id", "idx"))
+    assert {r.speaker for r in holes.where("idx >= 100 and idx < 200").collect()} == {"s199"}
+
+
+def test_folds_of_a_long_document(spark):
+    df = spark.range(0, 20_000).selectExpr("1 AS doc_id", "id AS idx", "concat('s', (id div 3) % 2) AS speaker", "10 AS chars")
+    got = folds.paragraphs(df.selectExpr("doc_id", "idx", "speaker", "cast(chars AS bigint) AS chars"))
+    assert got.where("paragraph <> idx div 3").count() == 0
+    assert got.count() == 20_000
+
+
+def test_gestalt_blocking_loses_little(spark):
+    import random
+
+    r = random.Random(5)
+    words_ = sorted({"".join(r.choices("abcdeé", k=r.randint(1, 12))) for _ in range(300)} | {"installation", "instalation", "instllaation", "été", "étés"})
+    table = spark.createDataFrame([(w, 1) for w in words_], "w string, n bigint")
+    best = {w: max(((text_udf.gestalt_ratio(w, o), o) for o in words_ if o != w), default=(0, "")) for w in words_}
+    want = {w: b for w, b in best.items() if b[0] >= 0.8}
+    got = {x.source: (x.ratio, x.target) for x in fuzzy.best_gestalt(table, 0.8).collect()}
+    assert set(got) <= set(want)
+    assert sum(got.get(w) == b for w, b in want.items()) >= 0.98 * len(want)
+
+
+def test_chunk_names_dont_collide(spark):
+    from vocalis.sources.adapters import row_id
+
+    ids = spark.range(0, 5_000).selectExpr("1 AS d", "id AS k").unionByName(spark.range(0, 5_000).selectExpr("6 AS d", "id AS k"))
+    assert ids.select(row_id(ids.d, ids.k).alias("name")).distinct().count() == 10_000
+
+
 def test_redundancy_respects_time(spark):
     near = [(1, 0, "bonjour tout le monde", 0, 1000), (1, 1, "bonjour tout le monde.", 1200, 2000), (1, 2, "bonjour tout le monde", 90_000, 91_000)]
     df = spark.createDataFrame(near, "doc_id bigint, idx bigint, text string, t0 bigint, t1 bigint")
@@ -73,7 +113,14 @@ def test_rules():
 def test_marks_and_repeats():
     words = [{"word": "Bonjour", "probability": 0.9}, {"word": "monde", "probability": 0.1}]
     assert text_udf.mark_text("Bonjour monde.", words) == "Bonjour **[monde.?]**"
-    assert text_udf.local_repeats("il est il est parti. oui oui") == "il est parti. oui"
+    assert text_udf.mark_text("a b a", [{"word": "a", "probability": 0.1}, {"word": "x", "probability": 0.1}, {"word": "a", "probability": 0.9}]) == "**[a?]** b a"
+    assert text_udf.local_repeats("il est Il est il est parti. oui oui je viens") == "il est parti.oui oui je viens"
+    assert text_udf.local_repeats("a, b a b") == "a, b a b"
+    assert text_udf.local_repeats("A. B\n\nC d.") == "A.B C d."
+    assert text_udf.local_repeats("a b c a b c a b d") == "a b c a b d"
+    assert text_udf.local_repeats("x " * 5000) == " ".join(["x"] * 2) or len(text_udf.local_repeats("x " * 5000).split()) < 4
+    assert text_udf.human_text("Il vient. , puis il part,") == "Il vient.puis il part"
+    assert text_udf.human_text(" LIA dit bonjour  à tous , enfin ", glossary={"bonjour": "Salut"}) == "l’IA dit Salut à tous , enfin"
     assert text_udf.repair("dÃ©jÃ  vu") != "dÃ©jÃ  vu"
 
 

@@ -64,15 +64,32 @@ def counted_chunks(df: DataFrame, target: int, least_tokens: int, least_rows: in
 
 
 def grouped(df: DataFrame, columns: tuple[str, ...], state: Column, step, name: str = "group") -> DataFrame:
-    """Numbers rows by a fold: ``step(state, row)`` returns the new state, whose field ``g`` is the row's group. Returns doc_id, idx, group."""
-    seeded = F.struct(state.alias("s"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    """Numbers rows by a fold: ``step(state, row)`` returns the new state, whose field ``g`` is the row's group. Returns doc_id, idx, group.
+
+    The walk appends a row's number only where a group begins, in blocks that are closed when they are full, so that appending
+    copies a block and not all that came before; the groups of the rows follow from their beginnings.
+    """
+    block = 512
+    numbers = "cast(array() as array<struct<i:int,g:bigint>>)"
+    seeded = F.struct(state.alias("s"), F.lit(0).alias("i"), F.lit(None).cast("long").alias("g"), F.expr(numbers).alias("now"), F.expr("cast(array() as array<array<struct<i:int,g:bigint>>>)").alias("full"))
 
     def walk(acc: Column, row: Column) -> Column:
         new = step(acc["s"], row)
-        return F.struct(new.alias("s"), F.concat(acc["out"], F.array(new["g"].cast("long"))).alias("out"))
+        g = new["g"].cast("long")
+        fresh = acc["g"].isNull() | (acc["g"] != g)
+        full = F.size(acc["now"]) >= block
+        kept = F.when(fresh & full, F.expr(numbers)).otherwise(acc["now"])
+        begun = F.array(F.struct(acc["i"].alias("i"), g.alias("g")))
+        return F.struct(new.alias("s"), (acc["i"] + 1).alias("i"), g.alias("g"), F.when(fresh, F.concat(kept, begun)).otherwise(kept).alias("now"), F.when(fresh & full, F.concat(acc["full"], F.array(acc["now"]))).otherwise(acc["full"]).alias("full"))
+
+    begins = F.aggregate("rows", seeded, walk, lambda acc: F.concat(F.flatten(acc["full"]), acc["now"]))
+    folded = _rows(df, *columns).select("doc_id", F.transform("rows", lambda r: r["idx"]).alias("ids"), begins.alias("begins"))
+
+    def members(b: Column, k: Column) -> Column:
+        upto = F.coalesce(F.try_element_at(F.col("begins"), (k + 2).cast("int"))["i"], F.size("ids"))
+        return F.transform(F.slice("ids", b["i"] + 1, upto - b["i"]), lambda x: F.struct(x.alias("idx"), b["g"].alias("g")))
 
-    folded = _rows(df, *columns).select("doc_id", "rows", F.aggregate("rows", seeded, walk, lambda acc: acc["out"]).alias("groups"))
-    return folded.select("doc_id", F.explode(F.arrays_zip(F.col("rows.idx").alias("idx"), F.col("groups").alias("g"))).alias("z")).select("doc_id", F.col("z.idx").alias("idx"), F.col("z.g").alias(name))
+    return folded.select("doc_id", F.explode(F.flatten(F.transform("begins", members))).alias("z")).select("doc_id", F.col("z.idx").alias("idx"), F.col("z.g").alias(name))
 
 
 def sections(df: DataFrame, target_ms: int = 180_000, most_ms: int = 480_000, pause_ms: int = 6_000, soft_ms: int = 150_000) -> DataFrame:

@@ -1,7 +1,7 @@
 """Interval joins inside a document: overlap, containment, midpoint, and semi joins with a fallback.
 
-Catalyst has no range join. The document is an equality key; for documents with very many intervals the frames are cut into time
-buckets first, so that a task compares only neighbours.
+Catalyst has no range join. The document and a time bucket are equality keys, so that a task compares only neighbours. Buckets come
+in several widths: a span stands in buckets at least as wide as itself, so that a long one isn't cut into many.
 """
 
 from __future__ import annotations
@@ -10,26 +10,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def overlap(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], bucket_ms: int = 60_000, tolerance_ms: int = 0, key: str = "doc_id") -> DataFrame:
-    """Inner join of half-open spans that overlap. Pairs that share several buckets come once: in the bucket where the later span begins."""
+#: Widths of time buckets. A span stands in buckets that are at least as wide as itself, so it touches two of them at most.
+WIDTHS_MS = tuple(60_000 * 32**k for k in range(7))
+
+
+def _widths(length: Column) -> Column:
+    """The places of the bucket widths that are enough for a span of that length; the last one is for all that are longer."""
+    need = F.lit(0)
+    for k, width in enumerate(WIDTHS_MS[:-1]):
+        need = F.when(length > width, k + 1).otherwise(need)
+    return need
+
+
+def _buckets(start: Column, end: Column, width: Column) -> Column:
+    ms = F.element_at(F.array(*[F.lit(w) for w in WIDTHS_MS]), (width + 1).cast("int"))
+    return F.sequence(F.floor(start / ms), F.floor(end / ms))
+
+
+def overlap(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], tolerance_ms: int = 0, key: str = "doc_id") -> DataFrame:
+    """Inner join of half-open spans that overlap.
+
+    Two spans meet in buckets of the wider one's width: each side stands there if it is the wider or as wide, or else in all
+    wider widths' buckets that it touches. A pair that shares two buckets comes once: in the one where the later span begins.
+    """
     a0, a1 = (F.col(f"__a.{c}") for c in left_span)
     b0, b1 = (F.col(f"__b.{c}") for c in right_span)
-    low = lambda c: F.floor(c / bucket_ms)
-    a = left.withColumn("__bucket", F.explode(F.sequence(low(F.col(left_span[0]) - tolerance_ms), low(F.greatest(F.col(left_span[0]), F.col(left_span[1])) + tolerance_ms)))).alias("__a")
-    b = right.withColumn("__bucket", F.explode(F.sequence(low(F.col(right_span[0])), low(F.greatest(F.col(right_span[0]), F.col(right_span[1])))))).alias("__b")
+
+    def placed(df: DataFrame, start: Column, end: Column) -> DataFrame:
+        own = df.withColumn("__from", start).withColumn("__to", F.greatest(start, end)).withColumn("__own", _widths(F.col("__to") - F.col("__from")))
+        wide = own.withColumn("__width", F.explode(F.sequence(F.col("__own"), F.lit(len(WIDTHS_MS) - 1))))
+        return wide.withColumn("__bucket", F.explode(_buckets(F.col("__from"), F.col("__to"), F.col("__width"))))
+
+    a = placed(left, F.col(left_span[0]) - tolerance_ms, F.col(left_span[1]) + tolerance_ms).alias("__a")
+    b = placed(right, F.col(right_span[0]), F.col(right_span[1])).alias("__b")
     meets = (b1 > a0 - tolerance_ms) & (b0 < a1 + tolerance_ms)
-    first = F.col("__a.__bucket") == low(F.greatest(a0 - tolerance_ms, b0))
-    joined = a.join(b, (F.col(f"__a.{key}") == F.col(f"__b.{key}")) & (F.col("__a.__bucket") == F.col("__b.__bucket")) & meets & first)
+    wider = F.col("__a.__width") == F.greatest("__a.__own", "__b.__own")
+    ms = F.element_at(F.array(*[F.lit(w) for w in WIDTHS_MS]), (F.col("__a.__width") + 1).cast("int"))
+    first = F.col("__a.__bucket") == F.floor(F.greatest("__a.__from", "__b.__from") / ms)
+    same = (F.col(f"__a.{key}") == F.col(f"__b.{key}")) & (F.col("__a.__width") == F.col("__b.__width")) & (F.col("__a.__bucket") == F.col("__b.__bucket"))
+    joined = a.join(b, same & meets & wider & first)
     shared = [c for c in right.columns if c != key]
     return joined.select(*[F.col(f"__a.{c}") for c in left.columns], *[F.col(f"__b.{c}") for c in shared])
 
 
+def _holding(points: DataFrame, spans: DataFrame, closed: bool) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides by time bucket and the condition that a span (__doc, __s0, __s1) holds the point (doc_id, __point)."""
+    p = points.withColumn("__width", F.explode(F.array(*[F.lit(k) for k in range(len(WIDTHS_MS))])))
+    ms = F.element_at(F.array(*[F.lit(w) for w in WIDTHS_MS]), (F.col("__width") + 1).cast("int"))
+    p = p.withColumn("__bucket", F.floor(F.col("__point") / ms))
+    s = spans.withColumn("__w", _widths(F.col("__s1") - F.col("__s0")))
+    s = s.where("__s1 >= __s0").withColumn("__b", F.explode(_buckets(F.col("__s0"), F.col("__s1"), F.col("__w"))))
+    inside = (F.col("__point") >= F.col("__s0")) & (F.col("__point") <= F.col("__s1") if closed else F.col("__point") < F.col("__s1"))
+    return p, s, (F.col("doc_id") == F.col("__doc")) & (F.col("__width") == F.col("__w")) & (F.col("__bucket") == F.col("__b")) & inside
+
+
 def at_point(points: DataFrame, spans: DataFrame, point: Column, span: tuple[str, str], order: str, value: str, row_key: tuple[str, ...], closed: bool = True, fallback: bool = True) -> DataFrame:
     """Adds ``value`` of the first span (by ``order``) that holds the point; with fallback, of the document's last span otherwise."""
-    p = points.withColumn("__point", point)
-    s = spans.select(F.col("doc_id").alias("__doc"), F.col(span[0]).alias("__s0"), F.col(span[1]).alias("__s1"), F.col(order).alias("__order"), F.col(value).alias("__value"))
-    inside = (F.col("__point") >= F.col("__s0")) & (F.col("__point") <= F.col("__s1") if closed else F.col("__point") < F.col("__s1"))
-    hit = p.join(s, (F.col("doc_id") == F.col("__doc")) & inside).groupBy(*row_key).agg(F.min_by("__value", "__order").alias(value))
+    named = spans.select(F.col("doc_id").alias("__doc"), F.col(span[0]).alias("__s0"), F.col(span[1]).alias("__s1"), F.col(order).alias("__order"), F.col(value).alias("__value"))
+    p, s, inside = _holding(points.withColumn("__point", point), named, closed)
+    hit = p.join(s, inside).groupBy(*row_key).agg(F.min_by("__value", "__order").alias(value))
     out = points.drop(value).join(hit, list(row_key), "left") if value in points.columns else points.join(hit, list(row_key), "left")
     if not fallback:
         return out
@@ -39,8 +78,9 @@ def at_point(points: DataFrame, spans: DataFrame, point: Column, span: tuple[str
 
 def near_speech(rows: DataFrame, speech: DataFrame, point: Column, margin_ms: int, row_key: tuple[str, ...]) -> DataFrame:
     """Rows whose point lies within a speech span, give or take the margin; a document in which none does keeps all its rows."""
-    s = speech.select(F.col("doc_id").alias("__doc"), (F.col("s0") - margin_ms).alias("__s0"), (F.col("s1") + margin_ms).alias("__s1"))
-    marked = rows.withColumn("__point", point)
-    inside = marked.join(s, (F.col("doc_id") == F.col("__doc")) & (F.col("__point") >= F.col("__s0")) & (F.col("__point") <= F.col("__s1")), "left_semi").drop("__point")
-    without = rows.join(inside.select("doc_id").distinct(), "doc_id", "left_anti")
+    named = speech.select(F.col("doc_id").alias("__doc"), (F.col("s0") - margin_ms).alias("__s0"), (F.col("s1") + margin_ms).alias("__s1"))
+    p, s, holds = _holding(rows.withColumn("__point", point), named, True)
+    keys = p.join(s, holds, "left_semi").select(*row_key).distinct()
+    inside = rows.join(keys, list(row_key), "left_semi")
+    without = rows.join(keys.select("doc_id").distinct(), "doc_id", "left_anti")
     return inside.unionByName(without)

@@ -46,5 +46,5 @@ def apply(text: Column, rules: Iterable[tuple[str, str]], ignore_case: bool = Tr
             re.compile(pattern)
         except re.error:
             continue
-        text = F.regexp_replace(text, ("(?iu)" if ignore_case else "") + pattern, java_replacement(replacement))
+        text = F.regexp_replace(text, ("(?iuU)" if ignore_case else "(?U)") + pattern, java_replacement(replacement))
     return text

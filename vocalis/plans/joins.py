@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vocalis.functions import text_udf
 from vocalis.operators import fuzzy, intervals
 from vocalis.plans.registry import query
-from vocalis.sources.adapters import JOBS, SEG, SEGW, TURNS, UTT, jobs, segment_words, segments, table, turns, utterances
+from vocalis.sources.adapters import JOBS, SEG, SEGW, TURNS, UTT, jobs, row_id, segment_words, segments, table, turns, utterances
 
 CHUNKS = SEG + ", ck AS (SELECT doc_id, idx // 3 AS chunk, min(t0) + 100 AS c0, max(t1) - 100 AS c1 FROM seg GROUP BY doc_id, idx // 3)"
 
@@ -67,10 +67,10 @@ def agg_interval_conf(spark, sf_dir):
     return g.select("doc_id", "idx", (F.col("s") / (F.col("n") * 100)).alias("mean"), (F.element_at("v", at.cast("int")) / 100).alias("p05"), (F.col("low") / F.col("n")).alias("low_ratio"))
 
 
-@query("join_hits_lookup", f"WITH {SEG}, h AS (SELECT doc_id * 1000 + idx AS chunk_id FROM seg WHERE idx = 1 UNION ALL SELECT -1) SELECT h.chunk_id, doc_id, t0 / 1000 AS start_s, text FROM h LEFT JOIN seg ON h.chunk_id = doc_id * 1000 + idx")
+@query("join_hits_lookup", f"WITH {SEG}, h AS (SELECT doc_id::VARCHAR || '-' || idx::VARCHAR AS chunk_id FROM seg UNION ALL SELECT 'none') SELECT h.chunk_id, doc_id, t0 / 1000 AS start_s, text FROM h LEFT JOIN seg ON h.chunk_id = doc_id::VARCHAR || '-' || idx::VARCHAR")
 def join_hits_lookup(spark, sf_dir):
-    s = segments(spark, sf_dir).withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("idx"))
-    hits = s.where("idx = 1").select("chunk_id").unionByName(spark.createDataFrame([(-1,)], "chunk_id bigint"))
+    s = segments(spark, sf_dir).withColumn("chunk_id", row_id(F.col("doc_id"), F.col("idx")))
+    hits = s.select("chunk_id").unionByName(spark.createDataFrame([("none",)], "chunk_id string"))
     return hits.join(s, "chunk_id", "left").select("chunk_id", "doc_id", (F.col("t0") / 1000).alias("start_s"), "text")
 
 
@@ -152,28 +152,30 @@ def join_doc_info(spark, sf_dir):
     return d.select("doc_id", F.coalesce("rules", F.lit(0)).alias("rules"), F.coalesce("stamped", F.lit(False)).alias("stamped"), "last_job", "last_status", "last_export")
 
 
-WORDS_SQL = "wv AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,12}')) AS w FROM conversations) GROUP BY w)"
+# Whole words of any length and script; DuckDB's distance compares bytes, so that letters beyond ASCII become control characters, one for one.
+ONE_BYTE = "translate({0}, 'çèéêíñóöüäß', " + " || ".join(f"chr({k})" for k in (*range(1, 9), *range(14, 17))) + ")"
+WORDS_SQL = f"wv AS (SELECT {ONE_BYTE.format('w')} AS b, w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM conversations) GROUP BY w)"
 
 
 def vocabulary(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,12}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return c.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
-@query("join_fuzzy_lev", f"WITH {WORDS_SQL}, m AS (SELECT a.w AS source, b.w AS target, levenshtein(a.w, b.w) AS d, b.n FROM wv a JOIN wv b ON a.w <> b.w AND abs(length(a.w) - length(b.w)) <= 1 AND b.n >= a.n AND levenshtein(a.w, b.w) <= 1) SELECT source, first(target ORDER BY d, n DESC, target) AS target FROM m GROUP BY source")
+@query("join_fuzzy_lev", f"WITH {WORDS_SQL}, m AS (SELECT a.w AS source, b.w AS target, levenshtein(a.b, b.b) AS d, b.n FROM wv a JOIN wv b ON a.w <> b.w AND abs(length(a.b) - length(b.b)) <= 1 AND b.n >= a.n AND levenshtein(a.b, b.b) <= 1) SELECT source, first(target ORDER BY d, n DESC, target) AS target FROM m GROUP BY source")
 def join_fuzzy_lev(spark, sf_dir):
     return fuzzy.one_edit(vocabulary(spark, sf_dir))
 
 
 @query("join_fuzzy_best")
 def join_fuzzy_best(spark, sf_dir):
-    return fuzzy.best_gestalt(vocabulary(spark, sf_dir).where("n >= 2"), 0.8)
+    return fuzzy.best_gestalt(vocabulary(spark, sf_dir), 0.8)
 
 
 @query("join_fuzzy_phrase")
 def join_fuzzy_phrase(spark, sf_dir):
     s = segments(spark, sf_dir).select("doc_id", "idx", "text")
-    entries = s.where("idx % 3 = 1").select("doc_id", F.col("idx").alias("entry"), F.translate("text", ".,", "").alias("text_machine"))
+    entries = s.select("doc_id", F.col("idx").alias("entry"), F.translate("text", ".,", "").alias("text_machine"))
     return fuzzy.match_phrases(s, entries, 0.4)
 
 
@@ -190,9 +192,8 @@ def udf_mark_low_conf(spark, sf_dir):
     return s.select("doc_id", "idx", text_udf.mark_low("text", "words").alias("marked"))
 
 
-@query("fn_apply_glossary", f"WITH {SEG} SELECT doc_id, idx, regexp_replace(regexp_replace(text, '(?i)\\bthe\\b', 'THE', 'g'), '(?i)(tion)s?\\b', '<\\1>', 'g') AS text FROM seg WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("fn_apply_glossary", f"WITH {SEG} SELECT doc_id, idx, translate(regexp_replace(regexp_replace(regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(2), 'g'), '(?i)' || chr(1) || 'the' || chr(2), chr(1) || 'THE' || chr(2), 'g'), '(?i)(tion)s?' || chr(2), '<\\1>' || chr(2), 'g'), chr(1) || chr(2), '') AS text FROM seg")
 def fn_apply_glossary(spark, sf_dir):
     from vocalis.operators import rules
 
-    s = segments(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return s.select("doc_id", "idx", rules.apply(F.col("text"), [(r"\bthe\b", "THE"), ("[", "never"), (r"(tion)s?\b", r"<\1>")]).alias("text"))
+    return segments(spark, sf_dir).select("doc_id", "idx", rules.apply(F.col("text"), [(r"\bthe\b", "THE"), ("[", "never"), (r"(tion)s?\b", r"<\1>")]).alias("text"))

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from vocalis.operators import index
 from vocalis.plans.registry import query
-from vocalis.sources.adapters import SEG, segments
+from vocalis.sources.adapters import SEG, row_id, segments
 
-INDEX = f"""{SEG}, tm0 AS (SELECT doc_id * 1000 + idx AS chunk_id, list_filter(regexp_split_to_array(translate(lower(text), '{index.ACCENTED}', '{index.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS ts FROM seg),
+INDEX = f"""{SEG}, tm0 AS (SELECT doc_id::VARCHAR || '-' || idx::VARCHAR AS chunk_id, list_filter(regexp_split_to_array(translate(lower(text), '{index.ACCENTED}', '{index.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS ts FROM seg),
 tm AS (SELECT chunk_id, unnest(ts) AS term, unnest(range(len(ts)))::INT AS pos FROM tm0), po AS (SELECT term, chunk_id, count(*) AS tf FROM tm GROUP BY term, chunk_id), ln AS (SELECT chunk_id, sum(tf)::BIGINT AS n FROM po GROUP BY chunk_id)"""
 
 
 def built(spark, sf_dir) -> index.Index:
     s = segments(spark, sf_dir)
-    return index.build(s.select((F.col("doc_id") * 1000 + F.col("idx")).alias("chunk_id"), "text"))
+    return index.build(s.select(row_id(F.col("doc_id"), F.col("idx")).alias("chunk_id"), "text"))
 
 
 @query("ix_postings", f"WITH {INDEX} SELECT term, chunk_id, tf FROM po")

@@ -110,22 +110,19 @@ STAMP = "lpad(({0} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({0} // 60000 %
 
 @query("fmt_txt", f"WITH {SEG} SELECT doc_id, string_agg(CASE WHEN speaker <> '' THEN speaker || ': ' ELSE '' END || text, chr(10) ORDER BY idx) AS body FROM seg GROUP BY doc_id")
 def fmt_txt(spark, sf_dir):
-    return formats.joined_lines(segments(spark, sf_dir), F.concat(F.when(F.col("speaker") != "", F.concat("speaker", F.lit(": "))).otherwise(""), "text"))
+    return formats.RENDERERS["txt"](segments(spark, sf_dir))
 
 
 @query("fmt_md", f"WITH {SEG}, l AS (SELECT doc_id, idx, t0 AS ms, speaker, text FROM seg) SELECT doc_id, string_agg('## ' || {MMSS} || ' ' || speaker || chr(10) || text, chr(10) ORDER BY idx) AS body FROM l GROUP BY doc_id")
 def fmt_md(spark, sf_dir):
-    return formats.joined_lines(segments(spark, sf_dir), F.concat(F.lit("## "), formats.minutes(F.col("t0")), F.lit(" "), "speaker", F.lit("\n"), "text"))
+    return formats.RENDERERS["md"](segments(spark, sf_dir))
 
 
 for _name, _mark in (("fmt_srt", ","), ("fmt_vtt", ".")):
 
     @query(_name, f"WITH {SEG} SELECT doc_id, string_agg((idx + 1)::VARCHAR || chr(10) || {STAMP.format('t0', _mark)} || ' --> ' || {STAMP.format('t1', _mark)} || chr(10) || text, chr(10) || chr(10) ORDER BY idx) AS body FROM seg GROUP BY doc_id")
     def fmt_subtitles(spark, sf_dir, mark=_mark):
-        n = F.row_number().over(W.partitionBy("doc_id").orderBy("idx"))
-        numbered = segments(spark, sf_dir).withColumn("n", n)
-        cue = F.concat(F.col("n").cast("string"), F.lit("\n"), formats.stamp(F.col("t0"), mark), F.lit(" --> "), formats.stamp(F.col("t1"), mark), F.lit("\n"), "text")
-        return formats.joined_lines(numbered, cue, "\n\n")
+        return formats.subtitles(segments(spark, sf_dir), mark)
 
 
 @query("fmt_rttm", f"WITH {UTT} SELECT doc_id, idx, 'SPEAKER d' || doc_id::VARCHAR || ' 1 ' || (t0 // 1000)::VARCHAR || '.' || lpad((t0 % 1000)::VARCHAR, 3, '0') || ' ' || ((t1 - t0) // 1000)::VARCHAR || '.' || lpad(((t1 - t0) % 1000)::VARCHAR, 3, '0') || ' <NA> <NA> ' || speaker || ' <NA> <NA>' AS line FROM utt")
@@ -134,18 +131,14 @@ def fmt_rttm(spark, sf_dir):
     return utterances(spark, sf_dir).select("doc_id", "idx", F.concat(F.lit("SPEAKER d"), F.col("doc_id").cast("string"), F.lit(" 1 "), s("t0"), F.lit(" "), s("t1 - t0"), F.lit(" <NA> <NA> "), "speaker", F.lit(" <NA> <NA>")).alias("line"))
 
 
-@query("fmt_json")
+@query("fmt_json", f"""WITH {SEG} SELECT doc_id, '{{"meta":{{"schema_version":"1.0.0","segments":' || count(*)::VARCHAR || '}},"segments":[' || string_agg('{{"idx":' || idx::VARCHAR || ',"t0":' || t0::VARCHAR || ',"t1":' || t1::VARCHAR || ',"speaker":' || to_json(speaker)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY idx) || ']}}' AS body FROM seg GROUP BY doc_id""")
 def fmt_json(spark, sf_dir):
-    s = segments(spark, sf_dir)
-    rows = F.array_sort(F.collect_list(F.struct("idx", "t0", "t1", "speaker", "text")))
-    return s.groupBy("doc_id").agg(F.to_json(F.struct(F.struct(F.lit("1.0.0").alias("schema_version"), F.count("*").alias("segments")).alias("meta"), rows.alias("segments"))).alias("body"))
+    return formats.RENDERERS["json"](segments(spark, sf_dir))
 
 
-@query("fmt_clean_txt")
+@query("fmt_clean_txt", f"WITH {SEG} SELECT doc_id, string_agg(CASE WHEN idx % 4 = 0 THEN '# Section ' || (idx // 4 + 1)::VARCHAR || chr(10) ELSE '' END || text, chr(10) ORDER BY idx) AS body FROM seg GROUP BY doc_id")
 def fmt_clean_txt(spark, sf_dir):
-    s = segments(spark, sf_dir).withColumn("section", F.floor(F.col("idx") / 4))
-    head = F.when(F.col("idx") % 4 == 0, F.concat(F.lit("# Section "), (F.col("section") + 1).cast("string"), F.lit("\n"))).otherwise("")
-    return formats.joined_lines(s, F.concat(head, "text"))
+    return formats.RENDERERS["clean_txt"](segments(spark, sf_dir))
 
 
 @query("fmt_readme", """SELECT 'src' || r AS name, 'source: ' || source || chr(10) || 'documents: ' || n::VARCHAR || chr(10) || 'characters: ' || c::VARCHAR || chr(10) || 'config: ' || substr(sha256(source || '|' || n::VARCHAR), 1, 16) AS body

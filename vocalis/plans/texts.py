@@ -200,7 +200,12 @@ def fn_json_roundtrip(spark, sf_dir):
     return e.select("event_id", F.coalesce("p.k", F.lit(-1)).alias("k"), F.to_json("p").alias("encoded"))
 
 
+SANITIZED = plain(replaced(edged("replace(text, '’', chr(39))"), "<(?:euh|heu|bah|ben|hum)>,? ?", ""))
+for _pattern, _replacement in ((r"[ \t]+", " "), (r"\s+([,.])", r"\1"), (r"^\s+|\s+$", ""), (" -$", "")):
+    SANITIZED = R.format(SANITIZED, _pattern, _replacement)
+
 simple_turn = {
+    "fn_sanitize": (f"(SELECT upper(substr(f, 1, 1)) || substr(f, 2) FROM (SELECT trim({SANITIZED}) AS f))", text.sanitize),
     "fn_fix_punct": (repaired("text"), text.fix_punctuation),
     "fn_sentence_case": (cased("text"), text.sentence_case),
 }
@@ -212,14 +217,18 @@ for _name, (_sql, _function) in simple_turn.items():
 
 
 # Functions that SQL can't express.
-for _name, _function in {"fn_repeat_words": text.collapse_repeats, "fn_fix_mojibake": text_udf.fix_mojibake, "fn_embed_norm": text_udf.embed_norm, "fn_sanitize": text_udf.sanitize, "fn_clean_human": text_udf.clean_human, "udf_sentence_case": text_udf.polished_case}.items():
+for _name, _function in {"fn_repeat_words": text.collapse_repeats, "fn_fix_mojibake": text_udf.fix_mojibake, "fn_embed_norm": text_udf.embed_norm, "fn_clean_human": text_udf.clean_human, "udf_sentence_case": text_udf.polished_case}.items():
 
     @query(_name)
     def custom(spark, sf_dir, function=_function):
         return segments(spark, sf_dir).select("doc_id", "idx", function(F.col("text")).alias("text"))
 
 
-@query("udf_lang")
+SCORES = {lang: f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in own)})))" for lang, own in numeric.FUNCTION_WORDS.items()}
+LANG_SQL = "WITH d AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS ws FROM documents), s AS (SELECT doc_id, " + ", ".join(f'{sql} AS "{lang}"' for lang, sql in SCORES.items()) + " FROM d) SELECT doc_id, CASE WHEN greatest(" + ", ".join(f'"{k}"' for k in SCORES) + ") = 0 THEN 'und' " + " ".join(f'WHEN "{k}" = greatest({", ".join(chr(34) + j + chr(34) for j in SCORES)}) THEN \'{k}\'' for k in sorted(SCORES)) + " END AS lang FROM s"
+
+
+@query("udf_lang", LANG_SQL)
 def udf_lang(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", numeric.stopword_language(F.col("text")).alias("lang"))
 

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_id(doc: Column, ordinal: Column) -> Column:
+    """A name for a row of a document: no two rows share one, whatever their numbers."""
+    return F.concat_ws("-", doc.cast("string"), ordinal.cast("string"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.split(F.trim(text), r"\s+")).cast("long")
 
@@ -56,12 +61,11 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, turn, speaker, s0, s1: runs of one speaker; every fifth is missing, so that lookups meet holes."""
+    """doc_id, turn, speaker, s0, s1: runs of one speaker."""
     u = utterances(spark, sf_dir)
     order = W.partitionBy("doc_id").orderBy("idx")
     u = u.withColumn("new", F.when(F.lag("speaker").over(order) == F.col("speaker"), 0).otherwise(1)).withColumn("turn", F.sum("new").over(order))
-    t = u.groupBy("doc_id", "turn").agg(F.min("speaker").alias("speaker"), F.min("t0").alias("s0"), F.max("t1").alias("s1"))
-    return t.where(F.col("turn") % 5 != 0)
+    return u.groupBy("doc_id", "turn").agg(F.min("speaker").alias("speaker"), F.min("t0").alias("s0"), F.max("t1").alias("s1"))
 
 
 def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +95,7 @@ ut1 AS (SELECT *, coalesce(sum(words * 400 + gap) OVER (PARTITION BY doc_id ORDE
 utt AS (SELECT doc_id, idx, speaker, text, words, t0, t0 + words * 400 AS t1 FROM ut1)"""
 TURNS = UTT + """, tu0 AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY doc_id ORDER BY idx) = speaker THEN 0 ELSE 1 END AS fresh FROM utt),
 tu1 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS turn FROM tu0),
-turns AS (SELECT doc_id, turn, min(speaker) AS speaker, min(t0) AS s0, max(t1) AS s1 FROM tu1 GROUP BY doc_id, turn HAVING turn % 5 <> 0)"""
+turns AS (SELECT doc_id, turn, min(speaker) AS speaker, min(t0) AS s0, max(t1) AS s1 FROM tu1 GROUP BY doc_id, turn)"""
 TWORDS = "tw AS (SELECT user_id AS doc_id, event_id, event_type AS word, epoch_us(ts) // 1000 AS w0, epoch_us(ts) // 1000 + 200 AS w1, least(100, floor(value))::BIGINT AS p FROM events)"
 JOBS = """jobs AS (SELECT event_id AS id, user_id AS doc, event_type AS action, CASE WHEN value < 20 THEN 'pending' WHEN value < 60 THEN 'running' WHEN value < 160 THEN 'succeeded' ELSE 'failed' END AS status,
 epoch_us(ts) // 1000 AS created_ms, floor(value * 10)::BIGINT AS duration_ms FROM events)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 SCHEMA_VERSION = "1.0.0"
 
@@ -63,3 +64,44 @@ def windows(df: DataFrame, total: str, length_ms: int, overlap_ms: int) -> DataF
     hop = length_ms - overlap_ms
     starts = df.where(F.col(total) > 0).select("doc_id", total, F.posexplode(F.sequence(F.lit(0).cast("long"), F.col(total) - 1, F.lit(hop).cast("long"))).alias("idx", "start_ms"))
     return starts.select("doc_id", F.col("idx").cast("long").alias("idx"), "start_ms", F.least(F.col("start_ms") + length_ms, F.col(total)).alias("end_ms"))
+
+
+def plain_lines(s: DataFrame) -> DataFrame:
+    return joined_lines(s, F.concat(F.when(F.col("speaker") != "", F.concat("speaker", F.lit(": "))).otherwise(""), "text"))
+
+
+def markdown(s: DataFrame) -> DataFrame:
+    return joined_lines(s, F.concat(F.lit("## "), minutes(F.col("t0")), F.lit(" "), "speaker", F.lit("\n"), "text"))
+
+
+def subtitles(s: DataFrame, mark: str) -> DataFrame:
+    numbered = s.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("idx")))
+    cue = F.concat(F.col("n").cast("string"), F.lit("\n"), stamp(F.col("t0"), mark), F.lit(" --> "), stamp(F.col("t1"), mark), F.lit("\n"), "text")
+    return joined_lines(numbered, cue, "\n\n")
+
+
+def json_document(s: DataFrame) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("idx", "t0", "t1", "speaker", "text")))
+    meta = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.count("*").alias("segments"))
+    return s.groupBy("doc_id").agg(F.to_json(F.struct(meta.alias("meta"), rows.alias("segments"))).alias("body"))
+
+
+def json_rows(s: DataFrame) -> DataFrame:
+    return joined_lines(s, F.to_json(F.struct("idx", "t0", "t1", "speaker", "text")))
+
+
+def clean_text(s: DataFrame, rows: int = 4) -> DataFrame:
+    head = F.when(F.col("idx") % rows == 0, F.concat(F.lit("# Section "), (F.floor(F.col("idx") / rows) + 1).cast("string"), F.lit("\n"))).otherwise("")
+    return joined_lines(s, F.concat(head, "text"))
+
+
+#: Export formats by name: from (doc_id, idx, speaker, text, t0, t1) to (doc_id, body).
+RENDERERS = {
+    "txt": plain_lines,
+    "md": markdown,
+    "json": json_document,
+    "jsonl": json_rows,
+    "srt": lambda s: subtitles(s, ","),
+    "vtt": lambda s: subtitles(s, "."),
+    "clean_txt": clean_text,
+}
