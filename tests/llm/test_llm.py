@@ -174,7 +174,7 @@ def test_signature_tree(percent):
 
 
 def test_jaccard_of_a_long_chain(spark):
-    n = 10_000
+    n = 4_000
     rows = [(k, " ".join(f"c{k + i}" for i in range(40))) for k in range(0, n)]
     got = jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 3, 90)
     assert got.where("component_id <> 0").count() == 0
@@ -641,3 +641,30 @@ def test_pipeline(spark, tmp_path):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.5 * n < len(out) <= n
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "suffix_array_dedup", "benchmark_decontamination", "weighted_mix"]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(11)
+    words = [f"{a}{b}" for a in ("the", "and", "lan", "mer", "sol") for b in range(400)]
+    body = " ".join(r.choices(words, k=700_000))  # about 4.5 MB
+    item = " ".join(f"q{k}" for k in range(40))
+    texts = [body + " " + item + "\n\nReleased under the MIT License.", body + " and more", "short text", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2).cache()
+    size = [len((t or "").encode()) for t in texts]
+    by_id = lambda df: {x.doc_id: x for x in df.collect()}
+    assert size[0] > 4_000_000
+    assert [x.n_bytes for _, x in sorted(by_id(media.text_media(docs)).items())] == size
+    cut = by_id(suffixes.repeated_bytes(docs))
+    assert (cut[0].n_removed, cut[1].n_removed, cut[2].n_removed) == (0, len(body.encode()) + 1, 0)
+    cut = by_id(substrings.repeated_words(docs))
+    assert (cut[0].n_words, cut[0].n_removed, cut[1].n_removed) == (700_045, 0, 700_000)
+    joined = by_id(jaccard.components(docs))
+    assert [joined[k].component_id for k in range(4)] == [0, 0, 2, 3]
+    assert by_id(licences.scan(docs))[0].licences == "MIT"
+    assert by_id(tokens.count_tokens(docs))[0].n_pretokens == 700_045
+    assert by_id(mixing.mix(docs))[1]["size"] == 700_002
+    found = decontaminate.leaks(docs, spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()
+    assert [(x.doc_id, x.start_word, x.n_words) for x in found] == [(0, 700_000, 40)]
+    links = toxicity.fit(docs, spark.createDataFrame([(0, 1, 0), (2, 1, 1)], "doc_id bigint, quality int, toxic int"))
+    assert len(by_id(toxicity.score(docs, links))) == 4
+    assert len(by_id(language.predict(docs, language.fit(docs)))) == 4
