@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vocalis.llm.frames import saved, shuffle_partitions
 
 #: A node with more than this share of all edge ends is a hub; there can't be more hubs than its inverse.
-HUB_SHARE, LEAST_HUB = 1 / 2000, 150
+HUB_SHARE, LEAST_HUB = 1 / 200, 150
 #: Edge ends of a bucket, on average.
 BUCKET_EDGES = 500_000
 
@@ -46,11 +46,14 @@ def _stars(table: pa.Table) -> pa.Table:
 def _round(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     most = max(LEAST_HUB, int(2 * n * HUB_SHARE))
-    hubs = both.groupBy(F.col("u").alias("hub")).agg(F.count("*").alias("ends"), F.min("v").alias("least")).where(F.col("ends") > most)
-    dealt = both.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")  # at most 1 / HUB_SHARE rows, by arithmetic
-    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("v"), F.ceil(F.col("ends") / most))).otherwise(-1)
+    hubs = both.groupBy("u").agg(F.count("*").alias("ends"), F.min("v").alias("least")).where(F.col("ends") > most).collect()  # at most 1 / HUB_SHARE rows, by arithmetic
+    part, least = F.lit(-1).cast("bigint"), F.col("u")
+    if hubs:
+        of = lambda c: F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for h in hubs for x in (h.u, h[c])]), F.col("u"))
+        part = F.coalesce(F.pmod(F.xxhash64("v"), F.ceil(of("ends") / most)), part)
+        least = F.coalesce(of("least"), "u")
     buckets = max(shuffle_partitions(edges.sparkSession), 2 * n // BUCKET_EDGES)
-    dealt = dealt.select("u", "v", F.coalesce("least", "u").alias("m"), F.pmod(F.xxhash64("u", part), F.lit(buckets)).alias("bucket"))
+    dealt = both.select("u", "v", least.alias("m"), F.pmod(F.xxhash64("u", part), F.lit(buckets)).alias("bucket"))
     return dealt.groupBy("bucket").applyInArrow(_stars, "u bigint, v bigint")
 
 
@@ -58,7 +61,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """From the columns (a, b): one row (node, component) for each node that has an edge and isn't its component's least node.
 
     ``component`` is the least node of the component. A round ends the work if its edges, each counted and hashed, are those of the
-    round before. Nothing but those two numbers reaches the driver.
+    round before. Nothing but those two numbers and the hubs (at most 1 / HUB_SHARE) reaches the driver.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
