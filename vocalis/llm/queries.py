@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocalis.llm import decontaminate, jaccard, language, licences, media, mixing, substrings, suffixes, tokens, toxicity
+from vocalis.llm import decontaminate, jaccard, language, licences, media, merkle, mixing, quantiles, simhash, substrings, suffixes, tokens, toxicity
 from vocalis.llm.frames import documents
 
 
@@ -52,6 +52,19 @@ def op10_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(documents(spark, sf_dir))
 
 
+def op11_ball_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(documents(spark, sf_dir))
+
+
+def op12_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantiles.shop(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("clicks", "sale_lines", "items")])
+    return quantiles.audit(rows, ["stream", "grp"])
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
 OP2_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -93,9 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_signature_tree_join": op8_signature_tree_join,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_suffix_family_dedup": op10_suffix_family_dedup,
+    "op11_ball_simhash_components": op11_ball_simhash_components,
+    "op12_quantile_summaries": op12_quantile_summaries,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
 def oracles() -> dict[str, str]:
     """Made when asked for: the SQL of op7 holds its trained weights."""
-    return {"op2_weighted_fair_mix": OP2_SQL, "op7_licence_classifier": licences.oracle_sql()}
+    return {"op2_weighted_fair_mix": OP2_SQL, "op7_licence_classifier": licences.oracle_sql(), "op12_quantile_summaries": quantiles.ORACLE_SQL, "op13_merkle_manifest": merkle.oracle_sql()}
