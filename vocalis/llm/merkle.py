@@ -9,7 +9,7 @@ followed from the roots down, a band of levels at a time, the links give every r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -132,9 +132,24 @@ def fold(digest: bytes, proof: bytes, steps: list[tuple[int, int]], arity: int =
 
 
 PATH = "tree string, size bigint, level int, index bigint, proof binary, subroot binary, root binary, place bigint, places bigint"
+PATH_NAMES = [f.split()[0] for f in PATH.split(", ")]
+PATH_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 WAY = ("proof", "subroot", "root", "place", "places")
 
 
+def _table(out: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _lowered(floor: int, arity: int) -> Callable[[pa.Table], pa.Table]:
+    def work(table: pa.Table) -> pa.Table:
+        links, starts = _split(table)
+        return _table([(s["tree"], s["size"], floor, index, proof, *[s[c] for c in WAY[1:]]) for s in starts for index, proof in descend(links, s["tree"], s["level"], s["index"], s["proof"], floor, arity)], PATH_NAMES, PATH_KINDS)
+
+    return work
+
+
 def paths(links: DataFrame, tops: DataFrame, top: int, arity: int = ARITY, span: int = SPAN) -> DataFrame:
     """The rows of PATH for the nodes at level ``span`` and for the roots below it, from those of all roots (``tops``)."""
     for upper in range(-(-top // span) * span, span, -span):
@@ -144,14 +159,7 @@ def paths(links: DataFrame, tops: DataFrame, top: int, arity: int = ARITY, span:
         rows = own.unionByName(tops.where(here).withColumn("children", F.lit(None).cast("binary")))
         block = F.when(F.col("level") == upper, F.col("index")).otherwise(_ancestor(upper, arity))
 
-        def work(table: pa.Table, floor: int = floor) -> pa.Table:
-            links_, starts = _split(table)
-            out = [(s["tree"], s["size"], floor, index, proof, *[s[c] for c in WAY[1:]]) for s in starts for index, proof in descend(links_, s["tree"], s["level"], s["index"], s["proof"], floor, arity)]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in PATH.split(", ")])
-
-        lower = rows.withColumn("slot", _slot(block, shuffle_partitions(links.sparkSession) * 4)).groupBy("slot").applyInArrow(work, PATH)
+        lower = rows.withColumn("slot", _slot(block, shuffle_partitions(links.sparkSession) * 4)).groupBy("slot").applyInArrow(_lowered(floor, arity), PATH)
         tops = lower.unionByName(tops.where(~here))
     return tops
 
@@ -222,9 +230,7 @@ def _climbed(sources: DataFrame, links: DataFrame, ways: DataFrame, arity: int,
         for r in own:
             height = next(k for k in range(64) if width(r["source_size"], k, arity) <= 1)
             out.append((r["source"], r["source_size"], height, 0, proofs[r["index"]][0], r["digest"], proofs[r["index"]][1], r["index"], r["size"]))
-        kinds_ = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        columns = list(zip(*out, strict=True)) or [[]] * len(kinds_)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_, strict=True)], [f.split()[0] for f in PATH.split(", ")])
+        return _table(out, PATH_NAMES, PATH_KINDS)
 
     return stored(rows.withColumn("slot", _slot(block, shuffle_partitions(sources.sparkSession) * 4)).groupBy("slot").applyInArrow(work, PATH))
 
@@ -248,10 +254,7 @@ def _proved(leaves: DataFrame, links: DataFrame, ways: DataFrame, slots: int, ar
             proof, s = ways_[tree, index]
             folded = fold(tampered or leaf, proof, [(size, index), (s["places"], s["place"])], arity)
             out.append((doc_id, leaf.hex(), s["subroot"].hex(), s["root"].hex(), sha256(proof.hex().encode()).hexdigest(), folded.hex(), folded == s["root"]))
-        kinds_ = [pa.int64(), *[pa.string()] * 5, pa.bool_()]
-        columns = list(zip(*out, strict=True)) or [[]] * len(kinds_)
-        names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_, strict=True)], names)
+        return _table(out, ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"], [pa.int64(), *[pa.string()] * 5, pa.bool_()])
 
     schema = "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     return rows.withColumn("slot", _slot(block, slots)).groupBy("slot").applyInArrow(work, schema)
