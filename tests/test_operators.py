@@ -65,19 +65,6 @@ def test_folds_of_a_long_document(spark):
     assert got.count() == 20_000
 
 
-def test_gestalt_blocking_loses_little(spark):
-    import random
-
-    r = random.Random(5)
-    words_ = sorted({"".join(r.choices("abcdeé", k=r.randint(1, 12))) for _ in range(300)} | {"installation", "instalation", "instllaation", "été", "étés"})
-    table = spark.createDataFrame([(w, 1) for w in words_], "w string, n bigint")
-    best = {w: max(((text_udf.gestalt_ratio(w, o), o) for o in words_ if o != w), default=(0, "")) for w in words_}
-    want = {w: b for w, b in best.items() if b[0] >= 0.8}
-    got = {x.source: (x.ratio, x.target) for x in fuzzy.best_gestalt(table, 0.8).collect()}
-    assert set(got) <= set(want)
-    assert sum(got.get(w) == b for w, b in want.items()) >= 0.98 * len(want)
-
-
 def test_chunk_names_dont_collide(spark):
     from vocalis.sources.adapters import row_id
 

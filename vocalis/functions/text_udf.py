@@ -24,6 +24,17 @@ def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else gestalt_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def gestalt_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio, or null where the letters alone show that it is below ``least``."""
+
+    def ratio(x: str, y: str, t: float) -> float | None:
+        m = SequenceMatcher(None, x, y)
+        return m.ratio() if m.quick_ratio() >= t else None
+
+    return pd.Series([None if x is None or y is None else ratio(x, y, t) for x, y, t in zip(a, b, least, strict=True)], dtype="float64")
+
+
 def mark_text(text: str, words: list[dict], below: float = 0.35, style: str = "**[{word}?]**") -> str:
     """Marks the tokens whose word is of low probability.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vocalis.functions import text_udf
 from vocalis.operators import fuzzy, intervals
@@ -175,14 +176,17 @@ def join_fuzzy_best(spark, sf_dir):
 @query("join_fuzzy_phrase")
 def join_fuzzy_phrase(spark, sf_dir):
     s = segments(spark, sf_dir).select("doc_id", "idx", "text")
-    entries = s.select("doc_id", F.col("idx").alias("entry"), F.translate("text", ".,", "").alias("text_machine"))
-    return fuzzy.match_phrases(s, entries, 0.4)
+    # an entry is its segment's text without the last of every four words: some have a close phrase, others only a likely one
+    kept = F.filter(F.split("text", r"\s+"), lambda w, k: k % 4 != 3)
+    return fuzzy.match_phrases(s, s.select("doc_id", F.col("idx").alias("entry"), F.array_join(kept, " ").alias("text_machine")))
 
 
 @query("udf_gestalt")
 def udf_gestalt(spark, sf_dir):
-    pairs = spark.createDataFrame([("tide", "diet"), ("diet", "tide"), ("", ""), ("abcd", "bcde"), (None, "a")], "a string, b string")
-    return pairs.select("a", "b", text_udf.gestalt("a", "b").alias("ratio"))
+    """Each segment's ratio with the one before it, both ways: the ratio depends on the order."""
+    s = segments(spark, sf_dir)
+    pairs = s.select("doc_id", "idx", "text", F.lag("text").over(W.partitionBy("doc_id").orderBy("idx")).alias("before"))
+    return pairs.select("doc_id", "idx", text_udf.gestalt("before", "text").alias("ratio"), text_udf.gestalt("text", "before").alias("back"))
 
 
 @query("udf_mark_low_conf")
