@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vocalis.operators import control, incremental
 from vocalis.plans.registry import query
+from vocalis.sources import files
 from vocalis.sources.adapters import JOBS, jobs, table
+from vocalis.streaming import states
 
 
 @query("jobs_by_status", f"WITH {JOBS} SELECT action, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'succeeded') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed FROM jobs GROUP BY action")
@@ -50,3 +54,23 @@ def inc_stamp_skip(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("source") == "src3", "new").otherwise("same").alias("sha"))
     stamps = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("same").alias("sha")).join(d.select("doc_id", "source"), "doc_id")
     return incremental.unstamped(d, stamps).select("doc_id", "source")
+
+
+_WINDOW_EVENTS = (("start", 0, 100), ("error", 1, 45), ("start", 2, 45), ("error", 3, 20), ("start", 4, 20), ("error", 5, 20))
+STATES_SQL = """WITH s AS (SELECT conv_id AS doc_id, turn AS window_id, (conv_id * 31 + turn * 17) % 100 AS conf, turn * 600 AS t FROM conversations),
+e AS (SELECT *, t + CASE WHEN conf < 20 THEN 300 WHEN conf < 45 THEN 180 WHEN conf < 90 THEN 60 ELSE 0 END AS last FROM s), m AS (SELECT max(last) - 600 AS mark FROM e)
+SELECT doc_id, window_id, CASE WHEN conf < 20 THEN 'FAILED' WHEN conf < 90 THEN 'DONE' WHEN t + 450 < mark THEN 'RETRY' ELSE 'IN_PROGRESS' END AS status, (CASE WHEN conf < 20 THEN 3 WHEN conf < 45 THEN 2 ELSE 1 END)::INT AS attempts FROM e, m"""
+
+
+@query("stream_window_states", STATES_SQL)
+def stream_window_states(spark, sf_dir):
+    """Segments as windows that a stream works on, ten minutes apart: the less their confidence, the more attempts fail; some are never heard of again."""
+    path = f"{files.shared_folder(spark)}/states-{uuid.uuid4().hex}"
+    read = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parque?")  # a pattern: the table may be a file or a folder
+    conf, turn = (F.col("conv_id") * 31 + F.col("turn") * 17) % 100, F.col("turn")
+    failing = [F.when(conf < below, F.struct(F.lit(name).alias("event"), F.lit(60 * minute).alias("after"))) for name, minute, below in _WINDOW_EVENTS]
+    ending = [F.when((conf >= 20) & (conf < 45), F.struct(F.lit("ok").alias("event"), F.lit(180).alias("after"))), F.when((conf >= 45) & (conf < 90), F.struct(F.lit("ok").alias("event"), F.lit(60).alias("after")))]
+    events = read.select(F.col("conv_id").alias("doc_id"), turn.alias("window_id"), F.inline(F.array_compact(F.array(*failing, *ending))))
+    events = events.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("window_id") * 600 + F.col("after")))
+    states.follow(events.select("doc_id", "window_id", "ts", "event"), path, retries=2, patience_ms=450_000).awaitTermination()
+    return states.states(spark, path).select("doc_id", "window_id", "status", "attempts")

@@ -125,12 +125,14 @@ def topn_quotes(spark, sf_dir):
     return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "q"))), lambda x: x["q"]), " | ").alias("quotes"))
 
 
-@query("pred_mojibake", "SELECT k, text, regexp_matches(text, 'Ã|Â|â€|�') AS broken FROM (VALUES (1, 'dÃ©jÃ  vu'), (2, 'déjà vu'), (3, 'câ€™est'), (4, ''), (5, 'NÂ°5')) t(k, text)")
+@query("pred_mojibake", "SELECT conv_id AS doc_id, turn AS idx, regexp_matches(text, 'Ã|Â|â€|�') AS broken, regexp_matches(replace(replace(text, 'é', 'Ã©'), '.', 'â€'), 'Ã|Â|â€|�') AS broken_after FROM conversations")
 def pred_mojibake(spark, sf_dir):
+    """Every text as it is, and as it would be after a wrong decoding of an accent and a mark."""
     from vocalis.functions.text import has_mojibake
 
-    rows = spark.createDataFrame([(1, "dÃ©jÃ  vu"), (2, "déjà vu"), (3, "câ€™est"), (4, ""), (5, "NÂ°5")], "k int, text string")
-    return rows.select("k", "text", has_mojibake(F.col("text")).alias("broken"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
+    damaged = F.replace(F.replace("text", F.lit("é"), F.lit("Ã©")), F.lit("."), F.lit("â€"))
+    return c.select("doc_id", "idx", has_mojibake(F.col("text")).alias("broken"), has_mojibake(damaged).alias("broken_after"))
 
 
 @query("pred_doc_state", """SELECT doc_id, CASE WHEN NOT work THEN 'missing' WHEN NOT clean THEN 'transcribed' WHEN NOT rules THEN 'cleaned' WHEN NOT export THEN 'validated' ELSE 'exported' END AS state,

@@ -65,10 +65,12 @@ def val_probe_queries(spark, sf_dir):
     return probes.join(known, "probe", "left").select("probe", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
-@query("ix_accent_fold", f"SELECT k, translate(lower(word), '{index.ACCENTED}', '{index.PLAIN}') AS folded FROM (VALUES (1, 'Évènement'), (2, 'GARÇON'), (3, 'naïve'), (4, 'plain')) t(k, word)")
+@query("ix_accent_fold", f"SELECT word, translate(lower(word), '{index.ACCENTED}', '{index.PLAIN}') AS folded, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS word FROM conversations UNION ALL SELECT upper(unnest(regexp_extract_all(replace(text, 'ß', 'ss'), '\\p{{L}}+'))) FROM conversations) GROUP BY word")
 def ix_accent_fold(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Évènement"), (2, "GARÇON"), (3, "naïve"), (4, "plain")], "k int, word string")
-    return rows.select("k", index.fold(F.col("word")).alias("folded"))
+    """Every word of the corpus, as written and in capitals, as the index has it."""
+    found = lambda text: segments(spark, sf_dir).select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    both = found(F.col("text")).unionByName(found(F.replace("text", F.lit("ß"), F.lit("ss"))).select(F.upper("word").alias("word")))
+    return both.groupBy("word").agg(F.count("*").alias("n")).select("word", index.fold(F.col("word")).alias("folded"), "n")
 
 
 FIELDS = ["speaker", "text"]

@@ -156,26 +156,39 @@ def fn_schema_stamp(spark, sf_dir):
 
 
 # Rule sets and other sets.
-RULES_SQL = """a(pattern, replacement, pos) AS (VALUES ('the', 'THE', 1), ('and', '&', 2), ('of', 'OF', 3), ('the', 'The', 4)),
-b(pattern, replacement, pos) AS (VALUES ('of', 'OF', 1), ('la', 'LA', 2), ('', 'x', 3), ('[', 'y', 4), ('the', 'tHe', 5))"""
-RULES_A = [("the", "THE", 1), ("and", "&", 2), ("of", "OF", 3), ("the", "The", 4)]
-RULES_B = [("of", "OF", 1), ("la", "LA", 2), ("", "x", 3), ("[", "y", 4), ("the", "tHe", 5)]
+# Two rule sets that the tables give: names of sources, and codes of languages with rules that are blank or don't compile.
+RULES_SQL = """a AS (SELECT source AS pattern, upper(source) AS replacement, row_number() OVER (ORDER BY source) AS pos FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+l AS (SELECT coalesce(lang, '') AS lang, min(source) AS source FROM documents GROUP BY lang),
+b AS (SELECT pattern, replacement, row_number() OVER (ORDER BY pattern, replacement) AS pos FROM (SELECT lang AS pattern, upper(lang) AS replacement FROM l UNION SELECT '[' || lang, lang FROM l UNION SELECT source, 'of ' || lang FROM l WHERE source IS NOT NULL UNION SELECT source, upper(source) FROM l WHERE source IS NOT NULL))"""
+
+
+def rule_sets(spark, sf_dir):
+    """(pattern, replacement, pos) twice."""
+    d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    a = d.where("source is not null").groupBy(F.col("source").alias("pattern")).agg(F.upper("source").alias("replacement"))
+    langs = d.groupBy("lang").agg(F.min("source").alias("source")).select(F.coalesce("lang", F.lit("")).alias("lang"), "source")
+    pairs = F.array(*[F.struct(p.alias("pattern"), r.alias("replacement")) for p, r in ((F.col("lang"), F.upper("lang")), (F.concat(F.lit("["), "lang"), F.col("lang")), (F.col("source"), F.concat(F.lit("of "), "lang")), (F.col("source"), F.upper("source")))])
+    b = langs.select(F.inline(pairs)).where("pattern is not null").distinct()
+    placed = lambda df: df.withColumn("pos", F.row_number().over(W.orderBy("pattern", "replacement")).cast("long"))  # noqa: E731  a rule set is small
+    return placed(a), placed(b)
 
 
 @query("set_union_rules", f"WITH {RULES_SQL}, u AS (SELECT pattern, replacement, pos FROM a UNION ALL SELECT pattern, replacement, pos + 1000 FROM b) SELECT pattern, replacement, min(pos)::BIGINT AS pos FROM u GROUP BY pattern, replacement")
 def set_union_rules(spark, sf_dir):
-    schema = "pattern string, replacement string, pos bigint"
-    return rules.union(spark.createDataFrame(RULES_A, schema), spark.createDataFrame(RULES_B, schema))
+    return rules.union(*rule_sets(spark, sf_dir))
 
 
-@query("set_rules_validate", f"WITH {RULES_SQL} SELECT pattern, arg_max(replacement, pos) AS replacement FROM (SELECT * FROM a UNION ALL SELECT pattern, replacement, pos + 1000 FROM b) WHERE trim(pattern) <> '' AND pattern <> '[' GROUP BY pattern")
+@query("set_rules_validate", f"WITH {RULES_SQL} SELECT pattern, arg_max(replacement, pos) AS replacement FROM (SELECT * FROM a UNION ALL SELECT pattern, replacement, pos + 1000 FROM b) WHERE trim(pattern) <> '' AND pattern NOT LIKE '[%' GROUP BY pattern")
 def set_rules_validate(spark, sf_dir):
-    return spark.createDataFrame(rules.validate([(p, r) for p, r, _ in RULES_A + RULES_B]), "pattern string, replacement string")
+    a, b = rule_sets(spark, sf_dir)
+    found = a.unionByName(b.withColumn("pos", F.col("pos") + 1000)).orderBy("pos").limit(rules.MOST_RULES + 1).collect()  # more raise
+    return spark.createDataFrame(rules.validate([(r.pattern, r.replacement) for r in found]), "pattern string, replacement string")
 
 
-@query("topn_rules", f"WITH {RULES_SQL} SELECT pattern, replacement FROM a ORDER BY pos LIMIT 2")
+@query("topn_rules", f"WITH {RULES_SQL} SELECT pattern, replacement FROM a ORDER BY pos LIMIT 10")
 def topn_rules(spark, sf_dir):
-    return spark.createDataFrame(RULES_A, "pattern string, replacement string, pos bigint").orderBy("pos").limit(2).select("pattern", "replacement")
+    """The first ten rules of a set, which is what an application of so many uses."""
+    return rule_sets(spark, sf_dir)[0].orderBy("pos").limit(10).select("pattern", "replacement")
 
 
 @query("set_except", "SELECT doc_id, 'missing_export' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'missing_source' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
