@@ -568,14 +568,72 @@ def test_decontamination_in_passes(spark, monkeypatch):
     plain = sorted(map(str, decontaminate.leaks(table, bench).collect()))
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 8 << 20)
     assert len(list(decontaminate.item_blocks(bench))) > 1
-    some = {(x.doc_id, x.item_id) for x in decontaminate.leaks(table, bench).collect()}
-    assert {(k, k) for k, _ in items} <= some
+    assert sorted(map(str, decontaminate.leaks(table, bench).collect())) == plain
     assert len(plain) >= len(items)
     index = decontaminate.build([(k, " ".join(f"v{r.randrange(9000)}" for _ in range(100))) for k in range(300)])
     used = sum(e.nbytes for c in index.classes for e in c.entry) + sum(f.nbytes for c in index.classes for f in c.first)
     assert used < sum(decontaminate.index_bytes(100) for _ in range(300)) + decontaminate.CLASS_BYTES * len(index.classes)
 
 
+def test_blocks_of_items_dont_change_what_matches(spark, monkeypatch):
+    """Items that share words, some twice and some of few words: the same rows, whatever the index may take."""
+    r = random.Random(19)
+    shared = [f"s{k}" for k in range(12)]
+    items = [(k, " ".join(shared + [f"o{k}_{x}" for x in range(18)])) for k in range(60)] + [(100 + k, f"few words {k % 3}") for k in range(5)] + [(3, "twice " * 9), (200, " ".join(shared)), (201, None), (202, " ")]
+    texts = []
+    for k, t in items[:60]:
+        w = t.split()
+        w[r.randrange(12, 30)] = "changed"
+        texts.append((k, "a b c " + " ".join(w) + " d e"))
+    texts += [(500, " ".join(shared)), (501, "some few words 1 here"), (502, None)]
+    bench, table = spark.createDataFrame(items, "item_id bigint, text string").repartition(3), spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = {}
+    for mb in (1, 8, 96):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", mb << 20)
+        rows[mb] = (len(list(decontaminate.item_blocks(bench))), sorted(map(str, decontaminate.leaks(table, bench).collect())), sorted(x.doc_id for x in decontaminate.clean(table, bench).collect()))
+    assert rows[1][0] > rows[8][0] >= rows[96][0] == 1
+    assert rows[1][1:] == rows[8][1:] == rows[96][1:]
+    assert len(rows[96][1]) >= 62 and rows[96][2] == [502]
+
+
+def test_weights_are_those_of_the_whole_benchmark(spark):
+    """Similarities against plain dictionaries of word tuples, in blocks of one item."""
+    r = random.Random(23)
+    items = [(k, " ".join(f"w{r.randrange(12)}" for _ in range(r.randint(5, 25)))) for k in range(30)]
+    grams = lambda t: [tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)]
+    spread = {}
+    for _, t in items:
+        for g in set(grams(t)):
+            spread[g] = spread.get(g, 0) + 1
+    blocks = {block[0][0][0]: block for block in [([i], decontaminate.spread_of([t for _, t in items]), len(items)) for i in items]}
+    for k, t in items:
+        index = decontaminate.build(*blocks[k])
+        for other in [x for _, x in items] + [t + " more", t[len(t) // 3 :]]:
+            own, place = grams(t), grams(other)
+            weight = lambda g: np.log(1 + len(items) / (spread[g] if g in own else 1))
+            both = sum(map(weight, own)) + sum(map(weight, place))
+            shared = sum(min(own.count(g), place.count(g)) * weight(g) for g in set(own))
+            assert decontaminate.similarity(index, 0, other.encode().split()) == pytest.approx(2 * shared / both if both else 0.0, abs=1e-6)
+
+
+def test_fingerprints_find_most_places_by_themselves():
+    """Recall of the multi-index alone, without postings, over edited copies with a similarity of 0.8 or more: at least 0.9."""
+    r = random.Random(21)
+    items = [" ".join(f"q{r.randrange(2000)}" for _ in range(r.choice((20, 30, 50, 100)))) for _ in range(400)]
+    index = decontaminate.build(list(enumerate(items)))
+    texts = []
+    for t in items:
+        w = t.split()
+        for _ in range(r.randint(1, len(w) // 25 + 1)):
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(r.choices(WORDS, k=r.randint(0, 60)) + w + r.choices(WORDS, k=r.randint(0, 60))))
+    want = {(k, k) for k, t in enumerate(texts) if all_places(index, k, t) >= decontaminate.THRESHOLD - 1e-9}
+    index.postings = {}
+    found = found_in(index, texts)
+    assert len(want) > 200 and found <= want
+    assert len(found) >= 0.9 * len(want)
+
+
 def brute_pipeline(spark, rows: list[dict], items: list[tuple[int, str]], model) -> list[tuple[int, str, int]]:
     """(doc_id, text, taken) of the pipeline, one document at a time."""
     score = {r.doc_id: r.rejected for r in language.predict(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id bigint, text string"), model).collect()}

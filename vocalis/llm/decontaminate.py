@@ -4,11 +4,14 @@ A window of words and a benchmark item get 64-bit SimHash fingerprints of their
 has one window length and a stride, such that a copy of an item, wherever it starts, holds a whole window that begins at one of
 the item's first ``stride`` words. Those windows of the items are indexed by four blocks of 16 bits: fingerprints within RADIUS
 differ in at most RADIUS // 4 bits in some block, so that looking up each block's neighbours finds all of them. Items go in
-blocks whose index has a bounded number of bytes, one pass over the documents each.
-
-Fingerprints alone miss copies that are cut at a document's edge or edited beyond RADIUS. Postings of rare shingles complete them:
-a place with similarity THRESHOLD shares at least LEAST of the item's weight, so of any shingles with more than the rest of the
-weight it holds one. Every pair of a document and an item that either way finds is then compared exactly at all its places.
+blocks whose index has a bounded number of bytes, one pass over the documents each; what a shingle weighs is counted over the whole
+benchmark first, so that the blocks don't change what matches.
+
+RADIUS follows from THRESHOLD: a Dice similarity of 0.8 over five-word shingles is about one changed word of 25, which changes two
+word pairs of 25; two such windows differ in 64 * acos(1 - 2 / 25) / pi = 8.2 bits on average, with a deviation of 2.7, and an item
+has several windows. Fingerprints still miss copies that are cut at a document's edge or edited in bursts. Postings of rare shingles
+complete them: a place with similarity THRESHOLD shares at least LEAST of the item's weight, so of any shingles with more than the rest
+of the weight it holds one. Every pair of a document and an item that either way finds is then compared exactly at all its places.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from vocalis.llm.frames import narrow
 from vocalis.llm.kernels import LOWER, NULL_ID, U64, Chunk, chunks, mix, prefix_hash, range_hash, ranges, word_hashes
 
-RADIUS, BLOCKS = 7, 4
+RADIUS, BLOCKS = 11, 4
 SHINGLE, THRESHOLD = 5, 0.8
 #: With shared weight S, 2 S / (own + other) >= THRESHOLD and S <= other: S >= LEAST * own.
 LEAST = THRESHOLD / (2 - THRESHOLD)
@@ -45,11 +48,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER.tobytes()).split()
 
 
-def shingles(words: list[bytes]) -> Counter:
-    n = min(SHINGLE, len(words))
-    return Counter(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) if words else Counter()
-
-
 def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     n = len(words) - width + 1
     return range_hash(prefix_hash(words), np.arange(n), np.arange(n) + width) if n > 0 else np.zeros(0, dtype=U64)
@@ -128,10 +126,11 @@ class SizeClass:
 
 @dataclass
 class Bag:
-    """One item's shingles: distinct hashes in order, how often each occurs, the item's weight; words in a shingle."""
+    """One item's shingles: distinct hashes in order, how often each occurs and what it weighs, the item's weight; words in a shingle."""
 
     hashes: np.ndarray
     counts: np.ndarray
+    units: np.ndarray
     weight: int
     width: int
 
@@ -140,12 +139,11 @@ class Bag:
 class Index:
     ids: list[int]
     words: list[list[bytes]]
-    weights: dict[bytes, float]
+    top: float  # the weight of a shingle that the item doesn't have
     classes: list[SizeClass]
     sizes: np.ndarray
     shingles: np.ndarray  # sorted hashes of all items' shingles
     flags: np.ndarray  # which low 16 bits occur among them
-    units: np.ndarray  # the weights of ``shingles``
     bags: list[Bag | None]
     postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by width: rare shingles' hashes, where each one's items begin, items
 
@@ -156,21 +154,14 @@ class Index:
         out[maybe] = self.shingles[at] == hashes[maybe] if len(self.shingles) else False
         return out
 
-    def units_of(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), round(log(1 + len(self.ids)) * UNIT), dtype=np.int64)
-        known = np.flatnonzero(self.known(hashes))
-        out[known] = self.units[np.searchsorted(self.shingles, hashes[known])]
-        return out
-
-    def weight(self, shingle: bytes) -> float:
-        """Shingles that many items share weigh less; one that no item has weighs as much as one of a single item."""
-        return self.weights.get(shingle, log(1 + len(self.ids)))
+    def top_units(self, width: int) -> int:
+        return round(self.top * UNIT) if width == SHINGLE else UNIT
 
 
-def _rare(bag: Bag, units: np.ndarray) -> np.ndarray:
+def _rare(bag: Bag) -> np.ndarray:
     """The fewest of an item's shingles, the heaviest first, such that a place without any of them is under THRESHOLD."""
-    order = np.argsort(-units, kind="stable")
-    upto = np.cumsum((bag.counts * units)[order])
+    order = np.argsort(-bag.units, kind="stable")
+    upto = np.cumsum((bag.counts * bag.units)[order])
     return bag.hashes[order[: np.searchsorted(upto, (1 - LEAST) * bag.weight * (1 + 1e-9), side="right") + 1]]
 
 
@@ -184,10 +175,26 @@ def _postings(rare: dict[int, list[tuple[int, np.ndarray]]]) -> dict[int, tuple[
     return out
 
 
-def build(items: list[tuple[int, str]]) -> Index:
+def own_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes of an item's shingles, in their order."""
+    if not words:
+        return np.zeros(0, dtype=U64)
+    chunk = Chunk(np.zeros(1, dtype=np.int64), [b" ".join(words)])
+    starts, ends, _ = chunk.words()
+    return shingle_hashes(word_hashes(chunk.buf, starts, ends), min(SHINGLE, len(words)))
+
+
+def spread_of(texts: list[str]) -> dict[int, int]:
+    """How many of some items have each shingle, by its hash: what item_blocks() counts over a benchmark."""
+    return Counter(h for t in texts for h in np.unique(own_hashes(words_of(t))).tolist())
+
+
+def build(items: list[tuple[int, str]], spread: dict[int, int] | None = None, total: int | None = None) -> Index:
+    """The index of a block of items. ``spread`` tells in how many of the benchmark's ``total`` items each of the block's shingles
+    is: one that n items have weighs log(1 + total / n), one that an item doesn't have as much as one of a single item."""
     words = [words_of(text) for _, text in items]
-    spread = Counter(s for w in words for s in set(shingles(w)))
-    weights = {s: log(1 + len(items) / n) for s, n in spread.items()}
+    if spread is None or total is None:
+        spread, total = spread_of([t for _, t in items]), len(items)
     lengths = [c for c in class_lengths(max(map(len, words), default=1))]
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
@@ -219,17 +226,15 @@ def build(items: list[tuple[int, str]]) -> Index:
     flags = np.zeros(1 << 16, dtype=bool)
     known = np.unique(np.concatenate([*hashes, np.zeros(0, dtype=U64)]))
     flags[(known & U64(0xFFFF)).astype(np.int64)] = True
-    name = {int(h): log(1 + len(items) / n) for h, n in Counter(h for k in own if len(words[k]) >= SHINGLE for h in np.unique(own[k]).tolist()).items()}
-    units = np.asarray([round(name[h] * UNIT) for h in known.tolist()], dtype=np.int64)
     bags: list[Bag | None] = [None] * len(items)
     rare: dict[int, list[tuple[int, np.ndarray]]] = {}
     for k, h in own.items():
         distinct, counts = np.unique(h, return_counts=True)
         width = min(SHINGLE, len(words[k]))
-        mine = units[np.searchsorted(known, distinct)] if width == SHINGLE else np.full(1, UNIT)
-        bags[k] = Bag(distinct, counts, int((counts * mine).sum()), width)
-        rare.setdefault(width, []).append((k, _rare(bags[k], mine)))
-    return Index([i for i, _ in items], words, weights, classes, np.asarray([len(w) for w in words]), known, flags, units, bags, _postings(rare))
+        units = np.asarray([round(log(1 + total / spread[x]) * UNIT) for x in distinct.tolist()], dtype=np.int64) if width == SHINGLE else np.full(1, UNIT)
+        bags[k] = Bag(distinct, counts, units, int((counts * units).sum()), width)
+        rare.setdefault(width, []).append((k, _rare(bags[k])))
+    return Index([i for i, _ in items], words, log(1 + total), classes, np.asarray([len(w) for w in words]), known, flags, bags, _postings(rare))
 
 
 def candidates(c: SizeClass, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,10 +261,15 @@ def candidates(c: SizeClass, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def similarity(index: Index, item: int, text: list[bytes]) -> float:
     """Weighted Dice similarity of the shingles, repeats counted."""
-    own, other = shingles(index.words[item]), shingles(text)
-    weigh = lambda bag: sum(n * index.weight(s) for s, n in bag.items())
-    both = weigh(own) + weigh(other)
-    return 2 * weigh(own & other) / both if both else 0.0
+    bag = index.bags[item]
+    if bag is None or not text:
+        return 0.0
+    if bag.width < SHINGLE:
+        return float(index.words[item] == text)
+    weight = dict(zip(bag.hashes.tolist(), bag.units.tolist(), strict=True))
+    own, other = dict(zip(bag.hashes.tolist(), bag.counts.tolist(), strict=True)), Counter(own_hashes(text).tolist())
+    shared = sum(min(n, other.get(h, 0)) * weight[h] for h, n in own.items())
+    return 2 * shared / (bag.weight + sum(n * weight.get(h, index.top_units(SHINGLE)) for h, n in other.items()))
 
 
 MATCHES = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"
@@ -280,7 +290,7 @@ def _posted(index: Index, width: int, hashes: np.ndarray, doc: np.ndarray) -> It
         yield doc[word], items[ranges(begin[k[low:high]], n[low:high])], word
 
 
-def _places(index: Index, item: int, hashes: np.ndarray, upto: np.ndarray, bounds: tuple[int, int], near: tuple[int, int]) -> list[tuple[int, int]]:
+def _places(index: Index, item: int, hashes: np.ndarray, bounds: tuple[int, int], near: tuple[int, int]) -> list[tuple[int, int]]:
     """(first word, end) of the places of one item from the words ``near``, none over another, the most similar first.
 
     A place is the item's number of words from anywhere, cut at the document's ``bounds``. All places are compared at once: the
@@ -306,13 +316,16 @@ def _places(index: Index, item: int, hashes: np.ndarray, upto: np.ndarray, bound
     before = np.arange(len(order)) - c
     same = (before >= 0) & (kinds[before] == kinds)
     since = np.maximum(np.where(same, order[before] + 1, -size), order - inside + 1) + low - first
-    units = upto[low + order + 1] - upto[low + order]
+    units = bag.units[kinds]
     gain = np.zeros(span + 1, dtype=np.int64)
     np.add.at(gain, since, units)
     np.subtract.at(gain, order + low - first + 1, units)
     shared = np.cumsum(gain[:-1])
-    left = np.minimum(begin, len(upto) - 1)
-    other = upto[np.maximum(left, end - bag.width + 1)] - upto[left]
+    weigh = np.full(n, index.top_units(bag.width), dtype=np.int64)
+    weigh[at] = bag.units[k[at]]
+    upto = np.concatenate(([0], np.cumsum(weigh)))
+    left = np.minimum(begin - low, n)
+    other = upto[np.clip(end - bag.width + 1 - low, left, n)] - upto[left]
     likeness = 2 * shared / (bag.weight + other)
     good = np.flatnonzero(whole & (likeness >= THRESHOLD - 1e-9))
     taken, out = np.zeros(high - low, dtype=bool), []
@@ -363,11 +376,10 @@ def _matches(chunk: Chunk, index: Index) -> list[tuple]:
     for width in index.postings:
         for d, item, word in _posted(index, width, of_width[width], doc):
             add(d, item, word, word + width)
-    units = {w: np.concatenate(([0], np.cumsum(index.units_of(h) if w == SHINGLE else np.full(len(h), UNIT)))) for w, h in of_width.items()}
     out = []
     for (d, item), span in sorted(near.items()):
         width = index.bags[item].width
-        for begin, end in _places(index, item, of_width[width], units[width], (int(first[d]), int(last[d])), (span[0], span[1])):
+        for begin, end in _places(index, item, of_width[width], (int(first[d]), int(last[d])), (span[0], span[1])):
             text = [buf[starts[k] : ends[k]].tobytes() for k in range(begin, end)]
             out.append((d, index.ids[item], begin - int(first[d]), end - begin, similarity(index, item, text)))
     return out
@@ -379,23 +391,43 @@ def index_bytes(words: int) -> int:
     return windows * (24 + BLOCKS * 4 * len(neighbours(64 // BLOCKS, RADIUS // BLOCKS))) + words * WORD_BYTES
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks, sorted by number of words and id, whose indexes stay within INDEX_BYTES; a larger item is a block alone."""
-    counted = narrow(benchmark, "item_id", "text").where(F.col("text").isNotNull()).withColumn("words", F.size(F.split(F.trim("text"), r"\s+")))
-    block, size, lengths = [], 0, set()
-    for r in counted.orderBy("words", "item_id", "text").toLocalIterator():
+def counted_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, words, spread) of the items with a text; ``spread`` maps each of its shingles to how many items have it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [np.unique(own_hashes(words_of(t))).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("rows"), pa.array(hashes, pa.list_(pa.int64()))], ["text", "rows", "hashes"])
+
+    items = narrow(benchmark, "item_id", "text").where(F.col("text").isNotNull())
+    texts = items.groupBy("text").agg(F.count("*").alias("rows")).mapInArrow(work, "text string, rows bigint, hashes array<bigint>")
+    each = texts.select(F.md5("text").alias("key"), "rows", F.explode("hashes").alias("hash"))
+    counted = each.join(each.groupBy("hash").agg(F.sum("rows").alias("n")), "hash").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("hash", "n"))).alias("spread"))
+    words = F.size(F.split(F.trim("text"), r"\s+")).alias("words")
+    return items.withColumn("key", F.md5("text")).join(counted, "key", "left").select("item_id", "text", words, "spread")
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, int], int]]:
+    """The benchmark in blocks, sorted by number of words and id, whose indexes stay within INDEX_BYTES, for build().
+
+    A larger item is a block alone. Each block comes with the counts of its own shingles in the whole benchmark, and the number of items.
+    """
+    total = narrow(benchmark, "text").where(F.col("text").isNotNull()).count()
+    block, spread, size, lengths = [], {}, 0, set()
+    for r in counted_items(benchmark).orderBy("words", "item_id", "text").toLocalIterator():
         words = len(words_of(r.text))
         length = max(c for c in class_lengths(words + 1) if c <= max(1, words))
         more = index_bytes(words) + (CLASS_BYTES if length not in lengths else 0)
         if block and size + more > INDEX_BYTES:
-            yield block
-            block, size, lengths = [], 0, set()
+            yield block, spread, total
+            block, spread, size, lengths = [], {}, 0, set()
             more = index_bytes(words) + CLASS_BYTES
         block.append((r.item_id, r.text))
+        spread |= {h % (1 << 64): n for h, n in (r.spread or {}).items()}
         lengths.add(length)
         size += more
     if block:
-        yield block
+        yield block, spread, total
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -408,7 +440,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark, parts = docs.sparkSession, []
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(build(block))
+        shared = spark.sparkContext.broadcast(build(*block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -427,7 +459,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, in one pass without a shuffle for each block of items."""
     for block in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(build(block))
+        shared = docs.sparkSession.sparkContext.broadcast(build(*block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch, chunk in chunks(batches, 1 << 20):
