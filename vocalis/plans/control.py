@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vocalis.operators import control, incremental
+from vocalis.operators import control, incremental, memo
 from vocalis.plans.registry import query
 from vocalis.sources import files
 from vocalis.sources.adapters import JOBS, jobs, table
@@ -74,3 +75,41 @@ def stream_window_states(spark, sf_dir):
     events = events.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("window_id") * 600 + F.col("after")))
     states.follow(events.select("doc_id", "window_id", "ts", "event"), path, retries=2, patience_ms=450_000).awaitTermination()
     return states.states(spark, path).select("doc_id", "window_id", "status", "attempts")
+
+
+def _folded(resource: dict, rows: pa.Table) -> pa.Table:
+    """A stand-in for a model: words without the letters that it doesn't know; it gives up on texts whose length is a multiple of eleven."""
+    texts = rows.column("text").to_pylist()
+    if any(t is not None and len(t) % 11 == 0 for t in texts):
+        raise ValueError("no alignment")
+    out = [None if t is None else t.translate(resource) for t in texts]
+    return pa.table({"better": pa.array(out, pa.string()), "letters": pa.array([None if t is None else len(t) for t in out], pa.int64())})
+
+
+@query("ux_backend_rows", "SELECT conv_id AS doc_id, turn AS idx, CASE WHEN length(text) % 11 = 0 THEN text ELSE translate(text, 'xyz', '') END AS better, CASE WHEN length(text) % 11 <> 0 THEN length(translate(text, 'xyz', '')) END::BIGINT AS letters, CASE WHEN length(text) % 11 = 0 THEN 'ValueError: no alignment' END AS error FROM conversations")
+def ux_backend_rows(spark, sf_dir):
+    """Every segment through a backend that fails on some: each keeps its row, a failed one its own text."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
+    backend = memo.Backend("folded", "1", ("text",), "better string, letters bigint", lambda: str.maketrans("", "", "xyz"), _folded)
+    out = memo.apply(c, backend, f"{files.shared_folder(spark)}/backend-{uuid.uuid4().hex}", fallback={"better": "text"})
+    return out.select("doc_id", "idx", "better", "letters", "error")
+
+
+GRAPH_SQL = r"""WITH c AS (SELECT conv_id, turn, text, regexp_extract_all(text, '\S+') AS ws FROM conversations), d AS (SELECT conv_id AS doc_id, sum(len(ws))::BIGINT AS words, bool_or(length(text) % 3 = 0) AS changed FROM c GROUP BY conv_id)
+SELECT doc_id, words, changed AS computed_words FROM d"""
+
+
+@query("inc_stage_graph", GRAPH_SQL)
+def inc_stage_graph(spark, sf_dir):
+    """Words of each document by a graph of stages that has run before, when some texts had one mark more; and which it computed again."""
+    path = f"{files.shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
+    before = c.withColumn("text", F.when(F.length("text") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    stages = [
+        memo.Stage("tokens", ("texts",), lambda t: t.select("doc_id", "idx", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n")), "doc_id bigint, idx bigint, n bigint"),
+        memo.Stage("words", ("tokens",), lambda t: t.groupBy("doc_id").agg(F.sum("n").alias("words")), "doc_id bigint, words bigint"),
+    ]
+    memo.run(spark, path, stages, {"texts": before})
+    out, _ = memo.run(spark, path, stages, {"texts": c})
+    again = spark.read.parquet(f"{path}/tokens/keys/*").groupBy("doc_id").agg((F.count_distinct("run") > 1).alias("computed_words"))
+    return out["words"].join(again, "doc_id").select("doc_id", "words", "computed_words")
