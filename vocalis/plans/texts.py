@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vocalis.functions import numeric, text, text_udf
+from vocalis.functions import numeric, preview, text, text_udf
 from vocalis.operators import rules
 from vocalis.plans.registry import query
 from vocalis.sources.adapters import LINES, SEG, lines, segments, table
@@ -239,3 +239,10 @@ def fmt_final_text(spark, sf_dir):
 
     s = segments(spark, sf_dir).where(F.trim("text") != "")
     return joined_lines(s, F.concat("speaker", F.lit(" : "), F.trim("text")), "\n\n")
+
+
+@query("fn_rule_diff", "WITH t AS (SELECT doc_id, text, regexp_replace(text, '[aeiou]([mnr])', '<\\1>', 'g') AS after FROM documents) SELECT doc_id, sha256(after) AS after_sha256, text <> after AS changed, len(regexp_extract_all(text, '[aeiou]([mnr])'))::BIGINT AS hits FROM t")
+def fn_rule_diff(spark, sf_dir):
+    """A rule on whole documents: its hits, and the text that its unified diff leads to when it is applied to the document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", preview.preview(F.col("text"), "[aeiou]([mnr])", r"<\1>", ignore_case=False, limit_ms=10_000).alias("p"))
+    return d.select("doc_id", F.sha2(preview.patch("text", "p.diff").cast("binary"), 256).alias("after_sha256"), (F.col("p.diff") != "").alias("changed"), "p.hits")
