@@ -36,6 +36,8 @@ BUCKET_ITEMS, PAIRS = 2_000_000, 1 << 12
 HOT_BITS = 22
 HOT_SHARE = 4 / (1 << HOT_BITS)
 LEAF, FANOUT, MOST_BITS = 8, 4, 1 << 16
+#: Places among which the sets of a group are dealt when they meet its numbers.
+SALTS = 16
 
 
 class Sets:
@@ -391,7 +393,9 @@ def _groups_of(standing: DataFrame, edges: DataFrame, links: DataFrame) -> DataF
     # of each group: its largest component of links, and the blocks of that one and of the others
     sized = classes.groupBy("component").agg(F.max(F.struct("sets", "items", "linked")).alias("main"), F.sum("sets").alias("sets"), F.sum("items").alias("items")).where("main.sets < sets")
     sized = sized.select("component", F.col("main.linked").alias("main"), _blocks("main.sets", "main.items", BLOCK).alias("inside"), _blocks("sets - main.sets", "items - main.items", BLOCK).alias("outside"))
-    placed = members.join(sized, "component")
+    # a group may hold a third of all sets: its numbers go to SALTS places, its sets to one of them each
+    salted = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("name2", "representative"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"])
     within = F.col("linked") == F.col("main")
     block = F.when(within, F.col("outside") + F.pmod("name2", F.col("inside").cast("bigint"))).otherwise(F.pmod("name2", F.col("outside").cast("bigint"))).cast("int")
     last = F.col("outside") - 1 + F.when(within, F.lit(0)).otherwise(F.col("inside"))
