@@ -3,9 +3,10 @@
 A paragraph is a block of lines between blank lines; its words run on over line ends, and comment marks are no words. The model
 has a logistic regression for each licence family over the presence of word unigrams and bigrams, with an L1 penalty that leaves
 few weights. It is trained on the notices of ``notices.py``, alone, in other text and in pairs, against text that grants nothing.
-Weights are whole numbers (SCALE units), so that sums don't depend on order. A temperature, fitted on notices held out of
-training, calibrates the probabilities; a paragraph is unknown where no family reaches MIN_PROBABILITY. A prediction counts only
-if a template of that family (a name, or a piece of a passage) has MIN_TEMPLATE of its bigrams in the paragraph.
+Weights are whole numbers (SCALE units), so that sums don't depend on order. A temperature and an offset, fitted on notices held out
+of training, calibrate the probabilities. The unknown class has the probability that no family is right; where that is above
+MOST_UNKNOWN the paragraph is unknown, whatever family scores best. Else the families with MIN_PROBABILITY are predicted. A
+prediction counts only if a template of that family (a name, or a piece of a passage) has MIN_TEMPLATE of its bigrams there.
 
 Every paragraph is classified. For most, one look suffices: words() are such that a paragraph without any of them can't reach
 MIN_PROBABILITY for a family, whatever else it holds, since the sum of all positive weights that are left stays under the
@@ -27,6 +28,8 @@ from vocalis.llm.notices import FUNCTION_WORDS, NAMES, OTHER, PASSAGES, SPDX, VE
 
 SCALE = 1000
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.6
+#: A paragraph is unknown if no family is right with more than this probability; found on the held-out notices.
+MOST_UNKNOWN = 0.3
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Between paragraphs: a line end, then a line without letters and digits.
 BLANK = r"\n[^a-z0-9\n]*\n"
@@ -59,14 +62,16 @@ def _common() -> set[str]:
 
 
 def examples() -> list[tuple[set[str], set[str]]]:
-    """(n-grams, families): each name after some of VERBS, identifiers, passages and their pieces; each of those within other text
+    """(n-grams, families): each name after some of VERBS, identifiers, passages and two thirds of long ones; each of those within other text
     and beside a notice of another family; and text without a notice, alone and in pairs."""
     single = []
     for k, family in enumerate(sorted(NAMES)):
         for i, name in enumerate(NAMES[family]):
             single += [(f"{VERBS[(k + i + 3 * j) % len(VERBS)]} {name}", family) for j in range(3)] + [(name, family)]
         single += [(f"SPDX-License-Identifier: {x}", family) for x in SPDX.get(family, ())]
-        single += [(p, family) for p in PASSAGES[family]]
+        for p in PASSAGES[family]:
+            ws = p.split()
+            single += [(" ".join(part), family) for part in ((ws, ws[: 2 * len(ws) // 3], ws[len(ws) // 3 :]) if len(ws) >= 16 else (ws,))]
     bags = [(grams(t), {f}) for t, f in single]
     other = [grams(t) for t in OTHER]
     bags += [(b | other[(7 * i) % len(other)], f) for i, (b, f) in enumerate(bags)]
@@ -83,6 +88,7 @@ class Model:
     weights: list[list[int]]  # by gram, then family
     intercepts: list[int]  # negative
     temperature: float
+    held: list[tuple[set[str], set[str]]]  # what calibrated it: n-grams and families
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -107,7 +113,7 @@ def _fit(x: np.ndarray, y: np.ndarray, lasso: float = 3e-4, rounds: int = 120, s
 
 @cache
 def train() -> Model:
-    """Deterministic. The rows held out for the temperature are every fifth one."""
+    """Deterministic. The rows held out for the calibration are every fifth one; the offset is part of the intercepts."""
     families = sorted(NAMES)
     rows = examples()
     names = sorted(g for g in set().union(*(grams(t) for family in NAMES for t in (*NAMES[family], *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(family, ())), *PASSAGES[family]))) if telling(g))
@@ -119,11 +125,13 @@ def train() -> Model:
     held = np.arange(len(rows)) % 5 == 4
     w = _fit(x[~held], y[~held])
     z = x[held] @ w[:-1] + w[-1]
-    loss = lambda t: -np.log(np.where(y[held] > 0, _sigmoid(z / t), 1 - _sigmoid(z / t)).clip(1e-9)).mean()
-    temperature = min((0.1 * k for k in range(1, 31)), key=loss)
+    odds = lambda t, o: _sigmoid((z + o) / t)
+    loss = lambda c: -np.log(np.where(y[held] > 0, odds(*c), 1 - odds(*c)).clip(1e-9)).mean()
+    temperature, offset = min(((0.1 * k, 0.1 * o) for k in range(1, 31) for o in range(-15, 1)), key=loss)
     whole = np.rint(_fit(x, y, rounds=60, start=w) * SCALE).astype(int)
+    whole[-1] += round(offset * SCALE)
     used = np.flatnonzero((whole[:-1] != 0).any(axis=1))
-    return Model(families, [names[k] for k in used], whole[used].tolist(), np.minimum(whole[-1], -1).tolist(), temperature)
+    return Model(families, [names[k] for k in used], whole[used].tolist(), np.minimum(whole[-1], -1).tolist(), temperature, [r for r, h in zip(rows, held, strict=True) if h])
 
 
 @cache
@@ -199,7 +207,8 @@ def _model_table(spark: SparkSession) -> DataFrame:
 def classify(docs: DataFrame) -> DataFrame:
     """One row per paragraph that holds one of words(): doc_id, row, place, p_unknown, predicted, confirmed (arrays of families).
 
-    p_unknown is the calibrated probability that no family is right. Paragraphs without such a word are unknown and have no row.
+    p_unknown is the calibrated probability that no family is right; above MOST_UNKNOWN nothing is predicted. Paragraphs without such
+    a word are unknown and have no row.
     """
     model = train()
     names = model.families
@@ -210,16 +219,17 @@ def classify(docs: DataFrame) -> DataFrame:
     sums = spread.join(_model_table(docs.sparkSession), "gram").groupBy("doc_id", "row", "place").agg(*scores, F.flatten(F.collect_list("templates")).alias("hits"))
     z = [F.col(f"s{k}") + model.intercepts[k] for k in range(len(names))]
     free = reduce(lambda a, b: a * b, [1 / (1 + F.exp(s / (SCALE * model.temperature))) for s in z])
-    predicted = F.array_compact(F.array(*[F.when(s >= 0, F.lit(f)) for s, f in zip(z, names, strict=True)]))
+    free = F.round(free, 6)
+    predicted = F.array_compact(F.array(*[F.when((s >= 0) & (free <= MOST_UNKNOWN), F.lit(f)) for s, f in zip(z, names, strict=True)]))
     shown = F.filter(every, lambda t: F.array_contains("predicted", t["family"]) & (F.size(F.filter("hits", lambda h: h == t["number"])) >= t["need"]))
-    out = sums.select("doc_id", "row", "place", "hits", F.round(free, 3).alias("p_unknown"), predicted.alias("predicted"))
+    out = sums.select("doc_id", "row", "place", "hits", free.alias("p_unknown"), predicted.alias("predicted"))
     return out.select("doc_id", "row", "place", "p_unknown", "predicted", F.array_distinct(F.transform(shown, lambda t: t["family"])).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per id: doc_id, n_predicted, licences (confirmed families in order, joined by a comma), n_unconfirmed.
+    """One row per id: doc_id, n_predicted, licences (confirmed families in order, joined by a comma), n_unconfirmed, p_unknown.
 
-    n_predicted counts the paragraphs with a predicted family, n_unconfirmed those of them without a confirmed one. Null and empty
+    p_unknown is the least probability of the unknown class among the paragraphs with a prediction, null without one. n_predicted counts the paragraphs with a predicted family, n_unconfirmed those of them without a confirmed one. Null and empty
     texts, and texts without a notice, have no licence and an empty string. Rows of one id are one document: families of all of
     them, and the most paragraphs of one. An empty table gives an empty result.
     """
@@ -227,11 +237,12 @@ def scan(docs: DataFrame) -> DataFrame:
         F.count_if(F.size("predicted") > 0).alias("n_predicted"),
         F.flatten(F.collect_set("confirmed")).alias("families"),
         F.count_if((F.size("predicted") > 0) & (F.size("confirmed") == 0)).alias("n_unconfirmed"),
+        F.min(F.when(F.size("predicted") > 0, F.col("p_unknown"))).alias("p_unknown"),
     )
-    nothing = narrow(docs, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("n_predicted"), F.array().cast("array<string>").alias("families"), F.lit(0).cast("bigint").alias("n_unconfirmed"))
-    every = by_row.select("doc_id", "n_predicted", "families", "n_unconfirmed").unionByName(nothing.distinct())
-    out = every.groupBy("doc_id").agg(F.max("n_predicted").alias("n_predicted"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("licences"), F.max("n_unconfirmed").alias("n_unconfirmed"))
-    return out.select("doc_id", "n_predicted", "licences", "n_unconfirmed")
+    nothing = narrow(docs, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("n_predicted"), F.array().cast("array<string>").alias("families"), F.lit(0).cast("bigint").alias("n_unconfirmed"), F.lit(None).cast("double").alias("p_unknown"))
+    every = by_row.select("doc_id", "n_predicted", "families", "n_unconfirmed", "p_unknown").unionByName(nothing.distinct())
+    out = every.groupBy("doc_id").agg(F.max("n_predicted").alias("n_predicted"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("licences"), F.max("n_unconfirmed").alias("n_unconfirmed"), F.round(F.min("p_unknown"), 4).alias("p_unknown"))
+    return out.select("doc_id", "n_predicted", "licences", "n_unconfirmed", "p_unknown")
 
 
 def oracle_sql() -> str:
@@ -248,13 +259,15 @@ p AS (SELECT doc_id, rn, unnest(ps) AS paragraph, unnest(range(len(ps))) AS plac
 a AS (SELECT doc_id, rn, place, regexp_extract_all(paragraph, '{TOKEN}') AS ws FROM p),
 g AS (SELECT DISTINCT doc_id, rn, place, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM a),
 s AS (SELECT doc_id, rn, place, {', '.join(f'sum(weights[{i + 1}])::BIGINT + ({model.intercepts[i]}) AS s{i}' for i in k)} FROM g JOIN w USING (gram) GROUP BY doc_id, rn, place),
-f AS (SELECT doc_id, rn, place, unnest([{', '.join(quote(f) for f in model.families)}]) AS family, unnest([{', '.join(f's{i}' for i in k)}]) AS score FROM s),
+u AS (SELECT *, round({' * '.join(f'(1 / (1 + exp(s{i} / {SCALE * model.temperature})))' for i in k)}, 6) AS free FROM s),
+f AS (SELECT doc_id, rn, place, unnest([{', '.join(quote(f) for f in model.families)}]) AS family, unnest([{', '.join(f's{i}' for i in k)}]) AS score, free FROM u),
 h AS (SELECT doc_id, rn, place, family, max(share) AS share FROM (SELECT doc_id, rn, place, family, number, count(*) / size AS share FROM g JOIN t USING (gram) GROUP BY doc_id, rn, place, family, number, size) GROUP BY doc_id, rn, place, family),
-c AS (SELECT f.doc_id, f.rn, f.place, f.family, coalesce(h.share, 0) >= {MIN_TEMPLATE} - 1e-9 AS confirmed FROM f LEFT JOIN h ON f.rn = h.rn AND f.place = h.place AND f.family = h.family WHERE f.score >= 0),
+c AS (SELECT f.doc_id, f.rn, f.place, f.family, coalesce(h.share, 0) >= {MIN_TEMPLATE} - 1e-9 AS confirmed, free FROM f LEFT JOIN h ON f.rn = h.rn AND f.place = h.place AND f.family = h.family WHERE f.score >= 0 AND free <= {MOST_UNKNOWN}),
 q AS (SELECT doc_id, rn, place, bool_or(confirmed) AS confirmed FROM c GROUP BY doc_id, rn, place),
 n AS (SELECT doc_id, rn, count(*) AS n_predicted, count(*) FILTER (WHERE NOT confirmed) AS n_unconfirmed FROM q GROUP BY doc_id, rn),
 m AS (SELECT doc_id, max(n_predicted) AS n_predicted, max(n_unconfirmed) AS n_unconfirmed FROM n GROUP BY doc_id),
+v AS (SELECT doc_id, round(min(free), 4) AS p_unknown FROM c GROUP BY doc_id),
 l AS (SELECT doc_id, string_agg(DISTINCT family, ',' ORDER BY family) AS licences FROM c WHERE confirmed GROUP BY doc_id)
-SELECT x.doc_id, coalesce(n_predicted, 0)::BIGINT AS n_predicted, coalesce(licences, '') AS licences, coalesce(n_unconfirmed, 0)::BIGINT AS n_unconfirmed
-FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN m ON x.doc_id IS NOT DISTINCT FROM m.doc_id LEFT JOIN l ON x.doc_id IS NOT DISTINCT FROM l.doc_id
+SELECT x.doc_id, coalesce(n_predicted, 0)::BIGINT AS n_predicted, coalesce(licences, '') AS licences, coalesce(n_unconfirmed, 0)::BIGINT AS n_unconfirmed, p_unknown
+FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN m ON x.doc_id IS NOT DISTINCT FROM m.doc_id LEFT JOIN l ON x.doc_id IS NOT DISTINCT FROM l.doc_id LEFT JOIN v ON x.doc_id IS NOT DISTINCT FROM v.doc_id
 """

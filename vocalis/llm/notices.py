@@ -25,17 +25,24 @@ NAMES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("The Unlicense", "the Unlicense (unlicense.org)", "unlicense.org"),
     "Zlib": ("zlib License", "zlib/libpng License", "zlib licence"),
     "proprietary": ("All rights reserved", "All Rights Reserved Worldwide", "confidential and proprietary", "proprietary and confidential"),
+    "CDDL": ("Common Development and Distribution License", "Common Development and Distribution License 1.0", "CDDL 1.0", "CDDL-1.0", "CDDL"),
+    "MS-PL": ("Microsoft Public License", "Microsoft Public License (Ms-PL)", "MS-PL", "Ms-PL license"),
+    "OpenSSL": ("OpenSSL License", "OpenSSL licence", "OpenSSL and SSLeay licenses"),
+    "PSF": ("Python Software Foundation License", "Python Software Foundation License Version 2", "PSF License", "PSF-2.0", "PSF license agreement"),
+    "PostgreSQL": ("PostgreSQL License", "PostgreSQL licence", "The PostgreSQL License"),
+    "WTFPL": ("WTFPL", "WTFPL version 2", "Do What The Fuck You Want To Public License"),
 }
 SPDX: dict[str, tuple[str, ...]] = {
     "AGPL": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "Apache-2.0": ("Apache-2.0",), "Artistic": ("Artistic-2.0",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "Boost": ("BSL-1.0",), "CC-BY": ("CC-BY-4.0",), "CC-BY-NC": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"),
     "CC-BY-ND": ("CC-BY-ND-4.0",), "CC-BY-SA": ("CC-BY-SA-4.0",), "CC0": ("CC0-1.0",), "EPL": ("EPL-2.0",), "EUPL": ("EUPL-1.2",), "GPL": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"), "ISC": ("ISC",),
     "LGPL": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later"), "MIT": ("MIT",), "MPL": ("MPL-2.0",), "OFL": ("OFL-1.1",), "Unlicense": ("Unlicense",), "Zlib": ("Zlib",),
+    "CDDL": ("CDDL-1.0", "CDDL-1.1"), "MS-PL": ("MS-PL",), "OpenSSL": ("OpenSSL",), "PSF": ("PSF-2.0", "Python-2.0"), "PostgreSQL": ("PostgreSQL",), "WTFPL": ("WTFPL",),
 }
 PASSAGES: dict[str, tuple[str, ...]] = {
     "AGPL": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "See the GNU Affero General Public License for more details"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    "Apache-2.0": ("Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
     "Artistic": ("you can redistribute it and/or modify it under the same terms as Perl itself", "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License"),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    "BSD": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     "Boost": ("Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     "CC-BY": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
     "CC-BY-NC": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",),
@@ -53,6 +60,12 @@ PASSAGES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose"),
     "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
     "proprietary": ("All rights reserved. No part of this publication may be reproduced without prior written permission", "Unauthorized copying of this file, via any medium, is strictly prohibited", "No part of this document may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher"),
+    "CDDL": ("The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this file except in compliance with the License", "When distributing Covered Code, include this CDDL HEADER in each file"),
+    "MS-PL": ("This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software", "This source is subject to the Microsoft Public License"),
+    "OpenSSL": ("This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit", "The names OpenSSL Toolkit and OpenSSL Project must not be used to endorse or promote products derived from this software without prior written permission"),
+    "PSF": ("This LICENSE AGREEMENT is between the Python Software Foundation (PSF), and the Individual or Organization (Licensee) accessing and otherwise using this software",),
+    "PostgreSQL": ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies", "PostgreSQL is released under the PostgreSQL License, a liberal Open Source license"),
+    "WTFPL": ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",),
 }
 
 FUNCTION_WORDS = "a all along also an and any are as at be been being by can do each either for from had has have he her his how if in into is it its may more must no not of on one or our out own shall she should so some such than that the their them then there these they this those to under unless up use used via was we were what when which who will with without you your".split()
@@ -72,4 +85,8 @@ OTHER: tuple[str, ...] = (
     "Drivers must renew the license within ten years", "The bar lost its liquor license", "Marriage licences are issued by the city", "The software license was too expensive for the school", "Ask the lawyer about the license before you sign", "License plates are changed every year", "Read the terms of the license with care", "The terms of use were published by the site",
     "Free software is a matter of liberty", "A copy of the letter was distributed to any person who asked", "The author waived the fee", "The law limits damages of any kind", "The software is provided to schools", "The program is free for children", "You can modify the recipe and use less salt", "The work is published by the press", "Copyright law protects the author for seventy years",
     "Lesser known works of the general", "The general gave the lesser task to the public servant", "Perl is a language itself", "The ISC met in May", "The internet systems of the consortium failed", "The international attribution of blame is hard", "He made a sharealike gesture", "Distributed systems are hard to test", "The terms and conditions apply to all users of the site",
+    "The artistic license debate was long", "An artistic license let the director change the end", "Critics praised the artistic license of the film", "With artistic license he moved the castle", "She took some artistic license with the story",
+    "The common development of the region and its distribution network", "Microsoft held a public event for the press", "The Microsoft store opened to the public", "The Python team of the foundation met in spring", "A python was seen in the software office", "The software foundation elected a new board",
+    "The Apache Software Foundation elected its board", "Members of the Apache Software Foundation voted by mail", "The Foundation of the museum met under one or more agreements", "The OpenSSL project released a fix", "OpenSSL encrypts the connection", "PostgreSQL stores rows in tables", "The PostgreSQL server was restarted", "Neither the name of the ship nor the names of its crew are known", "The name of the holder was written on the card", "The contributors to the volume met the editor",
+    "The contents of this box are subject to duty", "If you do not accept the offer, do not sign", "Everyone is permitted to enter the garden", "The agreement is between the city and the individual", "This product includes nuts", "The company sells licenses for its database", "A license agreement was signed by both sides",
 )
