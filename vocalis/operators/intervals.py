@@ -27,22 +27,33 @@ def _buckets(start: Column, end: Column, width: Column) -> Column:
     return F.sequence(F.floor(start / ms), F.floor(end / ms))
 
 
+def _occurring(*lengths: DataFrame) -> list[int]:
+    """The places of the widths that spans of these lengths (one column each) need: at most as many numbers as there are widths."""
+    every = lengths[0]
+    for more in lengths[1:]:
+        every = every.unionByName(more)
+    return sorted(r.w for r in every.select(_widths(F.col("length")).alias("w")).distinct().collect())
+
+
 def overlap(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], tolerance_ms: int = 0, key: str = "doc_id") -> DataFrame:
     """Inner join of half-open spans that overlap.
 
-    Two spans meet in buckets of the wider one's width: each side stands there if it is the wider or as wide, or else in all
-    wider widths' buckets that it touches. A pair that shares two buckets comes once: in the one where the later span begins.
+    Two spans meet in buckets of the wider one's width: each side stands there if it is the wider or as wide, or else in the buckets
+    that it touches of all wider widths that occur; which do, a small count over both sides tells first. A pair that shares two
+    buckets comes once: in the one where the later span begins.
     """
     a0, a1 = (F.col(f"__a.{c}") for c in left_span)
     b0, b1 = (F.col(f"__b.{c}") for c in right_span)
 
+    ends = (left, F.col(left_span[0]) - tolerance_ms, F.col(left_span[1]) + tolerance_ms), (right, F.col(right_span[0]), F.col(right_span[1]))
+    occur = _occurring(*[df.select((F.greatest(start, end) - start).alias("length")) for df, start, end in ends])
+
     def placed(df: DataFrame, start: Column, end: Column) -> DataFrame:
         own = df.withColumn("__from", start).withColumn("__to", F.greatest(start, end)).withColumn("__own", _widths(F.col("__to") - F.col("__from")))
-        wide = own.withColumn("__width", F.explode(F.sequence(F.col("__own"), F.lit(len(WIDTHS_MS) - 1))))
+        wide = own.withColumn("__width", F.explode(F.filter(F.array(*[F.lit(w) for w in occur]).cast("array<int>"), lambda w: w >= F.col("__own"))))
         return wide.withColumn("__bucket", F.explode(_buckets(F.col("__from"), F.col("__to"), F.col("__width"))))
 
-    a = placed(left, F.col(left_span[0]) - tolerance_ms, F.col(left_span[1]) + tolerance_ms).alias("__a")
-    b = placed(right, F.col(right_span[0]), F.col(right_span[1])).alias("__b")
+    a, b = placed(*ends[0]).alias("__a"), placed(*ends[1]).alias("__b")
     meets = (b1 > a0 - tolerance_ms) & (b0 < a1 + tolerance_ms)
     wider = F.col("__a.__width") == F.greatest("__a.__own", "__b.__own")
     ms = F.element_at(F.array(*[F.lit(w) for w in WIDTHS_MS]), (F.col("__a.__width") + 1).cast("int"))
@@ -55,7 +66,8 @@ def overlap(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right
 
 def _holding(points: DataFrame, spans: DataFrame, closed: bool) -> tuple[DataFrame, DataFrame, Column]:
     """Both sides by time bucket and the condition that a span (__doc, __s0, __s1) holds the point (doc_id, __point)."""
-    p = points.withColumn("__width", F.explode(F.array(*[F.lit(k) for k in range(len(WIDTHS_MS))])))
+    occur = _occurring(spans.where("__s1 >= __s0").select((F.col("__s1") - F.col("__s0")).alias("length")))
+    p = points.withColumn("__width", F.explode(F.array(*[F.lit(k) for k in occur]).cast("array<int>")))
     ms = F.element_at(F.array(*[F.lit(w) for w in WIDTHS_MS]), (F.col("__width") + 1).cast("int"))
     p = p.withColumn("__bucket", F.floor(F.col("__point") / ms))
     s = spans.withColumn("__w", _widths(F.col("__s1") - F.col("__s0")))

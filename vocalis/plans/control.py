@@ -36,17 +36,19 @@ def jobs_latest_state(spark, sf_dir):
     return incremental.latest_state(log, "job", "seq", ["status", "duration_ms"])
 
 
-@query("inc_pending", f"WITH {JOBS}, st AS (SELECT id, status, id % 4 AS retries FROM jobs WHERE id % 3 <> 0) SELECT j.id, coalesce(st.status, 'pending') AS status FROM jobs j LEFT JOIN st USING (id) WHERE coalesce(st.status, 'pending') IN ('pending', 'running') OR (st.status = 'failed' AND retries < 2)")
+@query("inc_pending", f"WITH {JOBS}, st AS (SELECT id, status, id % 4 AS retries FROM jobs WHERE status <> 'pending') SELECT j.id, coalesce(st.status, 'pending') AS status FROM jobs j LEFT JOIN st USING (id) WHERE coalesce(st.status, 'pending') IN ('pending', 'running') OR (st.status = 'failed' AND retries < 2)")
 def inc_pending(spark, sf_dir):
     j = jobs(spark, sf_dir)
-    state = j.where("id % 3 <> 0").select("id", "status", (F.col("id") % 4).alias("retries"))
+    state = j.where("status <> 'pending'").select("id", "status", (F.col("id") % 4).alias("retries"))
     return incremental.pending(j.select("id"), state, 2)
 
 
-@query("inc_changed_docs", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE sha256(text) <> CASE WHEN doc_id % 4 = 0 THEN 'stale' ELSE sha256(text) END OR doc_id % 10 = 9")
+@query("inc_changed_docs", "SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR contains(text, '  ')")
 def inc_changed_docs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-    done = d.where("doc_id % 10 <> 9").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "stale").otherwise(F.col("hash")).alias("hash"))
+    # what was seen before: the labelled documents, with single blanks
+    single = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace("text", " {2,}", " ").cast("binary"), 256).alias("hash"))
+    done = single.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
     return incremental.changed(d, done)
 
 

@@ -38,11 +38,11 @@ for _name, _margin in (("join_speech_semi", 50), ("join_speech_mask", 300)):
         return intervals.near_speech(u, spoken, F.floor((F.col("t0") + F.col("t1")) / 2), margin, ("doc_id", "idx")).select("doc_id", "idx")
 
 
-@query("join_containment_first", f"WITH {CHUNKS}, h AS (SELECT s.doc_id, s.idx, min(chunk) AS c FROM seg s JOIN ck ON s.doc_id = ck.doc_id AND t0 >= c0 - 100 AND t1 <= c1 + 100 WHERE idx % 4 <> 3 GROUP BY s.doc_id, s.idx), l AS (SELECT doc_id, max(chunk) AS last FROM ck GROUP BY doc_id) SELECT s.doc_id, s.idx, coalesce(c, last) AS chunk FROM seg s LEFT JOIN h USING (doc_id, idx) LEFT JOIN l USING (doc_id)")
+@query("join_containment_first", f"WITH {CHUNKS}, h AS (SELECT s.doc_id, s.idx, min(chunk) AS c FROM seg s JOIN ck ON s.doc_id = ck.doc_id AND t0 >= c0 - 100 AND t1 <= c1 + 100 GROUP BY s.doc_id, s.idx), l AS (SELECT doc_id, max(chunk) AS last FROM ck GROUP BY doc_id) SELECT s.doc_id, s.idx, coalesce(c, last) AS chunk FROM seg s LEFT JOIN h USING (doc_id, idx) LEFT JOIN l USING (doc_id)")
 def join_containment_first(spark, sf_dir):
     s, c = segments(spark, sf_dir).select("doc_id", "idx", "t0", "t1"), chunks(spark, sf_dir)
-    k = c.select(F.col("doc_id").alias("d"), "chunk", "c0", "c1")
-    hit = s.where("idx % 4 <> 3").join(k, (F.col("doc_id") == F.col("d")) & (F.col("t0") >= F.col("c0") - 100) & (F.col("t1") <= F.col("c1") + 100)).groupBy("doc_id", "idx").agg(F.min("chunk").alias("c"))
+    near = intervals.overlap(s, c.select("doc_id", "chunk", "c0", "c1"), ("t0", "t1"), ("c0", "c1"), 101)
+    hit = near.where((F.col("t0") >= F.col("c0") - 100) & (F.col("t1") <= F.col("c1") + 100)).groupBy("doc_id", "idx").agg(F.min("chunk").alias("c"))
     last = c.groupBy("doc_id").agg(F.max("chunk").alias("last"))
     return s.join(hit, ["doc_id", "idx"], "left").join(last, "doc_id", "left").select("doc_id", "idx", F.coalesce("c", "last").alias("chunk"))
 
@@ -75,10 +75,11 @@ def join_hits_lookup(spark, sf_dir):
     return hits.join(s, "chunk_id", "left").select("chunk_id", "doc_id", (F.col("t0") / 1000).alias("start_s"), "text")
 
 
-@query("join_section_titles", f"WITH {SEG}, t AS (SELECT doc_id, idx // 2 AS section, 'T' || (idx // 2)::VARCHAR || '-' || speaker AS title FROM seg WHERE idx % 2 = 0) SELECT s.doc_id, s.idx // 3 AS chunk, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM seg s LEFT JOIN t ON s.doc_id = t.doc_id AND s.idx // 2 = t.section GROUP BY s.doc_id, s.idx // 3")
+@query("join_section_titles", f"WITH {SEG}, t AS (SELECT doc_id, idx // 2 AS section, 'T' || (idx // 2)::VARCHAR || '-' || arg_min(speaker, idx) AS title FROM seg GROUP BY doc_id, idx // 2) SELECT s.doc_id, s.idx // 3 AS chunk, string_agg(DISTINCT title, ',' ORDER BY title) AS titles FROM seg s LEFT JOIN t ON s.doc_id = t.doc_id AND s.idx // 2 = t.section GROUP BY s.doc_id, s.idx // 3")
 def join_section_titles(spark, sf_dir):
     s = segments(spark, sf_dir).withColumn("section", F.floor(F.col("idx") / 2))
-    titles = s.where("idx % 2 = 0").select("doc_id", "section", F.concat(F.lit("T"), F.col("section").cast("string"), F.lit("-"), "speaker").alias("title"))
+    first = s.groupBy("doc_id", "section").agg(F.min_by("speaker", "idx").alias("speaker"))
+    titles = first.select("doc_id", "section", F.concat(F.lit("T"), F.col("section").cast("string"), F.lit("-"), "speaker").alias("title"))
     return s.join(titles, ["doc_id", "section"], "left").groupBy("doc_id", F.floor(F.col("idx") / 3).alias("chunk")).agg(F.array_join(F.array_sort(F.collect_set("title")), ",").alias("titles"))
 
 
@@ -98,10 +99,10 @@ def intervals_total(manifest, results):
     return joined.select(*manifest.columns, text.alias("text"))
 
 
-@query("join_orphans", "SELECT d.doc_id, 'missing_export' AS kind FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL UNION ALL SELECT l.doc_id, 'missing_source' FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 4 <> 0) d USING (doc_id) WHERE d.doc_id IS NULL")
+@query("join_orphans", "SELECT page_id AS doc_id, 'missing_export' AS kind FROM pages LEFT JOIN labels l ON page_id = l.doc_id WHERE l.doc_id IS NULL UNION ALL SELECT l.doc_id, 'missing_source' FROM labels l LEFT JOIN pages ON page_id = l.doc_id WHERE page_id IS NULL")
 def join_orphans(spark, sf_dir):
-    d, e = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return d.join(e, "doc_id", "left_anti").withColumn("kind", F.lit("missing_export")).unionByName(e.join(d.where("doc_id % 4 <> 0"), "doc_id", "left_anti").withColumn("kind", F.lit("missing_source")))
+    d, e = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), table(spark, sf_dir, "labels").select("doc_id")
+    return d.join(e, "doc_id", "left_anti").withColumn("kind", F.lit("missing_export")).unionByName(e.join(d, "doc_id", "left_anti").withColumn("kind", F.lit("missing_source")))
 
 
 @query("val_refs", f"WITH {SEG}, r AS (SELECT doc_id, idx // 3 AS chunk, idx + CASE WHEN idx % 5 = 0 THEN 1000 ELSE 0 END AS ref FROM seg) SELECT r.doc_id, chunk, count(*) AS unknown_refs FROM r LEFT JOIN seg ON r.doc_id = seg.doc_id AND ref = idx WHERE idx IS NULL GROUP BY r.doc_id, chunk")

@@ -184,16 +184,16 @@ def proj_flatten_sentences(spark, sf_dir):
     return flat.withColumn("k", F.col("k").cast("long"))
 
 
-@query("val_pending_rules", "SELECT DISTINCT doc_id FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("val_pending_rules", "SELECT DISTINCT doc_id FROM documents d WHERE lang = 'fr' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def val_pending_rules(spark, sf_dir):
-    suggested = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id").distinct()
+    suggested = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id").distinct()
     return suggested.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("join_coalesce_patch", f"WITH {SEG}, n AS (SELECT doc_id, idx, replace(text, ' ', '_') AS text FROM seg WHERE conf < 30 AND idx % 2 = 0) SELECT seg.doc_id, seg.idx, coalesce(n.text, seg.text) AS text, n.text IS NOT NULL AS refined FROM seg LEFT JOIN n USING (doc_id, idx)")
+@query("join_coalesce_patch", f"WITH {SEG}, n AS (SELECT doc_id, idx, replace(text, ' ', '_') AS text FROM seg WHERE conf < 30) SELECT seg.doc_id, seg.idx, coalesce(n.text, seg.text) AS text, n.text IS NOT NULL AS refined FROM seg LEFT JOIN n USING (doc_id, idx)")
 def join_coalesce_patch(spark, sf_dir):
     s = segments(spark, sf_dir)
-    refined = s.where("conf < 30 AND idx % 2 = 0").select("doc_id", "idx", F.translate("text", " ", "_").alias("new"))
+    refined = s.where("conf < 30").select("doc_id", "idx", F.translate("text", " ", "_").alias("new"))
     return s.join(refined, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("new", "text").alias("text"), F.col("new").isNotNull().alias("refined"))
 
 

@@ -30,10 +30,10 @@ def src_text_only(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("text <> ''").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
 
 
-@query("src_priority", """WITH a AS (SELECT doc_id, 1 AS priority, text FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT conv_id, 2, string_agg(text, chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id UNION ALL SELECT page_id, 3, url FROM pages)
+@query("src_priority", """WITH a AS (SELECT doc_id, 1 AS priority, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT conv_id, 2, string_agg(text, chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id UNION ALL SELECT page_id, 3, url FROM pages)
 SELECT doc_id, min(priority)::INT AS priority, arg_min(text, priority) AS text FROM a GROUP BY doc_id""")
 def src_priority(spark, sf_dir):
-    clean = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("priority"), "text")
+    clean = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", F.lit(1).alias("priority"), "text")
     c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(3).alias("priority"), F.col("url").alias("text"))
     return formats.first_available(clean.unionByName(c.withColumn("priority", F.lit(2))).unionByName(pages))
@@ -191,10 +191,10 @@ def topn_rules(spark, sf_dir):
     return rule_sets(spark, sf_dir)[0].orderBy("pos").limit(10).select("pattern", "replacement")
 
 
-@query("set_except", "SELECT doc_id, 'missing_export' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'missing_source' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("set_except", "SELECT doc_id, 'missing_export' AS side FROM (SELECT page_id AS doc_id FROM pages EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'missing_source' FROM (SELECT doc_id FROM labels EXCEPT SELECT page_id FROM pages)")
 def set_except(spark, sf_dir):
-    d, e = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    return d.subtract(e).withColumn("side", F.lit("missing_export")).unionByName(e.subtract(d.where("doc_id % 2 = 0")).withColumn("side", F.lit("missing_source")))
+    d, e = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), table(spark, sf_dir, "labels").select("doc_id")
+    return d.subtract(e).withColumn("side", F.lit("missing_export")).unionByName(e.subtract(d).withColumn("side", F.lit("missing_source")))
 
 
 @query("set_union_terms", "SELECT DISTINCT lower(term) AS term FROM (SELECT source AS term FROM documents UNION ALL SELECT upper(lang) FROM documents UNION ALL SELECT role FROM conversations)")
