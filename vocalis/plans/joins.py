@@ -190,7 +190,11 @@ def udf_gestalt(spark, sf_dir):
     return pairs.select("doc_id", "idx", text_udf.gestalt("before", "text").alias("ratio"), text_udf.gestalt("text", "before").alias("back"))
 
 
-@query("udf_mark_low_conf")
+MARK_SQL = f"""WITH {SEG}, t AS (SELECT doc_id, idx, regexp_split_to_array(text, '\\s+') AS ws, regexp_extract_all(text, '\\s+') AS gaps FROM seg)
+SELECT doc_id, idx, array_to_string(list_transform(ws, lambda w, i: CASE WHEN regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}_]', '', 'g') <> '' AND ((i - 1) * 37 + idx * 11 + doc_id) % 100 < 35 THEN '**[' || w || '?]**' ELSE w END || coalesce(gaps[i], '')), '') AS marked FROM t"""
+
+
+@query("udf_mark_low_conf", MARK_SQL)
 def udf_mark_low_conf(spark, sf_dir):
     w = segment_words(spark, sf_dir).groupBy("doc_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word", "p"))), lambda x: F.struct(x["word"].alias("word"), (x["p"] / 100).alias("probability"))).alias("words"))
     s = segments(spark, sf_dir).drop("words").join(w, ["doc_id", "idx"])

@@ -171,7 +171,13 @@ def fold_overlap_merge(spark, sf_dir):
     return sequences.merge_overlaps(shown)
 
 
-@query("fold_assign_words")
+ASSIGN_SQL = f"""WITH RECURSIVE {SEG}, q AS (SELECT doc_id, idx, len(regexp_split_to_array(trim(text), '\\s+')) AS n, list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: len(regexp_split_to_array(trim(s), '\\s+'))) AS sizes FROM seg),
+st(doc_id, idx, place, seen, used, got, n, sizes) AS (SELECT doc_id, idx, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT, n, sizes FROM q
+UNION ALL SELECT doc_id, idx, place + 1, seen + x, upto, upto - used, n, sizes FROM (SELECT *, CASE WHEN place + 1 = len(sizes) THEN n ELSE least(greatest((seen + x) * n // list_sum(sizes), used + 1), greatest(n - (len(sizes) - place - 1), used)) END::BIGINT AS upto FROM (SELECT *, sizes[place + 1] AS x FROM st WHERE place < len(sizes))))
+SELECT doc_id, idx, (place - 1)::INT AS sentence, got::INT AS n_words FROM st WHERE place > 0"""
+
+
+@query("fold_assign_words", ASSIGN_SQL)
 def fold_assign_words(spark, sf_dir):
     w = segment_words(spark, sf_dir).groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))
     s = segments(spark, sf_dir).select("doc_id", "idx", text.split_sentences(F.col("text")).alias("sentences")).join(w, ["doc_id", "idx"])
