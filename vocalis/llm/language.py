@@ -31,6 +31,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Letters and all bytes of longer UTF-8 sequences stay; everything else reads as a space.
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
+_SPACE = np.full(1, 32, dtype=np.uint8)
 
 
 @dataclass
@@ -48,6 +49,8 @@ def counts(chunk: Chunk) -> np.ndarray:
     late = np.flatnonzero(chunk.buf[1:] < 0x9F) + 1  # capital Latin-1 letters: C3 80 to C3 9E
     late = late[(chunk.buf[late] >= 0x80) & (chunk.buf[late - 1] == 0xC3)]
     buf[late] += 0x20
+    # each text stands between two spaces: the one before it is its own, and no n-gram reaches into a neighbour
+    buf = np.concatenate((_SPACE, buf, _SPACE))
     doc = np.repeat(np.arange(len(chunk.ids), dtype=np.int64), chunk.ends - chunk.starts + 1)
     a, b, c = (buf[i : len(buf) - 2 + i].astype(np.uint32) for i in range(3))
     two, three = (a << 8) | b, (a << 16) | (b << 8) | c
