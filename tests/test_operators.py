@@ -72,6 +72,37 @@ def test_chunk_names_dont_collide(spark):
     assert ids.select(row_id(ids.d, ids.k).alias("name")).distinct().count() == 10_000
 
 
+def test_redundancy_by_a_plain_fold(spark):
+    """Whole documents folded in one go, against islands of which only those with a likely repeat are folded."""
+    import random
+
+    r = random.Random(8)
+    say = lambda: " ".join("".join(r.choices("aeioulmnrst", k=r.randint(2, 7))) for _ in range(r.randint(1, 8)))
+    out, want = [], []
+    for d in range(12):
+        t, said, kept = 0, [say() for _ in range(6)], []
+        for i in range(40):
+            text_ = r.choice(said) if d % 3 and r.random() < 0.4 else say()
+            if r.random() < 0.3:
+                text_ = text_.upper() + " x"[: r.randint(0, 2)]
+            end = t + r.randint(300, 3000)
+            out.append((d, i, text_, t, end))
+            key = " ".join(text_.lower().split())
+            if not (len(key) >= 8 and sequences.redundant(key, t, kept, 0.9, 3, 5_000)):
+                kept.append((key, end))
+                want.append((d, i))
+            t = end + r.choice([0, 200, 4_000, 5_001, 9_000])
+    df = spark.createDataFrame(out, "doc_id bigint, idx bigint, text string, t0 bigint, t1 bigint")
+    assert rows(sequences.drop_redundant(df), "doc_id", "idx") == want
+    assert len(want) < len(out)
+
+
+def test_cleaning_by_islands(spark):
+    pause = [(1, k, "S", f"bonjour numéro {k % 2} pour tout le monde", 10_000 * (k // 2) + 1_000 * (k % 2), 10_000 * (k // 2) + 1_000 * (k % 2) + 900) for k in range(8)]
+    got = sequences.clean(spark.createDataFrame(pause, "doc_id bigint, idx bigint, speaker string, text string, t0 bigint, t1 bigint"))
+    assert rows(got.select("idx", "merged"), "idx") == [(0, 0), (2, 0), (4, 0), (6, 0)]  # the second of each pair repeats the first, the next pair is too late for that
+
+
 def test_redundancy_respects_time(spark):
     near = [(1, 0, "bonjour tout le monde", 0, 1000), (1, 1, "bonjour tout le monde.", 1200, 2000), (1, 2, "bonjour tout le monde", 90_000, 91_000)]
     df = spark.createDataFrame(near, "doc_id bigint, idx bigint, text string, t0 bigint, t1 bigint")

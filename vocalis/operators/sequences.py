@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -55,8 +55,33 @@ def redundant(key: str, start: int, kept: list[tuple[str, int]], ratio: float, w
     return any(start - end <= gap_ms and _similar(key, other) >= ratio for other, end in kept[-window:])
 
 
+def _islands(df: DataFrame, gap_ms: int) -> DataFrame:
+    """df with ``__island``: rows that start later than the gap after all earlier ones of the document have ended begin a new one."""
+    order = W.partitionBy("doc_id").orderBy("idx")
+    ended = F.max("t1").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("t0") - ended > gap_ms, F.lit(True)).cast("int")
+    return df.withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("__fresh")
+
+
+def _may_repeat(ratio: float, window: int, gap_ms: int, slack: int = 4, longest: int = 500) -> Column:
+    """Whether a row can be near one of the ``window`` rows before it: by time, by length and, for texts that aren't long, by edit distance."""
+    order = W.partitionBy("doc_id").orderBy("idx")
+    key = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
+    out = F.lit(False)
+    for k in range(1, window + 1):
+        other, end = F.lag(key, k).over(order), F.lag("t1", k).over(order)
+        both, least = F.length(key) + F.length(other), F.least(F.length(key), F.length(other))
+        near = F.when(both <= 2 * longest, F.levenshtein(key, other) <= both * (1 - ratio) + slack).otherwise(True)
+        out = out | F.coalesce((F.col("t0") - end <= gap_ms) & (2 * least >= ratio * both - slack) & near, F.lit(False))
+    return out
+
+
 def drop_redundant(df: DataFrame, ratio: float = 0.9, window: int = 3, gap_ms: int = 5_000, least: int = 8) -> DataFrame:
-    """(doc_id, idx): rows that don't repeat one of the last kept rows. Short rows always stay."""
+    """(doc_id, idx): rows that don't repeat one of the last kept rows. Short rows always stay.
+
+    A pause longer than the gap makes islands that don't touch one another. The first row that an island drops is near one of the
+    ``window`` rows before it; so an island without such a pair keeps all its rows, and only the others are folded in Python.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[str, int]] = []
@@ -69,11 +94,17 @@ def drop_redundant(df: DataFrame, ratio: float = 0.9, window: int = 3, gap_ms: i
             out.append(r.idx)
         return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "idx": out})
 
-    return df.groupBy("doc_id").applyInPandas(run, "doc_id bigint, idx bigint")
+    marked = _islands(df.select("doc_id", "idx", "text", "t0", "t1"), gap_ms).withColumn("__may", _may_repeat(ratio, window, gap_ms))
+    marked = marked.withColumn("__fold", F.max("__may").over(W.partitionBy("doc_id", "__island")))
+    folded = marked.where("__fold").drop("__may", "__fold").groupBy("doc_id", "__island").applyInPandas(run, "doc_id bigint, idx bigint")
+    return marked.where("not __fold").select(F.col("doc_id").cast("long"), F.col("idx").cast("long")).unionByName(folded)
 
 
 def clean(df: DataFrame, least_ms: int = 1_500, gap_ms: int = 200) -> DataFrame:
-    """Sanitizes, drops blank and redundant rows, then joins a short row to the one before: (doc_id, idx, speaker, t0, t1, text, merged)."""
+    """Sanitizes, drops blank and redundant rows, then joins a short row to the one before: (doc_id, idx, speaker, t0, t1, text, merged).
+
+    Rows apart by more than the five seconds in which repeats count are islands of their own, each a group.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[dict] = []
@@ -90,7 +121,7 @@ def clean(df: DataFrame, least_ms: int = 1_500, gap_ms: int = 200) -> DataFrame:
                 rows.append({"doc_id": r.doc_id, "idx": r.idx, "speaker": r.speaker, "t0": r.t0, "t1": r.t1, "text": words, "merged": 0})
         return pd.DataFrame(rows, columns=["doc_id", "idx", "speaker", "t0", "t1", "text", "merged"])
 
-    return df.groupBy("doc_id").applyInPandas(run, "doc_id bigint, idx bigint, speaker string, t0 bigint, t1 bigint, text string, merged bigint")
+    return _islands(df, max(5_000, gap_ms)).groupBy("doc_id", "__island").applyInPandas(run, "doc_id bigint, idx bigint, speaker string, t0 bigint, t1 bigint, text string, merged bigint")
 
 
 def merge_overlaps(df: DataFrame, similar: float = 0.15, gap_ms: int = 200) -> DataFrame:
