@@ -315,3 +315,18 @@ def test_oracles_on_the_edge_cases(spark, tmp_path):
     want = sorted(map(str, cur.fetchall()))
     got = merkle.manifest(spark.read.parquet(str(tmp_path / "documents"))).select(*names).collect()
     assert sorted(str(tuple(r)) for r in got) == want
+
+
+@pytest.mark.parametrize("name", ["op12_quantile_summaries", "op13_merkle_manifest"])
+def test_queries_equal_their_sql(spark, name):
+    """The whole smallest tables, row by row."""
+    from vocalis.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "clicks", "sale_lines", "items"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    cur = con.execute(queries.oracles()[name])
+    names = [d[0] for d in cur.description]
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(str(tuple(r)) for r in df.select(*names).collect()) == sorted(map(str, cur.fetchall()))
