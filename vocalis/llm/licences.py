@@ -28,7 +28,7 @@ from vocalis.llm.notices import FUNCTION_WORDS, NAMES, OTHER, PASSAGES, SPDX, VE
 
 SCALE = 1000
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.6
-#: A paragraph is unknown if no family is right with more than this probability; found on the held-out notices.
+#: A paragraph is unknown if no family is right with more than this probability: in doubt, none is named.
 MOST_UNKNOWN = 0.3
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Between paragraphs: a line end, then a line without letters and digits.
