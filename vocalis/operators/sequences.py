@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from vocalis.functions import text, text_udf
@@ -46,13 +50,13 @@ def systematic_sample(df: DataFrame, key: str, order: str, most: int) -> DataFra
     return marked.where("__at % __step = 0 AND __at < __step * " + str(most)).drop("__at", "__step")
 
 
-def _similar(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def redundant(key: str, start: int, kept: Iterable[tuple[str, int]], ratio: float, window: int, gap_ms: int) -> bool:
+    """Whether a text is near one of the last ``window`` kept ones, by ratio and by time."""
+    return any(start - end <= gap_ms and text_udf.reaches(key, other, ratio) for other, end in list(kept)[-window:])
 
 
-def redundant(key: str, start: int, kept: list[tuple[str, int]], ratio: float, window: int, gap_ms: int) -> bool:
-    """Whether a text is near one of the last kept ones, by ratio and by time."""
-    return any(start - end <= gap_ms and _similar(key, other) >= ratio for other, end in kept[-window:])
+def _schema(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
 
 
 def _islands(df: DataFrame, gap_ms: int) -> DataFrame:
@@ -63,65 +67,87 @@ def _islands(df: DataFrame, gap_ms: int) -> DataFrame:
     return df.withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("__fresh")
 
 
-def _may_repeat(ratio: float, window: int, gap_ms: int, slack: int = 4, longest: int = 500) -> Column:
-    """Whether a row can be near one of the ``window`` rows before it: by time, by length and, for texts that aren't long, by edit distance."""
-    order = W.partitionBy("doc_id").orderBy("idx")
-    key = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
-    out = F.lit(False)
-    for k in range(1, window + 1):
-        other, end = F.lag(key, k).over(order), F.lag("t1", k).over(order)
-        both, least = F.length(key) + F.length(other), F.least(F.length(key), F.length(other))
-        near = F.when(both <= 2 * longest, F.levenshtein(key, other) <= both * (1 - ratio) + slack).otherwise(True)
-        out = out | F.coalesce((F.col("t0") - end <= gap_ms) & (2 * least >= ratio * both - slack) & near, F.lit(False))
-    return out
+def _folded(df: DataFrame, gap_ms: int, fold: Callable[[], Callable[[dict], list[dict]]], last: Callable, schema: T.StructType) -> DataFrame:
+    """Rows of each island through a fold of its own. ``fold()`` takes a row and returns rows that are done, ``last`` those left at the end.
+
+    The window of the islands leaves a document's rows in one task and in order, so a task walks its rows and holds one slice of them.
+    """
+    kind = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, key, out = None, None, []
+        for batch in batches:
+            for k in range(0, batch.num_rows, text_udf.SLICE):
+                for r in batch.slice(k, text_udf.SLICE).to_pylist():
+                    if (r["doc_id"], r["__island"]) != key:
+                        out += last(now) if now else []
+                        now, key = fold(), (r["doc_id"], r["__island"])
+                    out += now(r)
+                if len(out) >= text_udf.SLICE:
+                    yield pa.RecordBatch.from_pylist(out, kind)
+                    out = []
+        out += last(now) if now else []
+        yield pa.RecordBatch.from_pylist(out, kind)
+
+    return _islands(df, gap_ms).sortWithinPartitions("doc_id", "idx").mapInArrow(work, schema)
+
+
+class _Distinct:
+    """Keeps the rows that don't repeat one of the last kept rows."""
+
+    def __init__(self, ratio: float, window: int, gap_ms: int, least: int):
+        self.rule, self.least, self.kept = (ratio, window, gap_ms), least, deque(maxlen=max(1, window))
+
+    def new(self, key: str, t0: int, t1: int) -> bool:
+        if len(key) >= self.least and redundant(key, t0, self.kept, *self.rule):
+            return False
+        self.kept.append((key, t1))
+        return True
 
 
 def drop_redundant(df: DataFrame, ratio: float = 0.9, window: int = 3, gap_ms: int = 5_000, least: int = 8) -> DataFrame:
     """(doc_id, idx): rows that don't repeat one of the last kept rows. Short rows always stay.
 
-    A pause longer than the gap makes islands that don't touch one another. The first row that an island drops is near one of the
-    ``window`` rows before it; so an island without such a pair keeps all its rows, and only the others are folded in Python.
+    A pause longer than the gap makes islands that don't touch one another.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, int]] = []
-        out = []
-        for r in pdf.sort_values("idx").itertuples():
-            key = " ".join(r.text.lower().split())
-            if len(key) >= least and redundant(key, r.t0, kept, ratio, window, gap_ms):
-                continue
-            kept.append((key, r.t1))
-            out.append(r.idx)
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "idx": out})
+    def fold() -> Callable[[dict], list[dict]]:
+        seen = _Distinct(ratio, window, gap_ms, least)
+        return lambda r: [{"doc_id": r["doc_id"], "idx": r["idx"]}] if seen.new(" ".join(r["text"].lower().split()), r["t0"], r["t1"]) else []
+
+    rows = df.select("doc_id", "idx", "text", "t0", "t1")
+    return _folded(rows, gap_ms, fold, lambda now: [], _schema("doc_id bigint, idx bigint"))
+
+
+class _Cleaner:
+    """Sanitizes rows, drops those that are blank or repeat, and joins short ones to the row before."""
+
+    def __init__(self, least_ms: int, gap_ms: int):
+        self.least_ms, self.gap_ms, self.seen, self.open = least_ms, gap_ms, _Distinct(0.9, 3, 5_000, 8), None
 
-    marked = _islands(df.select("doc_id", "idx", "text", "t0", "t1"), gap_ms).withColumn("__may", _may_repeat(ratio, window, gap_ms))
-    marked = marked.withColumn("__fold", F.max("__may").over(W.partitionBy("doc_id", "__island")))
-    folded = marked.where("__fold").drop("__may", "__fold").groupBy("doc_id", "__island").applyInPandas(run, "doc_id bigint, idx bigint")
-    return marked.where("not __fold").select(F.col("doc_id").cast("long"), F.col("idx").cast("long")).unionByName(folded)
+    def __call__(self, r: dict) -> list[dict]:
+        words, now = text_udf.sanitize_text(r["text"]), self.open
+        if not words or not self.seen.new(words.lower(), r["t0"], r["t1"]):
+            return []
+        if now and r["t1"] - r["t0"] < self.least_ms and r["t0"] - now["t1"] <= self.gap_ms:
+            now["t1"], now["merged"] = r["t1"], now["merged"] + 1
+            now["text"].append(words)
+            return []
+        self.open = {c: r[c] for c in ("doc_id", "idx", "speaker", "t0", "t1")} | {"text": [words], "merged": 0}
+        return self.done(now)
+
+    @staticmethod
+    def done(row: dict | None) -> list[dict]:
+        return [row | {"text": " ".join(row["text"])}] if row else []
 
 
 def clean(df: DataFrame, least_ms: int = 1_500, gap_ms: int = 200) -> DataFrame:
     """Sanitizes, drops blank and redundant rows, then joins a short row to the one before: (doc_id, idx, speaker, t0, t1, text, merged).
 
-    Rows apart by more than the five seconds in which repeats count are islands of their own, each a group.
+    Rows apart by more than the five seconds in which repeats count are islands of their own.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        kept: list[tuple[str, int]] = []
-        for r in pdf.sort_values("idx").itertuples():
-            words = text_udf.sanitize_text(r.text)
-            key = words.lower()
-            if not words or len(key) >= 8 and redundant(key, r.t0, kept, 0.9, 3, 5_000):
-                continue
-            kept.append((key, r.t1))
-            if rows and r.t1 - r.t0 < least_ms and r.t0 - rows[-1]["t1"] <= gap_ms:
-                rows[-1] |= {"t1": r.t1, "text": f"{rows[-1]['text']} {words}", "merged": rows[-1]["merged"] + 1}
-            else:
-                rows.append({"doc_id": r.doc_id, "idx": r.idx, "speaker": r.speaker, "t0": r.t0, "t1": r.t1, "text": words, "merged": 0})
-        return pd.DataFrame(rows, columns=["doc_id", "idx", "speaker", "t0", "t1", "text", "merged"])
-
-    return _islands(df, max(5_000, gap_ms)).groupBy("doc_id", "__island").applyInPandas(run, "doc_id bigint, idx bigint, speaker string, t0 bigint, t1 bigint, text string, merged bigint")
+    schema = _schema("doc_id bigint, idx bigint, speaker string, t0 bigint, t1 bigint, text string, merged bigint")
+    return _folded(df, max(5_000, gap_ms), lambda: _Cleaner(least_ms, gap_ms), lambda now: now.done(now.open), schema)
 
 
 def merge_overlaps(df: DataFrame, similar: float = 0.15, gap_ms: int = 200) -> DataFrame:
@@ -137,7 +163,7 @@ def merge_overlaps(df: DataFrame, similar: float = 0.15, gap_ms: int = 200) -> D
             words, t0 = r.text.split(), r.t0
             if out and t0 < out[-1]["t1"]:
                 last = out[-1]["words"]
-                n = next((k for k in range(min(6, len(last), len(words)), 0, -1) if 1 - _similar(" ".join(last[-k:]), " ".join(words[:k])) <= similar), 0)
+                n = next((k for k in range(min(6, len(last), len(words)), 0, -1) if 1 - text_udf.gestalt_ratio(" ".join(last[-k:]), " ".join(words[:k])) <= similar), 0)
                 words = words[n:]
                 if r.logprob > out[-1]["logprob"] and not n:
                     out[-1]["t1"] = t0
