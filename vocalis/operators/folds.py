@@ -63,9 +63,12 @@ def counted_chunks(df: DataFrame, target: int, least_tokens: int, least_rows: in
     return folded.select("doc_id", F.posexplode("ranges").alias("chunk", "r")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("r.a").cast("long").alias("a"), F.col("r.b").cast("long").alias("b"))
 
 
-def grouped(df: DataFrame, columns: tuple[str, ...], state: Column, step, name: str = "group") -> DataFrame:
+def grouped(df: DataFrame, columns: tuple[str, ...], state: Column, step, name: str = "group", whole: tuple[str, ...] = ()) -> DataFrame:
     """Numbers rows by a fold: ``step(state, row)`` returns the new state, whose field ``g`` is the row's group. Returns doc_id, idx, group.
 
+    With ``whole`` columns it returns doc_id, group and ``rows``, each group's rows in order with these columns, too: a frame that is dear
+    to compute is then read once and needs no join.
+
     The walk appends a row's number only where a group begins, in blocks that are closed when they are full, so that appending
     copies a block and not all that came before; the groups of the rows follow from their beginnings.
     """
@@ -83,6 +86,11 @@ def grouped(df: DataFrame, columns: tuple[str, ...], state: Column, step, name:
         return F.struct(new.alias("s"), (acc["i"] + 1).alias("i"), g.alias("g"), F.when(fresh, F.concat(kept, begun)).otherwise(kept).alias("now"), F.when(fresh & full, F.concat(acc["full"], F.array(acc["now"]))).otherwise(acc["full"]).alias("full"))
 
     begins = F.aggregate("rows", seeded, walk, lambda acc: F.concat(F.flatten(acc["full"]), acc["now"]))
+    if whole:
+        kept = _rows(df, *columns, *whole).select("doc_id", "rows", begins.alias("begins"))
+        after = lambda k: F.coalesce(F.try_element_at(F.col("begins"), (k + 2).cast("int"))["i"], F.size("rows"))
+        parts = F.transform("begins", lambda b, k: F.struct(b["g"].alias("g"), F.slice("rows", b["i"] + 1, after(k) - b["i"]).alias("rows")))
+        return kept.select("doc_id", F.explode(parts).alias("z")).select("doc_id", F.col("z.g").alias(name), F.col("z.rows").alias("rows"))
     folded = _rows(df, *columns).select("doc_id", F.transform("rows", lambda r: r["idx"]).alias("ids"), begins.alias("begins"))
 
     def members(b: Column, k: Column) -> Column:
@@ -105,7 +113,7 @@ def sections(df: DataFrame, target_ms: int = 180_000, most_ms: int = 480_000, pa
     return grouped(df, ("t0", "t1"), state, step, "section")
 
 
-def paragraphs(df: DataFrame, most_rows: int = 4, most_chars: int = 400) -> DataFrame:
+def paragraphs(df: DataFrame, most_rows: int = 4, most_chars: int = 400, whole: tuple[str, ...] = ()) -> DataFrame:
     """A paragraph ends at a new speaker, at most_rows rows, or before its text would exceed most_chars."""
     state = F.struct(F.lit(0).cast("long").alias("g"), F.lit(None).cast("string").alias("who"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"))
 
@@ -113,7 +121,7 @@ def paragraphs(df: DataFrame, most_rows: int = 4, most_chars: int = 400) -> Data
         close = F.coalesce((s["n"] > 0) & ((s["who"] != r["speaker"]) | (s["n"] >= most_rows) | (s["chars"] + r["chars"] > most_chars)), F.lit(False))
         return F.struct((s["g"] + close.cast("long")).cast("long").alias("g"), r["speaker"].alias("who"), F.when(close, 1).otherwise(s["n"] + 1).cast("long").alias("n"), F.when(close, r["chars"]).otherwise(s["chars"] + r["chars"]).cast("long").alias("chars"))
 
-    return grouped(df, ("speaker", "chars"), state, step, "paragraph")
+    return grouped(df, ("speaker", "chars"), state, step, "paragraph", whole)
 
 
 def stable_turns(df: DataFrame, least_ms: int = 1_200) -> DataFrame:
