@@ -104,3 +104,21 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path, batches):
     assert got(spark, str(out)) == before and states.states(spark, str(out)).count() == rows
     changes = spark.read.schema(f"{states.CHANGE}, batch bigint").option("basePath", str(out / "changes")).parquet(str(out / "changes"))
     assert changes.groupBy("batch", "doc_id", "window_id").count().where(F.col("count") > 1).count() == 0
+
+
+def test_neighbouring_windows_share_a_key(spark, tmp_path):
+    """One key for the windows of neighbouring documents: events of some leave the others' states and timers alone."""
+    ids = [(d, w) for d in (None, -1, 0, 1, 2, 15, 16) for w in (None, -1, 0, 1, 15, 16)]
+    at_batch = [
+        [(d, w, 0, "start") for d, w in ids] + [(9, 9, 30, "queued")],
+        [(0, 1, 31, "ok"), (2, None, 31, "start"), (9, 9, 32, "queued")],
+        [(9, 9, 60, "queued"), (1, 15, 61, "start")],
+    ]
+    for rows in at_batch:
+        spark.createDataFrame([(d, w, at(m), e) for d, w, m, e in rows], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = states.follow(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "out"), retries=2, patience_ms=600_000, late="1 minute")
+        assert q.awaitTermination(240) and q.exception() is None
+    want = {(d, w): ("RETRY", 1) for d, w in ids} | {(9, 9): ("PENDING", 0), (0, 1): ("DONE", 1), (2, None): ("RETRY", 2), (1, 15): ("IN_PROGRESS", 2)}
+    assert got(spark, str(tmp_path / "out")) == want
+    keys = {tuple(None if k is None else k // 16 for k in i) for i in want}
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == len(keys) < len(want)
