@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vocalis.operators import match
+from vocalis.operators import index, match
+from vocalis.plans import registry
 from vocalis.sources import files, index_store
 
 WORDS = ["alpha", "beta", "gamma", "delta", "été", "alphabet", "algae", "bet"]
@@ -172,3 +173,19 @@ def test_best_chunks_of_each_query(spark):
     assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in match.best(found, 2).collect()) == [("a", "y", 1), ("a", "z", 2), ("b", "x", 1)]
     with pytest.raises(ValueError, match="k must"):
         match.best(found, 0)
+
+
+def test_words_are_placed_row_by_row(spark):
+    """Against a plain loop: empty rows, equal rows, and more rows than a slice; no shuffle."""
+    r = random.Random(5)
+    rows = [(f"c{i % 900}", i, [r.choice([*WORDS, "x" * 40, "ÿ"]) for _ in range(r.choice([0, 1, 3, 40]))]) for i in range(1000)]
+    df = index.placed(spark.createDataFrame(rows, "chunk_id string, n int, words array<string>").coalesce(1))
+    want = sorted((c, n, w, [k for k, x in enumerate(words) if x == w]) for c, n, words in rows for w in set(words))
+    assert sorted(tuple(x) for x in df.collect()) == want
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_search_reads_the_conversations_once(spark):
+    """What the result still reads are the kept chunks and the index, not the table again."""
+    df = registry.QUERIES["pipe_search"](spark, "/root/testdata/sf0.001")
+    assert df.count() == 10 and not [f for f in df.inputFiles() if "conversations" in f]

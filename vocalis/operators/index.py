@@ -6,10 +6,17 @@ terms only. lengths(chunk_id, n) and the corpus row (documents, mean length) are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vocalis.functions.text_udf import SLICE
 
 # Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -25,6 +32,34 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with term and positions (from 0, in order) for their ``words``: a row for each different word of a row.
+
+    A row's words are put together where they are, in slices of an Arrow batch as numbers: an aggregate over all words sorts them twice.
+    """
+    kept = [c for c in rows.columns if c != "words"]
+    rows = rows.select(*kept, "words")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                words = part.column(len(kept))
+                row, flat = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words).dictionary_encode()
+                if not len(flat):
+                    continue
+                first = np.searchsorted(row, row)  # where a word's row begins
+                order = np.argsort(row * len(flat.dictionary) + flat.indices.to_numpy(), kind="stable")
+                row, code, at = row[order], flat.indices.to_numpy()[order], (np.arange(len(row)) - first)[order]
+                begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])])
+                positions = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)], pa.int32()), pa.array(at, pa.int32()))
+                term = flat.dictionary.take(pa.array(code[begin]))
+                yield pa.RecordBatch.from_arrays([*part.select(kept).take(pa.array(row[begin])).columns, term, positions], [*kept, "term", "positions"])
+
+    return rows.mapInArrow(work, schema)
+
+
 @dataclass
 class Index:
     postings: DataFrame

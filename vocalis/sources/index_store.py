@@ -127,10 +127,9 @@ def append(spark: SparkSession, path: str, chunks: DataFrame, fields: list[str],
         raise ValueError(f"the index has the fields {store.fields}")
     name = _name(store)
     texts = chunks.where("chunk_id is not null").groupBy(F.col("chunk_id").cast("string").alias("chunk_id")).agg(F.min(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields])).alias("t"))
-    words = texts.select("chunk_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), index.terms(F.col(f"t.{f}")).alias("words")) for f in fields])).alias("w")).select("chunk_id", "w.*")
-    placed = words.select("chunk_id", "field", F.posexplode("words").alias("pos", "term")).groupBy("term", "chunk_id", "field").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    lengths = words.groupBy("chunk_id").agg(F.sum(F.size("words")).cast("int").alias("n"))
-    counts = _write(store, name, placed.join(lengths, "chunk_id"), lengths)
+    words = texts.select("chunk_id", F.array(*[F.struct(F.lit(f).alias("field"), index.terms(F.col(f"t.{f}")).alias("words")) for f in fields]).alias("w"))
+    words = words.withColumn("n", F.aggregate("w", F.lit(0), lambda n, w: n + F.size(w["words"])))
+    counts = _write(store, name, index.placed(words.select("chunk_id", "n", F.inline("w"))), words)
     ids = spark.read.schema("chunk_id string, n int").parquet(f"{path}/chunks/segment={name}").select("chunk_id")
     return _replace(store, name, ids, {"postings": True, "chunks": True, **counts})
 
