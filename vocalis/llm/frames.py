@@ -42,13 +42,30 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Frames that are made and run inside delete their shuffle files when they have run; else those stay until the driver happens
+    to collect its garbage. For frames that are run once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 _open: list[list[str]] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder. Inside scratch(), the checkpoint goes when that ends."""
+    """Cuts the lineage through the shared folder. Inside scratch(), the checkpoint goes when that ends.
+
+    The shuffle files behind it go at once.
+    """
     shared_folder(df.sparkSession)
-    out = df.checkpoint()
+    with tidied(df.sparkSession):
+        out = df.select("*").checkpoint()
     if _open:
         plan = out._jdf.queryExecution().logical()
         _open[-1].append(plan.rdd().getCheckpointFile().get())
@@ -58,7 +75,8 @@ def saved(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As saved(), but as Parquet: sorted rows pack small there, and a reader takes only the columns that it uses."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    with tidied(df.sparkSession):
+        df.select("*").write.parquet(folder)
     if _open:
         _open[-1].append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocalis.llm.frames import narrow, shuffle_partitions
+from vocalis.llm.frames import narrow, saved, shuffle_partitions
 from vocalis.llm.kernels import NULL_ID, U64, Chunk, chunks, mix, ranges, sliding_min
 
 #: m-mers are counted by this many bits of their hash; the table has a fixed size whatever the corpus has.
@@ -105,18 +105,23 @@ def super_kmers(hashes: np.ndarray, valid: np.ndarray, width: int, route: Routin
 
 
 def pack(arrays: list[np.ndarray], payload: bytes = b"") -> bytes:
-    """int64 columns, as differences with their bytes in planes, and a string; compressed."""
+    """int64 columns, as differences with their bytes in planes, and a string; compressed apart, since small blobs share one code."""
     raw = [struct.pack("<H", len(arrays))]
     for a in arrays:
         d = np.diff(a, prepend=0) if len(a) else a
         wide = bool(len(d) and (d.min() < -(1 << 31) or d.max() >= 1 << 31))
         kind = np.dtype("<i8" if wide else "<i4")
         raw += [struct.pack("<QB", len(d), wide), d.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()]
-    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*raw, payload]))
+    small = zstandard.ZstdCompressor(level=LEVEL)
+    return small.compress(b"".join(raw)) + (small.compress(payload) if payload else b"")
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    large = zstandard.ZstdDecompressor()
+    first = large.decompressobj()
+    raw = first.decompress(blob)
+    if first.unused_data:  # stored levels of earlier versions have all in one
+        raw += large.decompress(first.unused_data)
     (n,), at, arrays = struct.unpack_from("<H", raw), 2, []
     for _ in range(n):
         size, wide = struct.unpack_from("<QB", raw, at)
@@ -230,14 +235,14 @@ def sent(docs: DataFrame, pieces: Callable[[Chunk, Routing], Pieces], same_docum
 
 
 def removed(docs: DataFrame, pieces: Callable[[Chunk, Routing], Pieces], judge: Callable[..., list[np.ndarray]], same_document: bool, span: int, route: Routing) -> DataFrame:
-    """Ranges to remove, packed by document group."""
+    """Ranges to remove, packed by document group; saved, so that the pieces leave the disk before the texts are shuffled."""
 
     def settle(table: pa.Table) -> pa.Table:
         columns, buf, before = received(table.column("blob").to_pylist())
         found = judge(columns, buf)
         return by_group([np.concatenate((a, b)) for a, b in zip(before, found, strict=True)], route.groups)
 
-    return sent(docs, pieces, same_document, span, route).groupBy("bucket").applyInArrow(settle, RANGES)
+    return saved(sent(docs, pieces, same_document, span, route).groupBy("bucket").applyInArrow(settle, RANGES))
 
 
 def apply_ranges(docs: DataFrame, found: DataFrame, groups: int, finish: Callable[[list[dict], pa.Table], pa.Table], schema, extra: tuple[str, ...] = ()) -> DataFrame:
